@@ -31,7 +31,7 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 #: Shortest candidate of the inferred formats, least gain in nats over ordinary tokens, credentials and ordinary tokens to learn from, and the merge test's confidence.
-SHORTEST, MARGIN, EXAMPLES, ALPHA = 16, 12.0, 300, 0.05
+SHORTEST, MARGIN, EXAMPLES, ALPHA, PARTS = 16, 12.0, 300, 0.05, 16
 _CHARS = np.zeros(256, bool)
 _CHARS[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-", np.uint8)] = True
 _DIGIT = np.zeros(256, bool)
@@ -202,18 +202,23 @@ def learn(docs: DataFrame, text: str = "text", examples: int = EXAMPLES) -> dict
                 seen.clear()
         yield flat.table({"kind": pa.array([k for k, _ in seen], pa.string()), "token": pa.array([t for _, t in seen], pa.string())})
 
-    rows = docs.select(F.col(text).alias("__text")).mapInArrow(found, "kind string, token string").distinct()
-    return {k: infer(sorted(tokens)) for k, tokens in _lowest(rows, examples).items() if tokens}
-
-
-def _lowest(rows: DataFrame, n: int) -> dict[str, list[str]]:
-    """The ``n`` tokens of lowest hash of each kind, by one bounded top-n search a kind; it keeps n rows a task."""
-    out = {}
-    for kind in (*KINDS[:3], "ordinary"):
-        best = rows.where(F.col("kind") == kind).orderBy(F.xxhash64("token"), "token").limit(n)
-        if tokens := [r.token for r in best.select("token").collect()]:
-            out[kind] = tokens
-    return out
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, dict[str, int]] = {}
+        for batch in batches:
+            for kind, token, h in zip(*(batch.column(c).to_pylist() for c in ("kind", "token", "h")), strict=True):
+                best.setdefault(kind, {})[token] = h
+            for kind, few in best.items():
+                best[kind] = dict(sorted(few.items(), key=lambda x: (x[1], x[0]))[:examples])
+        rows = [(k, t, h) for k, few in best.items() for t, h in few.items()]
+        yield flat.table({"kind": pa.array([r[0] for r in rows], pa.string()), "token": pa.array([r[1] for r in rows], pa.string()), "h": pa.array([r[2] for r in rows], pa.int64())})
+
+    schema = "kind string, token string, h long"
+    rows = docs.select(F.col(text).alias("__text")).mapInArrow(found, "kind string, token string").withColumn("h", F.xxhash64("token"))
+    rows = rows.mapInArrow(lowest, schema).repartition(PARTS, "h").mapInArrow(lowest, schema)  # examples * kinds * PARTS rows at most
+    out: dict[str, list[str]] = {}
+    for r in sorted({(r.kind, r.h, r.token) for r in rows.collect()}):
+        out.setdefault(r[0], []).append(r[2])
+    return {k: infer(sorted(tokens[:examples])) for k, tokens in out.items()}
 
 
 def inferred(formats: dict[str, Format], token: str) -> bool:
