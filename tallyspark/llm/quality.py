@@ -12,7 +12,7 @@ are content change sides, and the model is fitted again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -199,26 +199,29 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
     return Chain().fit(bins, doc, own) if (own == 0).any() else model
 
 
-def quality(docs: DataFrame, model: Chain, text: str = "text", keep_share: float = KEEP_SHARE, carry: Callable[[str], bool] = lambda c: False) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, the counts, base_failed, content_share and kept.
+def quality(docs: DataFrame, model: Chain, text: str = "text", keep_share: float = KEEP_SHARE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, the columns in ``carry``, the counts, base_failed, content_share and kept.
 
     A null or empty text, or one of blanks only, has no words: all counts 0, base_failed true,
     content_share 0, kept false. Rows that repeat, and ids that are null or repeat, each get a row.
-    Further columns of ``docs`` are dropped unless ``carry`` names them, so their names can't clash.
+    Columns of ``docs`` that ``carry`` doesn't name are dropped; those it names must not be named as
+    the columns that are added.
     """
-    more = [c for c in docs.columns if c != "doc_id" and carry(c)]
+    names = ["doc_id", *(c for c in carry if c != "doc_id")]
+    own = text if text in names else "__text"
     weights, start, step = model.weights, model.start, model.step
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = Chain(weights, start, step)
-        for piece in flat.pieces(batches, "__text"):
-            x = scan(piece.column("__text"))
+        for piece in flat.pieces(batches, own):
+            x = scan(piece.column(own))
             label = chain.viterbi(x["bins"], x["line_doc"])
             n = piece.num_rows
             content = np.bincount(x["line_doc"], x["line_words"] * label, n)
             share = content / np.maximum(x["n_words"], 1)
             failed = (x["n_words"] < 10) | (100 * x["n_repeat_words"] > 20 * x["n_words"])
-            yield flat.table({c: piece.column(c) for c in ["doc_id", *more]} | {k: x[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"base_failed": failed, "content_share": share, "kept": ~failed & (share >= keep_share)})
+            yield flat.table({c: piece.column(c) for c in names} | {k: x[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"base_failed": failed, "content_share": share, "kept": ~failed & (share >= keep_share)})
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["doc_id", *more])
-    return docs.select("doc_id", *more, F.col(text).alias("__text")).mapInArrow(score, f"{fields}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    rows = docs.select(*names) if own == text else docs.select(*names, F.col(text).alias("__text"))
+    return rows.mapInArrow(score, f"{fields}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")
