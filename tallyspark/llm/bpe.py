@@ -161,7 +161,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for piece in flat.pieces(batches, "__text", flat.PIECE // 2):
+        for piece in flat.pieces(batches, "__text", flat.PIECE):
             ids = c.encode([t or "" for t in piece.column("__text").to_pylist()])
             off = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
             yield flat.table({"doc_id": piece.column("doc_id"), "ids": pa.ListArray.from_arrays(off, np.concatenate(ids).astype(np.int32) if len(ids) else np.zeros(0, np.int32))})
@@ -190,7 +190,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         by_text = dict(zip(c.vocabulary.text, c.vocabulary.bytes, strict=True))
-        for piece in flat.pieces(batches, "__text", flat.PIECE // 2):
+        for piece in flat.pieces(batches, "__text", flat.PIECE):
             texts = [t or "" for t in piece.column("__text").to_pylist()]
             ids = c.encode_words([c.words(t) for t in texts])
             back = [b"".join(map(by_text.__getitem__, b.split(b","))).decode("utf-8", "replace") if b else "" for b in ids]

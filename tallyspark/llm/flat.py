@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 #: A random odd 64-bit value for each byte.
@@ -40,10 +40,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
-        step = np.full(max(n, PIECE + 1), base, np.uint64)
-        step[0] = 1
-        have = np.cumprod(step, dtype=np.uint64)
-        if n <= 4 * PIECE:
+        have = np.full(max(n, PIECE + 1), base, np.uint64)
+        have[0] = 1
+        np.cumprod(have, dtype=np.uint64, out=have)
+        if n <= 2 * PIECE:
             _powers[kind] = have
     return have[:n]
 

@@ -135,7 +135,7 @@ def frequent(docs: DataFrame, text: str, size: int, bits: int, room: int = FREQU
             whole = (total[off[1:]] - total[off[:-1]]).tolist()
             new = np.array([not (w in seen or seen.add(w)) for w in whole], bool)
             held.append(keys[new[of]] >> shift)
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 2_000_000:
                 yield from flush()
         yield from flush()
 
@@ -217,7 +217,7 @@ def index(docs: DataFrame, text: str, size: int, bits: int, often: tuple[np.ndar
                         break
                     out.append((flat.mix(flat.mix(keys[a]) + keys[b]), ids[of[a]], np.ones(len(a), np.uint8)))
             held += [(k >> np.uint64(32 - bits), i, d) for k, i, d in out]
-            if sum(len(x[0]) for x in held) > 3_000_000:
+            if sum(len(x[0]) for x in held) > 1_000_000:
                 yield from flush()
         yield from flush()
 

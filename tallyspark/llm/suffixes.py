@@ -34,7 +34,7 @@ LENGTH, ANCHOR, SYMBOL = 200, 16, 8
 #: Bits of the anchor table: at most 2 to this power.
 MOST_BITS = 30
 #: Windows refined at a time.
-BATCH = 400_000
+BATCH = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,7 +94,7 @@ def repeated_anchors(texts: DataFrame, bits: int, length: int) -> np.ndarray:
             piece = piece.filter(_unseen(piece, seen))
             anchors, *_ = segments(*flat.flat(piece.column("__text")), length)
             held.append((flat.mix(anchors) >> np.uint64(64 - bits)).astype(np.uint32))
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 1_000_000:
                 yield from flush()
         yield from flush()
 
@@ -152,7 +152,7 @@ def sent(texts: DataFrame, table: np.ndarray, bits: int, buckets: int, length: i
             size = n + length - 1
             stop = np.cumsum(size)
             held.append((anchors, piece.column("__key").to_numpy()[text], first - off[text], n, buf[np.repeat(first - stop + size, size) + np.arange(stop[-1])]))
-            if sum(len(h[4]) for h in held) > 24_000_000:
+            if sum(len(h[4]) for h in held) > 10_000_000:
                 yield from flush()
         yield from flush()
 
@@ -265,7 +265,7 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, give_text:
     sizes = texts.groupBy("__key").agg(F.count("*").alias("k"), F.max(F.octet_length("__text")).alias("n"))
     total = texts.agg(F.sum(F.octet_length("__text")).alias("n")).first().n or 0
     bits = min(MOST_BITS, max(16, int(total // 90).bit_length() + 4))
-    buckets = max(32, int(total // (12 << 20)))
+    buckets = max(64, int(total // (6 << 20)))
     table = repeated_anchors(texts, bits, length)
     found = covered(sent(texts, table, bits, buckets, length), length)
     copies = sizes.where((F.col("k") > 1) & (F.col("n") >= length)).select(F.col("__key").alias("key"), F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))
