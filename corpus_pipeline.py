@@ -13,6 +13,7 @@ from tallyspark.llm import bpe, jaccard, mixing, queries, secrets
 from tallyspark.llm import quality as rules
 from tallyspark.llm.sample import read
 from tallyspark.llm.store import kept
+from tallyspark.session import prepared
 
 #: SQL can't express a trained model's verdicts, so the stages are tested against brute force.
 ORACLE_SQL = None
@@ -21,12 +22,13 @@ REDACTED = "[SECRET]"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the model learns from the labelled ones among ``docs``."""
-    model = rules.train(docs, read(spark, sf_dir, "labels"))
+    model = rules.train(docs, read(prepared(spark), sf_dir, "labels"))
     return rules.quality(docs, model, carry=tuple(docs.columns)).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document of the smallest id; of rows that share an id one stays, and null ids all stay."""
+    prepared(spark)
     found = kept(jaccard.join(docs))
     out = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
@@ -37,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced in their texts and n_chars to match."""
+    prepared(spark)
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     found = secrets.spans(docs, secrets.learn(docs), redact=REDACTED, carry=rest)
     new = {"text": F.col("redacted")} | ({"n_chars": F.when(F.col("n_assign") + F.col("n_access") + F.col("n_hex") + F.col("n_auto") > 0, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
@@ -51,6 +54,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the digests of ids and of the decoded text, and whether decoding gave the text back."""
+    prepared(spark)
     return bpe.round_trip(docs, queries.tokenizer("byte_bpe_50k.json"))
 
 

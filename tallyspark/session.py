@@ -22,11 +22,17 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return workers_can_import(spark)
+    return prepared(spark)
 
 
-def workers_can_import(spark: SparkSession) -> SparkSession:
-    """Python workers find this package wherever the driver was started."""
+#: Rows of an Arrow batch: long texts stand in them, and a batch is in memory twice.
+BATCH_ROWS = 1000
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Python workers find this package wherever the driver was started, and get batches of bounded size unless the session sets its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
