@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import corpora, leaderboards  # noqa: F401
+from .base import ORACLES, QUERIES, Query
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
