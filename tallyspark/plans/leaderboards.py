@@ -128,7 +128,7 @@ def qry08_leave_one_task_out(spark: SparkSession, d: str) -> DataFrame:
 
 
 PAIRS = """WITH {scores}, {pairs}, rk AS (SELECT *, rank() OVER (PARTITION BY task_a, task_b ORDER BY x) + (count(*) OVER (PARTITION BY task_a, task_b, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY task_a, task_b ORDER BY y) + (count(*) OVER (PARTITION BY task_a, task_b, y) - 1) / 2.0::DOUBLE AS ry FROM duo),
-rho AS (SELECT task_a, task_b, ca, cb, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM rk GROUP BY 1, 2, 3, 4)"""
+rho AS (SELECT task_a, task_b, ca, cb, count(*) AS n, round(corr(rx, ry), 6) + 0 AS rho FROM rk GROUP BY 1, 2, 3, 4)"""
 
 
 def _task_pairs(s: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def _task_pairs(s: DataFrame) -> DataFrame:
 
 
 def _pair_rho(s: DataFrame) -> DataFrame:
-    return stats.spearman(_task_pairs(s), ["task_a", "task_b", "ca", "cb"], "x", "y").withColumn("rho", r6("rho"))
+    return stats.spearman(_task_pairs(s), ["task_a", "task_b", "ca", "cb"], "x", "y").withColumn("rho", r6("rho") + 0.0)
 
 
 @query(PAIRS + " SELECT task_a, task_b, n, rho, (ca = cb) AS same_type FROM rho")
