@@ -10,8 +10,9 @@ their own, in which the other texts that have two or more show up as well, so th
 
 Candidates. Texts that share an index key form a group. First each text is checked against the
 member of its groups that most of them name as their first; a check compares whole sets. Then, in
-groups whose members are not yet in one component, all pairs across components are checked. So all
-pairs of a group are never built for copies of one another, and every link counts in the end.
+groups whose members are not yet in one component, all pairs across components are checked, but for
+those whose sizes or parity bits show that they can't link. So all pairs of a group are never built
+for copies of one another, and every link counts in the end.
 
 Frequent shingles are broadcast, ``FREQUENT`` at most: the least count that keeps within that bound
 decides what is frequent, which changes the work but never the result.
@@ -37,6 +38,8 @@ FREQUENT, LEAST, DENSE = 1_000_000, 16, 16
 ROWS = 2000
 #: Ids up to this many are broadcast to pick texts for checks; beyond, they are joined by shuffle.
 IDS = 1_000_000
+#: 64-bit words of parity bits of a set.
+WORDS = 8
 _MASK = np.uint64((1 << 48) - 1)
 
 
@@ -76,17 +79,24 @@ def sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
 
 
 def profiles(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """doc_id, n and same (a hash of the whole set; 0 for the empty set) for each row."""
+    """doc_id, n, same (a hash of the whole set; 0 for the empty set) and the words of its parity bits, for each row.
+
+    Every shingle flips one of ``64 * WORDS`` bits, so two sets differ in as many shingles at least
+    as their bits differ.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in cut(batches):
-            keys, _, off = sets(piece.column("__text"), size)
+            keys, of, off = sets(piece.column("__text"), size)
             total = np.concatenate([[np.uint64(0)], np.cumsum(flat.mix(keys + np.uint64(1)), dtype=np.uint64)])
             n = np.diff(off)
             same = flat.mix((total[off[1:]] - total[off[:-1]]) ^ (n.astype(np.uint64) << np.uint64(40)))
-            yield flat.table({"doc_id": piece.column("doc_id"), "n": n.astype(np.int64), "same": np.where(n > 0, same, 0).astype(np.int64)})
+            spot = (flat.mix(keys + np.uint64(7)) % np.uint64(64 * WORDS)).astype(np.int64)
+            odd = np.bincount(of * 64 * WORDS + spot, minlength=len(n) * 64 * WORDS) & 1
+            words = np.packbits(odd.astype(np.uint8)).view("<i8").reshape(len(n), WORDS)
+            yield flat.table({"doc_id": piece.column("doc_id"), "n": n.astype(np.int64), "same": np.where(n > 0, same, 0).astype(np.int64)} | {f"w{i}": words[:, i].copy() for i in range(WORDS)})
 
-    return docs.select("doc_id", F.col(text).alias("__text")).mapInArrow(run, "doc_id long, n long, same long")
+    return docs.select("doc_id", F.col(text).alias("__text")).mapInArrow(run, "doc_id long, n long, same long" + "".join(f", w{i} long" for i in range(WORDS)))
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -304,9 +314,9 @@ def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, numerator: in
     total = profile.agg(F.sum("n").alias("n")).first().n or 0
     bits = min(16, max(6, int(total // 1_000_000).bit_length()))
     alike = profile.where("doc_id IS NOT NULL AND n > 0")
-    first = alike.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    first = kept(alike.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(f"w{i}").alias(f"w{i}") for i in range(WORDS)]))
     # ids that repeat with different texts: all their sets belong to one document
-    members = kept(alike.select("doc_id", "same").distinct().join(first, "same").select("doc_id", "rep", "n"))
+    members = kept(alike.select("doc_id", "same").distinct().join(first.select("same", "rep", "n"), "same").select("doc_id", "rep", "n"))
     often = frequent(docs, text, size, bits)
     met = kept(groups(index(docs, text, size, bits, often, numerator, denominator)))
     of = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n").alias("n"))
@@ -324,11 +334,21 @@ def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, numerator: in
     label = components(links)
     member = met.where("kind = 'group'").select(F.col("a").alias("g"), "b").distinct()
     member = folded(member, "b").select("g", F.col("b_rep").alias("v"), F.col("b_n").alias("n")).distinct()
-    member = member.join(label.withColumnRenamed("node", "v"), "v", "left").select("g", "v", "n", F.coalesce("component", "v").alias("c"))
-    mixed = member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
-    left = kept(member.join(mixed, "g"))
-    x, y = left.select("g", F.col("v").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c")), left.select("g", F.col("v").alias("b"), F.col("n").alias("b_n"), F.col("c").alias("b_c"))
-    across = x.join(y, "g").where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & near).select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
+    member = kept(member.join(label.withColumnRenamed("node", "v"), "v", "left").select("g", "v", "n", F.coalesce("component", "v").alias("c")))
+    per = member.groupBy("g", "c").agg(F.count("*").alias("k"))
+    main = per.groupBy("g").agg(F.max(F.struct("k", "c")).getField("c").alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("g", "main")
+    bits_of = first.select(F.col("rep").alias("v"), *[f"w{i}" for i in range(WORDS)])
+    left = kept(member.join(main, "g").join(bits_of, "v"))
+
+    def side(x: str) -> DataFrame:
+        return left.select("g", *[F.col(c).alias(f"{x}_{c}") for c in left.columns if c != "g"])
+
+    # every pair across components has a member outside the group's largest one; links leave few parity bits apart
+    apart = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(WORDS)), F.lit(0))
+    few = apart * (numerator + denominator) <= (F.col("a_n") + F.col("b_n")) * (denominator - numerator)
+    cross = (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("b_main")) | (F.col("a_v") < F.col("b_v")))
+    met_again = side("a").where("a_c <> a_main").join(side("b"), "g").where(cross & near & few)
+    across = met_again.select(F.least("a_v", "b_v").alias("a"), F.greatest("a_v", "b_v").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
     more = kept(linked(across, docs, text, size, numerator, denominator))
     label = components(links.union(more).union(label.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a < b")))
     final = of.join(label, of["rep"] == label["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
