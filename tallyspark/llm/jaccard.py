@@ -264,7 +264,7 @@ def groups(indexed: DataFrame) -> DataFrame:
         pair = np.stack([hub[other], member[other]], 1)
         pair, back = np.unique(pair, axis=0, return_inverse=True) if len(pair) else (pair, np.zeros(0, np.int64))
         said = np.bincount(back.ravel(), votes[other], len(pair)).astype(np.int64)
-        return pa.table({"kind": pa.array(["pair"] * len(pair) + ["group"] * len(member)), "a": np.concatenate([pair[:, 0], group.astype(np.int64)]), "b": np.concatenate([pair[:, 1], member]), "n": np.concatenate([said, np.repeat(n, n)])})
+        return pa.table({"kind": pa.array(["pair"] * len(pair) + ["group"] * len(member), pa.string()), "a": np.concatenate([pair[:, 0], group.astype(np.int64)]), "b": np.concatenate([pair[:, 1], member]), "n": np.concatenate([said, np.repeat(n, n)])})
 
     return indexed.groupBy("to").applyInArrow(meet, "kind string, a long, b long, n long")
 
