@@ -18,7 +18,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import kept
+
 BUCKETS = 4096
+#: Leaves of the tree up to which the cuts are broadcast.
+LEAVES = 100_000
 
 
 def words(text: str = "text") -> Column:
@@ -82,7 +86,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column],
         raise ValueError(f"columns of docs clash with the mix's own: {clash}")
     names, own = [f"mix_{k}" for k in levels], docs.columns
     rows = docs.select("*", *[F.coalesce(e.cast("string"), F.lit("(none)")).alias(f"mix_{k}") for k, e in levels.items()], (words() if tokens is None else tokens).alias("mix_tokens")).where(F.col("mix_tokens") > 0)
-    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), *[F.col(c) for c in own])).withColumn("__b", F.shiftrightunsigned("__h", 52))
+    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), *[F.col(c) for c in own])).withColumn("__b", F.shiftrightunsigned("__h", 65 - BUCKETS.bit_length()))
     cells = rows.groupBy(*names, "__b").agg(F.sum("mix_tokens").alias("tokens"))
     leaves = cells.groupBy(*names).agg(F.sum("tokens").alias("tokens")).select("*", *[w.cast("double").alias(f"w{i}") for i, w in enumerate(weights.values(), 1)])
     cuts = budgets(leaves, names, budget, share, epochs).select(
@@ -94,7 +98,9 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column],
     placed = cells.withColumn("__before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).join(cuts, names)
     # of each leaf, the range that holds the cut: ranges before it are in whole, those after it out
     cut = placed.where((F.col("__before") <= F.col("__left")) & (F.col("__before") + F.col("tokens") > F.col("__left"))).select(*names, F.col("__b").alias("__cut"), F.col("__before").alias("__at"), "__left", "__whole")
-    rows = rows.join(cut, names)
+    # a row for each leaf: sent to all tasks if they are few, else joined by shuffle
+    cut = kept(cut)
+    rows = rows.join(F.broadcast(cut) if cut.count() <= LEAVES else cut, names)
     inside = Window.partitionBy(*names).orderBy("__h")
     edge = rows.where(F.col("__b") == F.col("__cut")).withColumn("__more", (F.col("__at") + F.sum("mix_tokens").over(inside) <= F.col("__left")).cast("int"))
     rest = rows.where(F.col("__b") != F.col("__cut")).withColumn("__more", (F.col("__b") < F.col("__cut")).cast("int"))
