@@ -50,8 +50,12 @@ def _minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[:n], before[width - 1 : width - 1 + n])
 
 
-def segments(buf: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, text, first window start and number of windows of each segment: neighbouring windows whose smallest hash, the leftmost of equal ones, is at one place."""
+def segments(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, by_place: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, text, first window start and number of windows of each segment: neighbouring windows with one smallest hash.
+
+    ``by_place``: also cut where the leftmost place of that hash changes, so that a hash which
+    comes again within a segment counts twice.
+    """
     none = np.zeros(0, np.int64)
     if len(buf) < length:
         return none.astype(np.uint64), none, none, none
@@ -61,12 +65,14 @@ def segments(buf: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np
     least = _minima((grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), length - ANCHOR + 1)
     least = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     starts = np.arange(len(least))
+    anchor = grams[least]
+    cut_by = least if by_place else anchor
     text = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(least)]
     whole = off[text + 1] - starts >= length
-    new = np.append(True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | ~whole[:-1])
+    new = np.append(True, (cut_by[1:] != cut_by[:-1]) | (text[1:] != text[:-1]) | ~whole[:-1])
     first = np.flatnonzero(new & whole)
     last = np.flatnonzero(np.append(new[1:] | ~whole[1:], True) & whole)
-    return grams[least[first]], text[first], first, last - first + 1
+    return anchor[first], text[first], first, last - first + 1
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -92,7 +98,7 @@ def repeated_anchors(texts: DataFrame, bits: int, length: int) -> np.ndarray:
 
         for piece in flat.pieces(batches, "__text"):
             piece = piece.filter(_unseen(piece, seen))
-            anchors, *_ = segments(*flat.flat(piece.column("__text")), length)
+            anchors, *_ = segments(*flat.flat(piece.column("__text")), length, by_place=True)
             held.append((flat.mix(anchors) >> np.uint64(64 - bits)).astype(np.uint32))
             if sum(map(len, held)) > 1_000_000:
                 yield from flush()
