@@ -13,6 +13,7 @@ by leaf and range, and only the one range of each leaf that holds the cut is ord
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +31,12 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def seeded(seed: int, columns: Sequence[str]) -> Column:
+    """The first 60 bits of md5 over the seed and all columns as text: an order that any engine with md5 can repeat."""
+    text = F.concat_ws("\x1f", F.lit(str(seed)), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in columns])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _key(levels: list[str], depth: int) -> Column:
     return F.to_json(F.array(*[F.col(c) for c in levels[:depth]])) if depth else F.lit("[]")
 
@@ -86,7 +93,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column],
         raise ValueError(f"columns of docs clash with the mix's own: {clash}")
     names, own = [f"mix_{k}" for k in levels], docs.columns
     rows = docs.select("*", *[F.coalesce(e.cast("string"), F.lit("(none)")).alias(f"mix_{k}") for k, e in levels.items()], (words() if tokens is None else tokens).alias("mix_tokens")).where(F.col("mix_tokens") > 0)
-    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), *[F.col(c) for c in own])).withColumn("__b", F.shiftrightunsigned("__h", 65 - BUCKETS.bit_length()))
+    rows = rows.withColumn("__h", seeded(seed, own)).withColumn("__b", F.shiftright("__h", 61 - BUCKETS.bit_length()))
     cells = rows.groupBy(*names, "__b").agg(F.sum("mix_tokens").alias("tokens"))
     leaves = cells.groupBy(*names).agg(F.sum("tokens").alias("tokens")).select("*", *[w.cast("double").alias(f"w{i}") for i, w in enumerate(weights.values(), 1)])
     cuts = budgets(leaves, names, budget, share, epochs).select(
@@ -105,3 +112,33 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column],
     edge = rows.where(F.col("__b") == F.col("__cut")).withColumn("__more", (F.col("__at") + F.sum("mix_tokens").over(inside) <= F.col("__left")).cast("int"))
     rest = rows.where(F.col("__b") != F.col("__cut")).withColumn("__more", (F.col("__b") < F.col("__cut")).cast("int"))
     return edge.unionByName(rest).withColumn("mix_copies", F.col("__whole") + F.col("__more")).where(F.col("mix_copies") > 0).select(*own, *names, "mix_tokens", "mix_copies")
+
+
+def mix_sql(columns: Sequence[str], levels: dict[str, str], weights: dict[str, str], share: float, epochs: int, seed: int = 17, table: str = "documents") -> str:
+    """The same mix in DuckDB: common tables, the last of which, ``mixed``, has ``columns``, mix_<level>, mix_tokens and mix_copies."""
+    names = [f"mix_{k}" for k in levels]
+    leaf, n = ", ".join(names), len(names)
+    key = lambda d: f"to_json([{', '.join(names[:d])}])::VARCHAR" if d else "'[]'"
+    text = ", ".join(f"coalesce({c}::VARCHAR, chr(30))" for c in columns)
+    out = [
+        f"""dealt AS (SELECT *, {", ".join(f"coalesce(({e})::VARCHAR, '(none)') AS mix_{k}" for k, e in levels.items())}, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS mix_tokens,
+('0x' || substr(md5(concat_ws(chr(31), '{seed}', {text})), 1, 15))::BIGINT AS h FROM {table})""",
+        f"leaves AS (SELECT {leaf}, sum(mix_tokens)::DOUBLE AS tokens FROM dealt WHERE mix_tokens > 0 GROUP BY ALL)",
+        f"weighed AS (SELECT *, tokens * {epochs} AS supply, {', '.join(f'greatest(coalesce(({w})::DOUBLE, 0), 0) AS w{d}' for d, w in enumerate(weights.values(), 1))} FROM leaves)",
+        f"r0 AS (SELECT *, CASE WHEN {' AND '.join(f'w{d} > 0' for d in range(1, n + 1))} THEN supply ELSE 0 END AS gives, sum(supply) OVER () * {share}::DOUBLE AS target0, least(target0, sum(gives) OVER ()) AS take0, {', '.join(f'{key(d)} AS k{d}' for d in range(n + 1))} FROM weighed)",
+    ]
+    for d in range(1, n + 1):
+        out += [
+            f"g{d} AS (SELECT k{d - 1} AS up, k{d} AS k, sum(gives) AS cap, max(w{d}) AS w, max(take{d - 1}) AS whole, max(target{d - 1}) AS goal FROM r{d - 1} GROUP BY ALL)",
+            f"o{d} AS (SELECT *, CASE WHEN w > 0 THEN cap / w ELSE 0 END AS ratio, row_number() OVER (PARTITION BY up ORDER BY ratio, k) AS place FROM g{d})",
+            f"v{d} AS (SELECT *, coalesce(sum(cap) OVER (PARTITION BY up ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, sum(w) OVER (PARTITION BY up ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, CASE WHEN rest > 0 THEN (whole - used) / rest ELSE 0 END AS lvl FROM o{d})",
+            f"f{d} AS (SELECT up, arg_min(lvl, place) AS lvl FROM v{d} WHERE cap > lvl * w GROUP BY up)",
+            f"t{d} AS (SELECT k AS k{d}, least(cap, coalesce(f{d}.lvl * w, cap)) AS take{d}, CASE WHEN sum(w) OVER (PARTITION BY up) > 0 THEN goal * w / sum(w) OVER (PARTITION BY up) ELSE 0 END AS target{d} FROM v{d} LEFT JOIN f{d} USING (up))",
+            f"r{d} AS (SELECT * FROM r{d - 1} JOIN t{d} USING (k{d}))",
+        ]
+    out += [
+        f"cuts AS (SELECT {leaf}, CASE WHEN take{n} >= supply THEN {epochs} ELSE floor(take{n} / tokens)::INT END AS whole, CASE WHEN take{n} >= supply THEN 0 ELSE take{n} - floor(take{n} / tokens) * tokens END AS spare FROM r{n})",
+        f"ordered AS (SELECT dealt.*, whole, spare, sum(mix_tokens) OVER (PARTITION BY {leaf} ORDER BY h) AS upto FROM dealt JOIN cuts USING ({leaf}) WHERE mix_tokens > 0)",
+        f"mixed AS (SELECT {', '.join(columns)}, {leaf}, mix_tokens, whole + (upto <= spare)::INT AS mix_copies FROM ordered WHERE whole + (upto <= spare)::INT > 0)",
+    ]
+    return "WITH " + ",\n".join(out)

@@ -79,5 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these can be put in SQL as a whole; tests/llm holds them against brute force."""
-    return {}
+    """The mixture only; the others can't be put in SQL as a whole, and tests/llm holds them against brute force."""
+    levels = {"domain": r"'domain' || (try_cast(regexp_extract(source, '(\d+)$', 1) AS BIGINT) % 4)", "lang": "lang", "source": "source"}
+    weights = {"domain": "1", "lang": "CASE WHEN mix_lang = 'en' THEN 3 ELSE 1 END", "source": "1"}
+    mixed = mixing.mix_sql(("doc_id", "text", "lang", "source", "n_chars"), levels, weights, share=0.8, epochs=3)
+    return {"op8_mixture": f"{mixed}\nSELECT doc_id, mix_domain AS domain, mix_lang AS lang, mix_source AS source, mix_tokens AS n_tokens, mix_copies AS copies FROM mixed"}
