@@ -94,7 +94,9 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column],
     names, own = [f"mix_{k}" for k in levels], docs.columns
     rows = docs.select("*", *[F.coalesce(e.cast("string"), F.lit("(none)")).alias(f"mix_{k}") for k, e in levels.items()], (words() if tokens is None else tokens).alias("mix_tokens")).where(F.col("mix_tokens") > 0)
     rows = rows.withColumn("__h", seeded(seed, own)).withColumn("__b", F.shiftright("__h", 61 - BUCKETS.bit_length()))
-    cells = rows.groupBy(*names, "__b").agg(F.sum("mix_tokens").alias("tokens"))
+    # texts are read once for these narrow rows and once more for the result; all between works on narrow rows
+    narrow = kept(rows.select(*names, "__b", "__h", "mix_tokens"))
+    cells = narrow.groupBy(*names, "__b").agg(F.sum("mix_tokens").alias("tokens"))
     leaves = cells.groupBy(*names).agg(F.sum("tokens").alias("tokens")).select("*", *[w.cast("double").alias(f"w{i}") for i, w in enumerate(weights.values(), 1)])
     cuts = budgets(leaves, names, budget, share, epochs).select(
         *names,
@@ -107,11 +109,15 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column],
     cut = placed.where((F.col("__before") <= F.col("__left")) & (F.col("__before") + F.col("tokens") > F.col("__left"))).select(*names, F.col("__b").alias("__cut"), F.col("__before").alias("__at"), "__left", "__whole")
     # a row for each leaf: sent to all tasks if they are few, else joined by shuffle
     cut = kept(cut)
-    rows = rows.join(F.broadcast(cut) if cut.count() <= LEAVES else cut, names)
+    few = cut.count() <= LEAVES
+    sent = lambda leaf: F.broadcast(leaf) if few else leaf
     inside = Window.partitionBy(*names).orderBy("__h")
-    edge = rows.where(F.col("__b") == F.col("__cut")).withColumn("__more", (F.col("__at") + F.sum("mix_tokens").over(inside) <= F.col("__left")).cast("int"))
-    rest = rows.where(F.col("__b") != F.col("__cut")).withColumn("__more", (F.col("__b") < F.col("__cut")).cast("int"))
-    return edge.unionByName(rest).withColumn("mix_copies", F.col("__whole") + F.col("__more")).where(F.col("mix_copies") > 0).select(*own, *names, "mix_tokens", "mix_copies")
+    edge = narrow.join(sent(cut), names).where(F.col("__b") == F.col("__cut")).withColumn("__upto", F.col("__at") + F.sum("mix_tokens").over(inside))
+    last = edge.where(F.col("__upto") <= F.col("__left")).groupBy(*names).agg(F.max("__h").alias("__last"))
+    # the last hash of a leaf's prefix decides each row on its own, so no text is shuffled
+    cut = kept(cut.join(last, names, "left").select(*names, "__whole", F.coalesce("__last", F.shiftleft("__cut", 61 - BUCKETS.bit_length()) - 1).alias("__last")))
+    out = rows.join(sent(cut), names).withColumn("mix_copies", F.col("__whole") + (F.col("__h") <= F.col("__last")).cast("int"))
+    return out.where(F.col("mix_copies") > 0).select(*own, *names, "mix_tokens", "mix_copies")
 
 
 def mix_sql(columns: Sequence[str], levels: dict[str, str], weights: dict[str, str], share: float, epochs: int, seed: int = 17, table: str = "documents") -> str:
