@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import keyed
@@ -50,3 +50,57 @@ def interval(rows: DataFrame, within: Sequence[str], value: str, level: float =
     """``within``, lo, hi: percentiles of ``value`` over draws, interpolated."""
     tail = (1 - level) / 2
     return rows.groupBy(*within).agg(F.percentile(value, tail).alias("lo"), F.percentile(value, 1 - tail).alias("hi"))
+
+
+def permuted(rows: DataFrame, item: str, x: str, y: str, n: int, seed: int, salt: str = "perm") -> DataFrame:
+    """n_items, rho, p of Spearman's correlation: p is (1 + permutations of ``y`` at least as far from 0) / (n + 1).
+
+    Items are those of a score table, so few; permutations are spread over tasks.
+    """
+    known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    mean_rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
+    ranked = known.select(F.col(item).alias("item"), mean_rank(x).alias("rx"), mean_rank(y).alias("ry"), F.row_number().over(Window.orderBy(item)).alias("slot"))
+    dealt = ranked.select("item", "rx").crossJoin(rows.sparkSession.range(n).withColumnRenamed("id", "draw"))
+    dealt = dealt.withColumn("slot", F.row_number().over(Window.partitionBy("draw").orderBy(keyed(seed, salt, "draw", "item"), "item")))
+    each = dealt.join(ranked.select("slot", "ry"), "slot").groupBy("draw").agg(F.round(F.corr("rx", "ry"), 9).alias("b"))
+    seen = ranked.agg(F.count("*").alias("n_items"), F.round(F.corr("rx", "ry"), 9).alias("rho"))
+    return each.crossJoin(F.broadcast(seen)).groupBy("n_items", "rho").agg(((1 + F.count_if(F.abs("b") >= F.abs("rho"))) / F.lit(n + 1.0)).alias("p"))
+
+
+#: Abramowitz and Stegun 7.1.26, fixed values; the error is below 1.5e-7.
+ERFC_P = 0.3275911
+ERFC_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def two_sided(z: Column) -> Column:
+    """The normal distribution's weight beyond ``z`` on both sides."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1.0 / (1.0 + ERFC_P * x)
+    poly = F.lit(0.0)
+    for a in reversed(ERFC_A):
+        poly = (poly + a) * t
+    return poly * F.exp(-x * x)
+
+
+def two_sided_sql(z: str) -> str:
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    t = f"(1.0::DOUBLE / (1.0::DOUBLE + {ERFC_P}::DOUBLE * {x}))"
+    poly = "0.0::DOUBLE"
+    for a in reversed(ERFC_A):
+        poly = f"(({poly} + ({a}::DOUBLE)) * {t})"
+    return f"({poly} * exp(-{x} * {x}))"
+
+
+def mann_whitney(rows: DataFrame, value: str, first: str) -> DataFrame:
+    """n1, n2, u (of the rows where ``first``), z and two-sided p by the normal approximation with ties.
+
+    Ranks come from counts of distinct values, so what is ordered is as large as these are.
+    """
+    steps = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(first).alias("a"), F.count("*").alias("t"))
+    before = F.coalesce(F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = steps.withColumn("r", before + (F.col("t") + 1) / 2.0).agg(F.sum("a").alias("n1"), F.sum(F.col("t") - F.col("a")).alias("n2"), F.sum(F.col("r") * F.col("a")).alias("s"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
+    n = F.col("n1") + F.col("n2")
+    u = F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2.0
+    sigma = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    out = sums.select("n1", "n2", u.alias("u"), ((u - F.col("n1") * F.col("n2") / 2.0) / F.nullif(sigma, F.lit(0.0))).alias("z"))
+    return out.withColumn("p", two_sided(F.col("z")))
