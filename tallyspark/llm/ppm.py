@@ -1,18 +1,19 @@
 """LM scoring: prediction by partial matching over a trie of byte contexts.
 
 Counts. Every training text is lower-cased, led in by zero bytes and closed by byte 255 (which no
-UTF-8 text holds). Its (ORDER + 1)-byte strings are counted over all training texts: a row for each
-block of texts and part of the trie, merged level by level. A part holds all contexts with the same
-last two bytes, so it has every count of its contexts at each order.
+UTF-8 text holds). Blocks of texts send their sorted distinct (ORDER + 1)-byte strings, of all their
+texts, with the times that their training texts hold each, cut into parts. A part holds all contexts
+with the same last two bytes, so it has every count of its contexts of two bytes and more; what
+shorter contexts saw (at most 65,536 pairs of bytes) goes to all parts. Above ``FAN_IN`` blocks, the
+lists of as many blocks become one first, level by level, and the answers come back the same way.
 
-Model. A part keeps the nodes seen at least t times, with the least t for which it has at most
-``NODES`` / ``PARTS`` of them; a string seen t times has suffixes seen as often, so the trie stays
-closed under suffixes, and what is left out adds to its context's escape. That bounds the model.
-Escapes are by method C (as many as there are different symbols), and a symbol that a longer
-context has seen is excluded from the shorter one's counts.
+Model. A part has all nodes of its contexts, however often seen, so the model grows with the
+corpus and is nowhere in one piece. Escapes are by method C (as many as there are different
+symbols), and a symbol that a longer context has seen is excluded from the shorter one's counts.
 
-Score. A text's log10 probability is the sum over its bytes and its end, each from the longest
-context that the trie has, with an escape for each order that lacks the byte.
+Score. A part answers each block with the log10 probabilities of the strings sent, in their order.
+A text's is the sum over its bytes and its end, each from the longest context that the trie has,
+with an escape for each order that lacks the byte.
 
 The token baseline needs exact counts of all words, which no broadcast bounds. Blocks send their
 sorted distinct word hashes, cut by ranges of the hash, and get back the counts in the same order.
@@ -24,16 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
+from .jaccard import planes, unplaned
 from .store import kept
 
-ORDER, PARTS, NODES = 5, 16, 1_600_000
-BLOCK_BYTES, FAN_IN = 6 << 20, 32
+ORDER, PARTS = 5, 64
+BLOCK_BYTES, FAN_IN = 6 << 20, 256
 END = 255
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_SCHEMA = "kind string, to int, block int, n long, blob binary"
 
 
 def grams(buf: np.ndarray, off: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +87,41 @@ def _unpack(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<i8" if wide == 8 else "<i4", n, 8 * n).astype(np.int64)
 
 
+def _squeeze(b: bytes) -> bytes:
+    return len(b).to_bytes(8, "little") + pa.compress(b, "zstd", asbytes=True)
+
+
+def _loose(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+
+
+def _listed(keys: np.ndarray, times: np.ndarray) -> bytes:
+    """As ``_pack``, for sorted strings, which pack well."""
+    return _squeeze(planes(keys.astype("<u8")) + planes(times.astype("<i8" if times.max(initial=0) >= 1 << 31 else "<i4")))
+
+
+def _list(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    blob = _loose(blob)
+    return unplaned(blob[: 8 * n], "<u8"), unplaned(blob[8 * n :], "<i8" if len(blob) == 16 * n else "<i4").astype(np.int64)
+
+
+def _gram_counts(table: pa.Table, order: int, seen: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of a block, sorted, and how often its training texts hold each (not ``seen``: zeros)."""
+    every, often, pending = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for piece in flat.pieces(iter(table.to_batches()), "__text"):
+        strings, of = grams(flat.LOWER[(held := flat.flat(piece.column("__text")))[0]], held[1], order)
+        learn = piece.column("__learn").to_numpy(zero_copy_only=False).astype(bool)[of] if seen else np.zeros(len(of), bool)
+        for some, factor in ((strings[learn], 1), (strings[~learn], 0)):
+            k, t = _counted(some)
+            every.append(k)
+            often.append(t * factor)
+            pending += len(k)
+        if pending > 1_000_000:
+            k, t = _counted(np.concatenate(every), np.concatenate(often))
+            every, often, pending = [k], [t], 0
+    return _counted(np.concatenate(every), np.concatenate(often))
+
+
 def _word_counts(table: pa.Table, seen: bool) -> tuple[np.ndarray, np.ndarray]:
     """Distinct word hashes of a block, sorted, and how often the training texts of the block hold each."""
     keys, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -107,7 +146,7 @@ def _blocks(docs: DataFrame, text: str, learn: Column) -> tuple[DataFrame, int]:
 
 
 def counts(blocked: DataFrame, n_blocks: int, order: int = ORDER) -> DataFrame:
-    """kind ("word" or "gram"), to (range of word hashes, or part of the trie), block, n and blob: keys and counts."""
+    """kind ("word", "gram", "pair" or "texts"), to (range of word hashes, or part of the trie), block, n and blob: keys and counts."""
 
     def count(table: pa.Table) -> pa.Table:
         block = table.column("__block")[0].as_py()
@@ -115,25 +154,16 @@ def counts(blocked: DataFrame, n_blocks: int, order: int = ORDER) -> DataFrame:
         bounds = np.searchsorted(keys >> np.uint64(40), (np.arange(1, n_blocks, dtype=np.uint64) << np.uint64(24)) // np.uint64(n_blocks))
         bounds = np.concatenate([[0], bounds, [len(keys)]])
         rows = [("word", r, block, int(b - a), _pack(keys[a:b], times[a:b])) for r, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
-        every, often, pending = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-        texts = 0
-        for piece in flat.pieces(iter(table.filter(table.column("__learn")).to_batches()), "__text"):
-            buf, off = flat.flat(piece.column("__text"))
-            texts += piece.num_rows
-            k, t = _counted(grams(flat.LOWER[buf], off, order)[0])
-            every.append(k)
-            often.append(t)
-            pending += len(k)
-            if pending > 500_000:
-                k, t = _counted(np.concatenate(every), np.concatenate(often))
-                every, often, pending = [k], [t], 0
-        k, t = _counted(np.concatenate(every), np.concatenate(often))
+        texts = int(np.count_nonzero(table.column("__learn").to_numpy(zero_copy_only=False)))
+        k, t = _gram_counts(table, order, True)
         part = part_of(k)
-        rows += [("gram", p, block, int((part == p).sum()), _pack(k[part == p], t[part == p])) for p in range(PARTS) if (part == p).any()]
+        rows += [("gram", p, block, int((part == p).sum()), _listed(k[part == p], t[part == p])) for p in np.unique(part).tolist()]
+        k, t = _counted(k[t > 0] & np.uint64(0xFFFF), t[t > 0])
+        rows += [("pair", 0, block, len(k), _listed(k, t))] if len(k) else []
         rows.append(("texts", 0, block, texts, b""))
         return _rows(rows)
 
-    return blocked.groupBy("__block").applyInArrow(count, "kind string, to int, block int, n long, blob binary")
+    return blocked.groupBy("__block").applyInArrow(count, _SCHEMA)
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -141,9 +171,10 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(names)})
 
 
-def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    pairs = [_unpack(b, n) for b, n in zip(table.column("blob").to_pylist(), table.column("n").to_pylist(), strict=True)]
-    return _counted(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct strings of all lists, their counts, and the strings of each list."""
+    pairs = [_list(b, n) for b, n in zip(table.column("blob").to_pylist(), table.column("n").to_pylist(), strict=True)]
+    return *_counted(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])), [p[0] for p in pairs]
 
 
 def answers(words: DataFrame) -> DataFrame:
@@ -156,54 +187,58 @@ def answers(words: DataFrame) -> DataFrame:
         rows = [("answer", to, b, len(k), times[np.searchsorted(keys, k)].astype("<i8" if times.max() >= 1 << 31 else "<i4").tobytes()) for b, (k, _) in zip(table.column("block").to_pylist(), pairs, strict=True)]
         return _rows([*rows, ("total", to, -1, int((times > 0).sum()), int(times.sum()).to_bytes(8, "little"))])
 
-    return words.groupBy("to").applyInArrow(answer, "kind string, to int, block int, n long, blob binary")
+    return words.groupBy("to").applyInArrow(answer, _SCHEMA)
 
 
-def nodes(keys: np.ndarray, times: np.ndarray, order: int, room: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By context length, from 1: the strings kept, their counts and their contexts' full counts. All strings of two bytes stay."""
-    out, least = {}, 1
-    levels = {}
-    for j in range(order, 0, -1):
+def levels(keys: np.ndarray, times: np.ndarray, order: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By context length, from ``least``: the strings, their counts and their contexts' counts."""
+    out = {}
+    for j in range(order, least - 1, -1):
         k, t = _counted(keys & np.uint64((1 << 8 * (j + 1)) - 1), times)
         _, first, inverse = np.unique(k >> np.uint64(8), return_index=True, return_inverse=True)
-        total = np.add.reduceat(t, first) if len(k) else t
-        levels[j] = (k, t, total[inverse])
-    while sum(int((t >= least).sum()) for j, (_, t, _) in levels.items() if j > 1) > room:
-        least += max(1, least // 4)
-    for j, (k, t, n) in levels.items():
-        keep = t >= (least if j > 1 else 1)
-        out[j] = (k[keep], t[keep], n[keep])
+        out[j] = (k, t, (np.add.reduceat(t, first) if len(k) else t)[inverse])
     return out
 
 
-def trie(grams_: DataFrame, n_blocks: int, order: int = ORDER, room: int = NODES // PARTS) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The kept nodes of all parts, on the driver: at most ``NODES`` of three numbers, and all pairs of bytes."""
+def pairs_of(sent: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of bytes of the training texts and their counts, on the driver: 65,536 at most, whatever the input."""
 
     def merge(table: pa.Table) -> pa.Table:
-        k, t = _merge(table)
-        return _rows([("gram", table.column("to")[0].as_py(), table.column("block")[0].as_py(), len(k), _pack(k, t))])
+        k, t, _ = _merge(table)
+        return _rows([("pair", 0, 0, len(k), _listed(k, t))])
+
+    rows = sent.where("kind = 'pair'").groupBy(F.pmod("block", F.lit(64))).applyInArrow(merge, _SCHEMA).collect()
+    lists = [_list(bytes(r.blob), r.n) for r in rows]
+    return _counted(np.concatenate([np.zeros(0, np.uint64), *[x[0] for x in lists]]), np.concatenate([np.zeros(0, np.int64), *[x[1] for x in lists]]))
+
+
+def odds(lists: DataFrame, n_blocks: int, pairs: tuple[np.ndarray, np.ndarray], order: int = ORDER) -> DataFrame:
+    """For each part and block, the log10 probabilities of the strings sent in their order ("odds" rows)."""
+    shared = lists.sparkSession.sparkContext.broadcast(pairs)
+
+    def reply(table: pa.Table, keys: np.ndarray, value: np.ndarray, lists: list[np.ndarray]) -> pa.Table:
+        to = table.column("to")[0].as_py()
+        return _rows([("odds", to, b, len(k), _squeeze(planes(value[np.searchsorted(keys, k)]))) for b, k in zip(table.column("block").to_pylist(), lists, strict=True)])
 
     def last(table: pa.Table) -> pa.Table:
-        rows = [("gram", j, 0, len(k), _pack(k, t) + n.astype("<i8").tobytes()) for j, (k, t, n) in nodes(*_merge(table), order, room).items()]
-        return _rows(rows)
+        keys, times, lists = _merge(table)
+        nodes = levels(keys[times > 0], times[times > 0], order, 2) | levels(*shared.value, min(order, 1), 0)
+        return reply(table, keys, Model(nodes).score(keys).astype("<f4"), lists)
 
-    schema = "kind string, to int, block int, n long, blob binary"
-    while n_blocks > FAN_IN:
-        n_blocks = -(-n_blocks // FAN_IN)
-        grams_ = grams_.withColumn("block", F.pmod("block", F.lit(n_blocks)).cast("int")).groupBy("to", "block").applyInArrow(merge, schema)
-    found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {j: [] for j in range(order + 1)}
-    for r in grams_.groupBy("to").applyInArrow(last, schema).collect():
-        blob = bytes(r.blob)
-        k, t = _unpack(blob[: -8 * r.n], r.n) if r.n else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        found[r.to].append((k, t, np.frombuffer(blob[-8 * r.n :], "<i8") if r.n else t))
-    empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    out = {j: tuple(np.concatenate(x) for x in zip(*(found[j] or [empty]), strict=True)) for j in range(1, order + 1)}
-    k, t = _counted(out[1][0], out[1][1])
-    _, first, inverse = np.unique(k >> np.uint64(8), return_index=True, return_inverse=True)
-    out[1] = (k, t, (np.add.reduceat(t, first) if len(k) else t)[inverse])
-    k, t = _counted(k & np.uint64(255), t)
-    out[0] = (k, t, np.full(len(k), t.sum()))
-    return out
+    def merge(table: pa.Table) -> pa.Table:
+        k, t, _ = _merge(table)
+        return _rows([("gram", table.column("to")[0].as_py(), table.column("__group")[0].as_py(), len(k), _listed(k, t))])
+
+    def back(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, _, lists = _merge(left)
+        return reply(left, keys, unplaned(_loose(right.column("blob")[0].as_py()), "<f4"), lists)
+
+    if n_blocks <= FAN_IN:
+        return lists.groupBy("to").applyInArrow(last, _SCHEMA)
+    n_groups = -(-n_blocks // FAN_IN)
+    grouped = lists.withColumn("__group", F.pmod("block", F.lit(n_groups)).cast("int"))
+    above = odds(kept(grouped.groupBy("to", "__group").applyInArrow(merge, _SCHEMA)), n_groups, pairs, order)
+    return grouped.groupBy("to", "__group").cogroup(above.withColumnRenamed("block", "__group").groupBy("to", "__group")).applyInArrow(back, _SCHEMA)
 
 
 class Lookup:
@@ -306,22 +341,26 @@ def score(docs: DataFrame, learn: Column, text: str = "text", order: int = ORDER
     trie is empty and every symbol has the odds of 1 in 256. Columns besides doc_id, the text and
     those that ``learn`` reads aren't looked at.
     """
-    spark = docs.sparkSession
     ident = docs.schema["doc_id"].dataType.simpleString()
     blocked, n_blocks = _blocks(docs, text, learn)
-    schema = "kind string, to int, block int, n long, blob binary"
     sent = kept(counts(blocked, n_blocks, order))
     replies = kept(answers(sent.where("kind = 'word'")))
     texts = int(sent.where("kind = 'texts'").agg(F.sum("n")).first()[0] or 0)
     per = replies.where("kind = 'total'").select("n", "blob").mapInArrow(_totals, "v long, s long").agg(F.sum("v").alias("v"), F.sum("s").alias("s")).first()
     n_train, n_kinds = int(per.s or 0) + texts, int(per.v or 0) + (texts > 0)
-    model = spark.sparkContext.broadcast(Model(trie(sent.where("kind = 'gram'").select(*[c.split()[0] for c in schema.split(", ")]), n_blocks, order)))
+    priced = odds(sent.where("kind = 'gram'"), n_blocks, pairs_of(sent), order)
     space = n_train + 0.1 * (n_kinds + 1)
 
     def of_block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"doc_id": left.column("doc_id").combine_chunks()[:0], **{k: pa.array([], t) for k, t in _OUT}})
         right = right.sort_by("to")
+        strings, _ = _gram_counts(left, order, False)
+        found = Lookup(strings)
+        chance = np.zeros(len(strings))
+        chance[np.argsort(part_of(strings), kind="stable")] = np.concatenate([np.zeros(0, "<f4"), *[unplaned(_loose(b), "<f4") for b in right.filter(pc.equal(right.column("kind"), "odds")).column("blob").to_pylist()]])
+        chance = chance[found.order]
+        right = right.filter(pc.equal(right.column("kind"), "answer"))
         keys, _ = _word_counts(left, False)
         known = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(b, "<i8" if len(b) == 8 * n else "<i4").astype(np.int64) for b, n in zip(right.column("blob").to_pylist(), right.column("n").to_pylist(), strict=True)]])
         parts = []
@@ -334,12 +373,12 @@ def score(docs: DataFrame, learn: Column, text: str = "text", order: int = ORDER
             c = known[np.searchsorted(keys, flat.Hasher(buf)(starts, ends))]
             base = np.bincount(doc, np.log10((c + 0.1) / space), n) + np.log10((texts + 0.1) / space)
             strings, of = grams(buf, off, order)
-            total = np.bincount(of, model.value.score(strings), n)
+            total = np.bincount(of, chance[found(strings)], n)
             words = np.bincount(doc, minlength=n)
             parts.append(pa.table({"doc_id": piece.column("doc_id"), "n_tokens": (words + 1).astype(np.int64), "n_known": np.bincount(doc[c > 0], minlength=n).astype(np.int64) + int(texts > 0), "train_tokens": np.full(n, n_train, np.int64), "base_score": base, "score": total, "n_bytes": np.diff(off)}))
         return pa.concat_tables(parts)
 
-    answered = replies.where("kind = 'answer'").select(F.col("block").alias("__block"), "to", "n", "blob")
+    answered = replies.where("kind = 'answer'").select("kind", F.col("block").alias("__block"), "to", "n", "blob").union(priced.select("kind", F.col("block").alias("__block"), "to", "n", "blob"))
     return blocked.groupBy("__block").cogroup(answered.groupBy("__block")).applyInArrow(of_block, f"doc_id {ident}, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
 
 

@@ -128,6 +128,39 @@ def test_ppm(spark, docs, texts, empty):
     assert ppm.score(docs, F.lit(False)).where("score > 0 OR n_known > 0").count() == 0
 
 
+def test_ppm_keeps_all_contexts(spark, monkeypatch):
+    """More different contexts than the bound there was; in many small blocks, whose lists are merged by level."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 123, 50_000))) for _ in range(20)]
+    texts.append("".join(t[i : i + 12] for i, t in zip(range(0, 4000, 200), texts, strict=True)))
+    wide = [np.frombuffer(bytes(5) + t.encode() + b"\xff", np.uint8).astype(np.uint64) for t in texts]
+    strings = [sum(w[j : len(w) - 5 + j] << np.uint64(8 * (5 - j)) for j in range(6)) for w in wide]
+    seen, total = np.concatenate(strings[:-1]), 0.0
+    after = [{} for _ in range(6)]
+    for s in strings[-1]:
+        out = set()
+        for j in range(5, -1, -1):
+            context = (s >> np.uint64(8)) & np.uint64((1 << 8 * j) - 1)
+            if context not in after[j]:
+                symbols = seen[((seen >> np.uint64(8)) & np.uint64((1 << 8 * j) - 1)) == context] & np.uint64(255)
+                after[j][context] = dict(zip(*(x.tolist() for x in np.unique(symbols, return_counts=True)), strict=True))
+            c = {k: n for k, n in after[j][context].items() if k not in out}
+            if not c:
+                continue
+            if int(s) & 255 in c:
+                total += math.log10(c[int(s) & 255] / (sum(c.values()) + len(c)))
+                break
+            total += math.log10(len(c) / (sum(c.values()) + len(c)))
+            out |= set(c)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = by_id(ppm.score(docs, F.col("doc_id") < 20))
+    assert whole[20].score == pytest.approx(total, abs=1e-2)
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 60_000)
+    monkeypatch.setattr(ppm, "FAN_IN", 3)
+    cut = by_id(ppm.score(docs, F.col("doc_id") < 20))
+    assert all(cut[i].score == pytest.approx(whole[i].score, rel=1e-9) for i in whole)
+
+
 def test_bpe(docs, texts, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = f"{TOKENIZERS}/byte_bpe_50k.json"
