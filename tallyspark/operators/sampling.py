@@ -52,3 +52,46 @@ def verification_pairs(rows: DataFrame, holder: str, ident: str, n: int, seed: i
         return pairs.orderBy(keyed(seed, f"pair{label}", "id_a", "id_b"), "id_a", "id_b").limit(n // 2).withColumn("label", F.lit(label))
 
     return near(within, 1).unionByName(near(spread, 0))
+
+
+def drawn_pairs(rows: DataFrame, holder: str, ident: str, n: int, seed: int = 42) -> DataFrame:
+    """id_a < id_b, label: n / 2 pairs of one holder and n / 2 of two, holders drawn uniformly, then their rows.
+
+    Draws are numbered and keyed; of repeated pairs the first counts. Holders with one row take no part.
+    Where there are fewer different pairs, all are drawn.
+    """
+    w = Window.partitionBy(holder)
+    held = rows.withColumn("__i", F.row_number().over(w.orderBy(ident)) - 1).withColumn("__n", F.count(F.lit(1)).over(w)).where("__n >= 2")
+    sizes = held.groupBy(holder).agg(F.count("*").alias("__n")).withColumn("__s", F.row_number().over(Window.orderBy(holder)) - 1)
+    total = sizes.agg(F.count("*").alias("k"), F.sum("__n").alias("m"), F.sum(F.col("__n") * (F.col("__n") - 1) / 2).alias("same"), F.sum(F.col("__n") * F.col("__n")).alias("squares")).first()
+    if total.k < 2:
+        raise ValueError("need two holders with two rows each")
+    place = held.join(sizes.select(holder, "__s"), holder).select("__s", "__i", ident)
+    size = sizes.select("__s", "__n")
+
+    def side(x: str) -> DataFrame:
+        return place.select(F.col("__s").alias(f"__s{x}"), F.col("__i").alias(f"__i{x}"), F.col(ident).alias(f"__{x}"))
+
+    def draws(label: int, of: DataFrame) -> DataFrame:
+        key = lambda salt: keyed(seed, f"{salt}{label}", "id")
+        d = of.withColumn("__sa", key("holder") % total.k)
+        d = d.withColumn("__sb", F.col("__sa") if label else (F.col("__sa") + 1 + key("other") % (total.k - 1)) % total.k)
+        for x in "ab":
+            d = d.join(size.select(F.col("__s").alias(f"__s{x}"), F.col("__n").alias(f"__n{x}")), f"__s{x}")
+        d = d.withColumn("__ia", key("first") % F.col("__na"))
+        d = d.withColumn("__ib", (F.col("__ia") + 1 + key("second") % (F.col("__na") - 1)) % F.col("__na") if label else key("second") % F.col("__nb"))
+        for x in "ab":
+            d = d.join(side(x), [f"__s{x}", f"__i{x}"])
+        return d.select("id", F.least("__a", "__b").alias("id_a"), F.greatest("__a", "__b").alias("id_b")).groupBy("id_a", "id_b").agg(F.min("id").alias("id"))
+
+    def some(label: int, possible: int) -> DataFrame:
+        wanted = min(n // 2, possible)
+        many = 2 * wanted
+        while True:
+            found = draws(label, rows.sparkSession.range(many)).cache()
+            if found.count() >= wanted:
+                return found.orderBy("id").limit(wanted).select("id_a", "id_b", F.lit(label).alias("label"))
+            found.unpersist()
+            many *= 2
+
+    return some(1, int(total.same)).unionByName(some(0, int((total.m**2 - total.squares) // 2)))

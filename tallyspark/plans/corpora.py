@@ -67,6 +67,32 @@ def smp04_verification_pairs(spark: SparkSession, d: str) -> DataFrame:
     return sampling.verification_pairs(manifest(spark, d).select("utt_id", "speaker_id"), "speaker_id", "utt_id", 200)
 
 
+@query("WITH {manifest}, t AS (SELECT * FROM manifest WHERE length(norm) > 0), g AS (SELECT norm FROM t GROUP BY 1 HAVING count(DISTINCT speaker_id) >= 2 ORDER BY " + keyed_sql(1, "subset", "md5(norm)") + ", norm LIMIT 4000), a AS (SELECT t.* FROM t JOIN g USING (norm)), have AS (SELECT speaker_id, count(*) AS n FROM a GROUP BY 1), o AS (SELECT t.*, row_number() OVER (PARTITION BY t.speaker_id ORDER BY " + keyed_sql(1, "topup", "t.utt_id") + ", utt_id) AS k FROM t ANTI JOIN a ON t.utt_id = a.utt_id), e AS (SELECT speaker_id FROM t GROUP BY 1 HAVING count(*) >= 30) SELECT utt_id, speaker_id, true AS grouped FROM a UNION ALL SELECT utt_id, o.speaker_id, false FROM o JOIN e USING (speaker_id) LEFT JOIN have USING (speaker_id) WHERE k <= 20 - coalesce(n, 0)")
+def smp01_subset_default(spark: SparkSession, d: str) -> DataFrame:
+    """With the reference's sizes: 4,000 groups; 20 rows of each speaker that has 30; only rows with a text."""
+    m = manifest(spark, d).where(F.length("norm") > 0)
+    chosen = sampling.content_groups(m, "transcript", "speaker_id").orderBy(keyed(1, "subset", F.md5("norm")), "norm").limit(4000).select("norm")
+    a = m.join(chosen, "norm").select("utt_id", "speaker_id")
+    have = a.groupBy("speaker_id").agg(F.count("*").alias("n"))
+    many = m.groupBy("speaker_id").agg(F.count("*").alias("rows")).where("rows >= 30").select("speaker_id")
+    rest = m.select("utt_id", "speaker_id").join(a, "utt_id", "left_anti").join(many, "speaker_id").withColumn("k", F.row_number().over(Window.partitionBy("speaker_id").orderBy(keyed(1, "topup", "utt_id"), "utt_id")))
+    more = rest.join(have, "speaker_id", "left").where(F.col("k") <= 20 - F.coalesce("n", F.lit(0)))
+    return a.withColumn("grouped", F.lit(True)).unionByName(more.select("utt_id", "speaker_id", F.lit(False).alias("grouped")))
+
+
+@query("WITH {manifest}, k AS (SELECT utt_id, speaker_id, count(*) OVER (PARTITION BY speaker_id) AS n, row_number() OVER (PARTITION BY speaker_id ORDER BY " + keyed_sql(13, "cap", "utt_id") + ", utt_id) AS r FROM manifest WHERE duration BETWEEN 200 AND 20000) SELECT utt_id, speaker_id FROM k WHERE n >= 10 AND r <= 20")
+def smp02_capped_default(spark: SparkSession, d: str) -> DataFrame:
+    """With the reference's sizes: 20 rows of each speaker that has 10."""
+    rows = manifest(spark, d).where(F.col("duration").between(200, 20000)).select("utt_id", "speaker_id")
+    return sampling.capped(rows, ["speaker_id"], "utt_id", 20, 10)
+
+
+@query()
+def smp04_verification_pairs_default(spark: SparkSession, d: str) -> DataFrame:
+    """With the reference's 4,000 pairs, speakers drawn uniformly."""
+    return sampling.drawn_pairs(manifest(spark, d).select("utt_id", "speaker_id"), "speaker_id", "utt_id", 4000)
+
+
 @query("WITH {manifest} SELECT a.utt_id AS qid, b.utt_id AS did, 1 AS rel FROM manifest a JOIN manifest b ON a.norm = b.norm AND a.speaker_id <> b.speaker_id AND a.utt_id <> b.utt_id WHERE length(a.norm) > 0")
 def joi06_qrels(spark: SparkSession, d: str) -> DataFrame:
     """Same sentence, other speaker; texts meet by their digest, so that none is shuffled."""

@@ -64,3 +64,22 @@ def test_transcripts(spark):
     assert [tuple(r) for r in texts.line_transcripts(lines).collect()] == [("utt_1", "some text")]
     tabs = spark.createDataFrame([("u\ts\tt",), ("u\ts",)], "value string")
     assert [tuple(r) for r in texts.tab_transcripts(tabs).collect()] == [("u", "s", "t")]
+
+
+def test_samplers_at_the_reference_sizes(spark):
+    from tallyspark.plans import catalog
+
+    q, at = catalog.queries(), "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "source").collect()
+    source = {r.doc_id: r.source for r in docs}
+    pairs = q["smp04_verification_pairs_default"](spark, at).collect()
+    assert len(pairs) == len({(r.id_a, r.id_b) for r in pairs}) == 4000 and sum(r.label for r in pairs) == 2000
+    assert all(r.id_a < r.id_b and (source[r.id_a] == source[r.id_b]) == bool(r.label) for r in pairs)
+    # no draw is confined to a cell or a neighbourhood: all pairs of speakers come up
+    assert len({frozenset((source[r.id_a], source[r.id_b])) for r in pairs if not r.label}) > min(200, len(set(source.values())) * (len(set(source.values())) - 1) // 4)
+    sizes = {s: sum(x == s for x in source.values()) for s in set(source.values())}
+    for r in q["smp08_rerank_sets_default"](spark, at).collect():
+        # positives among the draws aside, the speaker gives each query 100 rows or all it has
+        assert r.n_negative + r.n_positive >= min(100, sizes[source[r.qid]] - 1)
+    assert q["smp02_capped_default"](spark, at).groupBy("speaker_id").count().where("count > 10").count()
+    assert q["smp01_subset_default"](spark, at).where("grouped").count() >= q["smp01_subset"](spark, at).where("grouped").count()
