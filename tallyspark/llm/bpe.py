@@ -3,7 +3,8 @@
 The symbols of many words stand in one flat array. A round looks up every neighbouring pair by
 binary search over the sorted pair keys of the vocabulary, takes each word's lowest rank, and
 merges that pair wherever it stands in the word, from left to right; rounds go on for the words
-that still have a pair. Words repeat, so a worker keeps what it has encoded, up to ``REMEMBER``.
+that still have a pair. Words repeat, so a worker keeps what it has encoded, up to ``REMEMBER``
+bytes of words and ids; words above ``LONGEST`` characters aren't kept.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from . import flat
 
 #: The pattern that splits a text before the merges, fixed by the tokenizer's format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBER = 500_000
+REMEMBER, LONGEST = 4 << 20, 64
 
 
 def byte_names() -> dict[str, int]:
@@ -118,6 +119,7 @@ class Coder:
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.vocabulary.special, key=len, reverse=True)) + ")").split if self.vocabulary.special else lambda t: [t]
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def words(self, text: str) -> list[str]:
         special = self.vocabulary.special
@@ -128,15 +130,21 @@ class Coder:
     def encode_words(self, words: list[list[str]]) -> list[bytes]:
         """The ids of each text as decimal text, joined by commas."""
         known, v = self.known, self.vocabulary
-        distinct = set(chain.from_iterable(words))
-        new = distinct - known.keys()
-        if len(known) + len(new) > REMEMBER:
-            known = self.known = {w: known[w] for w in distinct - new}
+        new = set(chain.from_iterable(words)) - known.keys()
         fresh = [w for w in new if w not in v.special]
-        known.update({w: v.text[v.special[w]] for w in new if w in v.special})
+        found = {w: v.text[v.special[w]] for w in new if w in v.special}
         if fresh:
-            known.update(zip(fresh, v.written([w.encode() for w in fresh]), strict=True))
-        return [b",".join(map(known.__getitem__, ws)) for ws in words]
+            found.update(zip(fresh, v.written([w.encode() for w in fresh]), strict=True))
+        known.update(found)
+        out = [b",".join(map(known.__getitem__, ws)) for ws in words]
+        for w, ids in found.items():
+            if len(w) > LONGEST:
+                del known[w]
+            else:
+                self.held += len(w) + len(ids)
+        if self.held > REMEMBER:
+            self.known, self.held = {}, 0
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.fromstring(b, np.int64, sep=",") if b else np.zeros(0, np.int64) for b in self.encode_words([self.words(t) for t in texts])]

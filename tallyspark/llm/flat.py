@@ -7,6 +7,7 @@ batch has; a single longer text is a piece of its own and is never cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +65,22 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL(None)
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Gives free memory back to the system: a worker lives on after its task, and what one stage freed is no use to the next one's JVM."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches: about ``limit`` bytes of ``column`` in each, one row at least."""
     for batch in batches:
@@ -76,6 +93,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def runs(member: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
