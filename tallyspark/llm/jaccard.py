@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType
 
 from . import flat
 from .components import components
@@ -307,9 +308,21 @@ def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, numerator: in
 
     Two documents link when denominator * |intersection| >= numerator * |union|; a component's id is
     its smallest doc_id. Null, empty and blank texts have an empty set and link with nothing, not even each other: their
-    component is their own id. Rows that share an id are one document. A null id has no links and a
-    null component. An empty table gives an empty result. Columns besides doc_id and the text aren't read.
+    component is their own id. Rows that share an id are one document, with the links of all its
+    texts. A null id has no links and a null component. An empty table gives an empty result. Columns
+    besides doc_id and the text aren't read. Ids that are no whole numbers are numbered in their order.
     """
+    kind = docs.schema["doc_id"].dataType
+    docs = docs.select("doc_id", text)
+    if not isinstance(kind, IntegralType):
+        numbers = kept(docs.select("doc_id").dropna().distinct().orderBy("doc_id").select("doc_id", F.monotonically_increasing_id().alias("__n")))
+        by_number = docs.join(numbers, "doc_id", "left").select(F.col("__n").alias("doc_id"), text)
+        out = join(by_number, text, size, numerator, denominator)
+        name = lambda c: numbers.select(F.col("doc_id").alias(f"__{c}"), F.col("__n").alias(c))
+        return out.join(name("doc_id"), "doc_id", "left").join(name("component_id"), "component_id", "left").select(F.col("__doc_id").alias("doc_id"), "n_shingles", F.col("__component_id").alias("component_id"))
+    if not isinstance(kind, LongType):
+        out = join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), text, size, numerator, denominator)
+        return out.select(F.col("doc_id").cast(kind), "n_shingles", F.col("component_id").cast(kind))
     profile = kept(profiles(docs, text, size))
     total = profile.agg(F.sum("n").alias("n")).first().n or 0
     bits = min(16, max(6, int(total // 1_000_000).bit_length()))

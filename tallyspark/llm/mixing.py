@@ -5,7 +5,7 @@ goes down from the root: siblings share their parent's budget by weight, none ge
 subtree can give (tokens times epochs), and what one can't take goes to its siblings by weight; so
 a shortage is made up as far down the tree as it can be, and only what a whole subtree lacks is left
 to the siblings of an ancestor. Each leaf then takes whole epochs of its documents and, of one more
-epoch, a prefix in seeded order: the documents whose tokens end within what is left.
+epoch, a prefix in that epoch's own seeded order: the documents whose tokens end within what is left.
 
 No task gets a whole leaf: documents are dealt into ``BUCKETS`` ranges of their seeded hash, summed
 by leaf and range, and only the one range of each leaf that holds the cut is ordered by document.
@@ -37,6 +37,11 @@ def seeded(seed: int, columns: Sequence[str]) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def of_epoch(h: Column, epoch: Column) -> Column:
+    """A row's place in the order of an epoch, from its seeded hash: every epoch has another order."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", h.cast("string"), epoch.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _key(levels: list[str], depth: int) -> Column:
     return F.to_json(F.array(*[F.col(c) for c in levels[:depth]])) if depth else F.lit("[]")
 
@@ -93,30 +98,33 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column],
         raise ValueError(f"columns of docs clash with the mix's own: {clash}")
     names, own = [f"mix_{k}" for k in levels], docs.columns
     rows = docs.select("*", *[F.coalesce(e.cast("string"), F.lit("(none)")).alias(f"mix_{k}") for k, e in levels.items()], (words() if tokens is None else tokens).alias("mix_tokens")).where(F.col("mix_tokens") > 0)
-    rows = rows.withColumn("__h", seeded(seed, own)).withColumn("__b", F.shiftright("__h", 61 - BUCKETS.bit_length()))
+    rows = rows.withColumn("__h", seeded(seed, own))
     # texts are read once for these narrow rows and once more for the result; all between works on narrow rows
-    narrow = kept(rows.select(*names, "__b", "__h", "mix_tokens"))
-    cells = narrow.groupBy(*names, "__b").agg(F.sum("mix_tokens").alias("tokens"))
-    leaves = cells.groupBy(*names).agg(F.sum("tokens").alias("tokens")).select("*", *[w.cast("double").alias(f"w{i}") for i, w in enumerate(weights.values(), 1)])
+    narrow = kept(rows.select(*names, "__h", "mix_tokens"))
+    leaves = narrow.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")).select("*", *[w.cast("double").alias(f"w{i}") for i, w in enumerate(weights.values(), 1)])
     cuts = budgets(leaves, names, budget, share, epochs).select(
         *names,
         F.when(F.col("take") >= F.col("supply"), F.lit(epochs)).otherwise(F.floor(F.col("take") / F.col("tokens"))).cast("int").alias("__whole"),
         F.when(F.col("take") >= F.col("supply"), F.lit(0.0)).otherwise(F.col("take") - F.floor(F.col("take") / F.col("tokens")) * F.col("tokens")).alias("__left"),
     )
+    # a row for each leaf: sent to all tasks if they are few, else joined by shuffle
+    cuts = kept(cuts)
+    few = cuts.count() <= LEAVES
+    sent = lambda leaf: F.broadcast(leaf) if few else leaf
+    place = of_epoch(F.col("__h"), F.col("__whole"))
+    dealt = narrow.join(sent(cuts), names).withColumn("__e", place).withColumn("__b", F.shiftright("__e", 61 - BUCKETS.bit_length()))
+    cells = dealt.groupBy(*names, "__b").agg(F.sum("mix_tokens").alias("tokens"))
     before = Window.partitionBy(*names).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     placed = cells.withColumn("__before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).join(cuts, names)
     # of each leaf, the range that holds the cut: ranges before it are in whole, those after it out
     cut = placed.where((F.col("__before") <= F.col("__left")) & (F.col("__before") + F.col("tokens") > F.col("__left"))).select(*names, F.col("__b").alias("__cut"), F.col("__before").alias("__at"), "__left", "__whole")
-    # a row for each leaf: sent to all tasks if they are few, else joined by shuffle
     cut = kept(cut)
-    few = cut.count() <= LEAVES
-    sent = lambda leaf: F.broadcast(leaf) if few else leaf
-    inside = Window.partitionBy(*names).orderBy("__h")
-    edge = narrow.join(sent(cut), names).where(F.col("__b") == F.col("__cut")).withColumn("__upto", F.col("__at") + F.sum("mix_tokens").over(inside))
-    last = edge.where(F.col("__upto") <= F.col("__left")).groupBy(*names).agg(F.max("__h").alias("__last"))
-    # the last hash of a leaf's prefix decides each row on its own, so no text is shuffled
+    inside = Window.partitionBy(*names).orderBy("__e")
+    edge = dealt.drop("__left", "__whole").join(sent(cut), names).where(F.col("__b") == F.col("__cut")).withColumn("__upto", F.col("__at") + F.sum("mix_tokens").over(inside))
+    last = edge.where(F.col("__upto") <= F.col("__left")).groupBy(*names).agg(F.max("__e").alias("__last"))
+    # the last place of a leaf's prefix decides each row on its own, so no text is shuffled
     cut = kept(cut.join(last, names, "left").select(*names, "__whole", F.coalesce("__last", F.shiftleft("__cut", 61 - BUCKETS.bit_length()) - 1).alias("__last")))
-    out = rows.join(sent(cut), names).withColumn("mix_copies", F.col("__whole") + (F.col("__h") <= F.col("__last")).cast("int"))
+    out = rows.join(sent(cut), names).withColumn("mix_copies", F.col("__whole") + (place <= F.col("__last")).cast("int"))
     return out.where(F.col("mix_copies") > 0).select(*own, *names, "mix_tokens", "mix_copies")
 
 
@@ -144,7 +152,8 @@ def mix_sql(columns: Sequence[str], levels: dict[str, str], weights: dict[str, s
         ]
     out += [
         f"cuts AS (SELECT {leaf}, CASE WHEN take{n} >= supply THEN {epochs} ELSE floor(take{n} / tokens)::INT END AS whole, CASE WHEN take{n} >= supply THEN 0 ELSE take{n} - floor(take{n} / tokens) * tokens END AS spare FROM r{n})",
-        f"ordered AS (SELECT dealt.*, whole, spare, sum(mix_tokens) OVER (PARTITION BY {leaf} ORDER BY h) AS upto FROM dealt JOIN cuts USING ({leaf}) WHERE mix_tokens > 0)",
+        f"placed AS (SELECT dealt.*, whole, spare, ('0x' || substr(md5(h::VARCHAR || ':' || whole::VARCHAR), 1, 15))::BIGINT AS e FROM dealt JOIN cuts USING ({leaf}) WHERE mix_tokens > 0)",
+        f"ordered AS (SELECT *, sum(mix_tokens) OVER (PARTITION BY {leaf} ORDER BY e) AS upto FROM placed)",
         f"mixed AS (SELECT {', '.join(columns)}, {leaf}, mix_tokens, whole + (upto <= spare)::INT AS mix_copies FROM ordered WHERE whole + (upto <= spare)::INT > 0)",
     ]
     return "WITH " + ",\n".join(out)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import flat
 from .sample import labelled
@@ -222,6 +223,6 @@ def quality(docs: DataFrame, model: Chain, text: str = "text", keep_share: float
             failed = (x["n_words"] < 10) | (100 * x["n_repeat_words"] > 20 * x["n_words"])
             yield flat.table({c: piece.column(c) for c in names} | {k: x[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"base_failed": failed, "content_share": share, "kept": ~failed & (share >= keep_share)})
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    fields = [docs.schema[c] for c in names]
     rows = docs.select(*names) if own == text else docs.select(*names, F.col(text).alias("__text"))
-    return rows.mapInArrow(score, f"{fields}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")
+    return rows.mapInArrow(score, StructType([*fields, *StructType.fromDDL("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")]))

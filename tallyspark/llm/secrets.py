@@ -1,11 +1,14 @@
 """Secret scans: three fixed patterns, and formats inferred from the credentials they find.
 
-Grammar inference: credentials labelled with their kind are written as strings of character
-classes and put into a prefix tree with counts. States whose outgoing and final frequencies agree
-within a Hoeffding bound are merged, red states first, folding their subtrees, which gives a
-probabilistic automaton for each kind; one more is learned from ordinary tokens. A candidate is any
-run of credential characters; it is a secret if an automaton accepts it and its log-likelihood,
-with each class spread evenly over its characters, beats that of the ordinary tokens by ``MARGIN``.
+Grammar inference: credentials labelled with their kind are written as strings of symbols, one for each
+character: a sign is its own symbol, and all characters of a run of letters and digits have the symbol
+of the characters that the run uses (lower-case hexadecimal, upper case and digits, ...), so that
+tokens of one format share their path. They go into a prefix tree with counts. States whose outgoing
+and final frequencies agree within a Hoeffding bound, as those of all states below them do, are
+merged, red states first, folding their subtrees; that gives a probabilistic automaton for each kind,
+whose moves also hold how often each character was seen. One more is learned from ordinary tokens.
+Every run of ``SHORTEST`` credential characters is a candidate and is scored; it is a secret if an automaton of
+credentials accepts it and its log-likelihood beats that of the ordinary tokens by ``MARGIN``.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import flat
 
@@ -31,7 +35,7 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 #: Shortest candidate of the inferred formats, least gain in nats over ordinary tokens, credentials and ordinary tokens to learn from, and the merge test's confidence.
-SHORTEST, MARGIN, EXAMPLES, ALPHA, PARTS = 16, 12.0, 300, 0.05, 16
+SHORTEST, MARGIN, EXAMPLES, ALPHA, PARTS = 12, 12.0, 1000, 0.5, 16
 _CHARS = np.zeros(256, bool)
 _CHARS[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-", np.uint8)] = True
 _DIGIT = np.zeros(256, bool)
@@ -42,45 +46,57 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER = _UPPER.copy()
 _LETTER[97:123] = True
-#: Sizes of the character classes.
-CLASSES = {"0": 10, "a": 6, "g": 20, "A": 6, "G": 20, "+": 1, "/": 1, "_": 1, ".": 1, "=": 1, "-": 1}
+#: How many characters each symbol of a run stands for; signs stand for themselves.
+SIZES = {"d": 10, "h": 16, "H": 16, "a": 36, "A": 36, "m": 62, "l": 26, "u": 26, "c": 52}
+#: All credential characters; the weight of an end never seen; the number and the share of ordinary tokens below which a form that a credential format accepts isn't taken for ordinary.
+ALL, UNSEEN, FEWEST, RARE = 68, 0.5, 3, 0.01
+_RUN = re.compile(r"[A-Za-z0-9]+")
+_KINDS = tuple((k, re.compile(p)) for k, p in (("d", "[0-9]+"), ("l", "[a-z]+"), ("u", "[A-Z]+"), ("c", "[A-Za-z]+"), ("h", "[0-9a-f]+"), ("H", "[0-9A-F]+"), ("a", "[0-9a-z]+"), ("A", "[0-9A-Z]+"), ("m", "[0-9A-Za-z]+")))
 
 
-def classes(token: str) -> str:
-    return re.sub("[G-Z]", "G", re.sub("[A-F]", "A", re.sub("[g-z]", "g", re.sub("[a-f]", "a", re.sub("[0-9]", "0", token)))))
+def symbols(token: str) -> str:
+    """A symbol for each character: of a run of letters and digits, the first kind that has all of it; a sign is itself."""
+    return _RUN.sub(lambda m: next(k for k, p in _KINDS if p.fullmatch(m[0])) * len(m[0]), token)
 
 
 class Format:
-    """A probabilistic automaton: moves[state][class] = (next state, log probability); ends[state] = log probability of ending there."""
+    """A probabilistic automaton: moves[state][symbol] = (next state, log probability, log probability of each character, that of one never seen there); ends[state] = log probability of ending there."""
 
-    def __init__(self, moves: list[dict[str, tuple[int, float]]], ends: list[float]):
+    def __init__(self, moves: list[dict[str, tuple[int, float, dict[str, float], float]]], ends: list[float]):
         self.moves, self.ends = moves, ends
 
     def score(self, token: str) -> float:
         """The log-likelihood of a token; minus infinity if the automaton doesn't accept it."""
         at, total = 0, 0.0
-        for c in classes(token):
+        for x, c in zip(token, symbols(token), strict=True):
             if c not in self.moves[at]:
                 return -math.inf
-            at, p = self.moves[at][c]
-            total += p - math.log(CLASSES[c])
+            at, p, seen, other = self.moves[at][c]
+            total += p + seen.get(x, other)
         return total + self.ends[at]
 
 
 def infer(tokens: list[str], alpha: float = ALPHA) -> Format:
-    """ALERGIA: merges compatible states of the prefix tree of ``tokens``, red and blue, in order of discovery."""
+    """ALERGIA: merges compatible states of the prefix tree of ``tokens``, red and blue, in order of discovery.
+
+    A red state's subtree must agree with the blue one's state by state, as far as both go. Characters
+    have add-one estimates over those of their symbol.
+    """
     kids: list[dict[str, int]] = [{}]
     count: list[dict[str, int]] = [{}]
+    used: list[dict[str, Counter[str]]] = [{}]
     final = [0]
     for token in sorted(tokens):
         at = 0
-        for c in classes(token):
+        for x, c in zip(token, symbols(token), strict=True):
             if c not in kids[at]:
                 kids[at][c] = len(kids)
                 kids.append({})
                 count.append({})
+                used.append({})
                 final.append(0)
             count[at][c] = count[at].get(c, 0) + 1
+            used[at].setdefault(c, Counter())[x] += 1
             at = kids[at][c]
         final[at] += 1
     bound = math.sqrt(0.5 * math.log(2 / alpha))
@@ -92,12 +108,13 @@ def infer(tokens: list[str], alpha: float = ALPHA) -> Format:
         return abs(x / n - y / m) > bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
     def compatible(r: int, b: int) -> bool:
-        todo = [(r, b)]
+        todo, seen = [(r, b)], set()
         while todo:
             p, q = todo.pop()
             n, m = size(p), size(q)
-            if not n or not m:
+            if not n or not m or (p, q) in seen:
                 continue
+            seen.add((p, q))
             if differ(final[p], n, final[q], m) or any(differ(count[p].get(c, 0), n, count[q].get(c, 0), m) for c in count[p].keys() | count[q].keys()):
                 return False
             todo += [(kids[p][c], kids[q][c]) for c in kids[p].keys() & kids[q].keys() if kids[p][c] != kids[q][c]]
@@ -109,8 +126,8 @@ def infer(tokens: list[str], alpha: float = ALPHA) -> Format:
             p, q = todo.pop()
             final[p] += final[q]
             for c, k in kids[q].items():
-                n = count[q][c]
-                count[p][c] = count[p].get(c, 0) + n
+                count[p][c] = count[p].get(c, 0) + count[q][c]
+                used[p].setdefault(c, Counter()).update(used[q][c])
                 if c in kids[p]:
                     todo.append((kids[p][c], k))
                 else:
@@ -131,9 +148,12 @@ def infer(tokens: list[str], alpha: float = ALPHA) -> Format:
     place = {r: i for i, r in enumerate(red)}
     moves, ends = [], []
     for r in red:
-        n = size(r) + 1e-9
-        moves.append({c: (place[k], math.log(count[r][c] / n)) for c, k in kids[r].items()})
-        ends.append(math.log((final[r] + 1e-6) / (n + 1e-6)))
+        n = size(r)
+        moves.append({})
+        for c, k in kids[r].items():
+            m, every = count[r][c], SIZES.get(c, 1)
+            moves[-1][c] = (place[k], math.log(m / (n + UNSEEN)), {x: math.log((y + 1) / (m + every)) for x, y in used[r][c].items()}, -math.log(m + every))
+        ends.append(math.log((final[r] + UNSEEN) / (n + UNSEEN)))
     return Format(moves, ends)
 
 
@@ -141,8 +161,7 @@ def scan(texts: pa.Array) -> Iterator[tuple[int, str, list[tuple[int, int, str]]
     """(text number, text, base spans, candidates) for each text with any; spans in code points.
 
     Only texts that can hold a match reach the patterns: those with a run of 24 hexadecimal digits,
-    "AKIA", or a ":" or "=" after a keyword's last letter (quotes and blanks between), or a
-    candidate token.
+    "AKIA", or a ":" or "=" after a keyword's last letter (quotes and blanks between).
     """
     buf, off = flat.flat(texts)
     if not len(buf):
@@ -157,23 +176,24 @@ def scan(texts: pa.Array) -> Iterator[tuple[int, str, list[tuple[int, int, str]]
         back = back - blank
     back = back - ((back >= 0) & np.isin(buf[np.maximum(back, 0)], (34, 39)))
     wanted.append(signs[(back >= 0) & np.isin(buf[np.maximum(back, 0)] | 0x20, np.frombuffer(b"dtny", np.uint8))])
+    fixed = np.zeros(len(off) - 1, bool)
+    fixed[flat.owner(off, np.concatenate(wanted))] = True
     starts, ends = flat.runs(_CHARS[buf], off)
     long = ends - starts >= SHORTEST
     starts, ends = starts[long], ends[long]
-    digits, letters = np.concatenate([[0], np.cumsum(_DIGIT[buf])]), np.concatenate([[0], np.cumsum(_LETTER[buf])])
-    mixed = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
-    starts, ends = starts[mixed], ends[mixed]
-    wanted.append(starts)
     of = flat.owner(off, starts)
-    for i in np.unique(flat.owner(off, np.concatenate(wanted))).tolist():
-        text = texts[i].as_py()
-        points = np.cumsum((buf[off[i] : off[i + 1]] & 0xC0) != 0x80) - 1
-        spans = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
-        spans += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
-        spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text) if len(m[0]) >= LEAST["hex"]]
-        spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
-        mine = of == i
-        yield i, text, spans, [(int(points[a - off[i]]), int(points[b - 1 - off[i]]) + 1) for a, b in zip(starts[mine], ends[mine], strict=True)]
+    # to code points: bytes that begin a character, up to each end
+    upto = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    first, last = (upto[starts] - upto[off[of]]).tolist(), (upto[ends] - upto[off[of]]).tolist()
+    cut = np.searchsorted(of, np.arange(len(off))).tolist()
+    for i in np.flatnonzero(fixed | (np.diff(cut) > 0)).tolist():
+        text, spans = texts[i].as_py(), []
+        if fixed[i]:
+            spans = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
+            spans += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
+            spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text) if len(m[0]) >= LEAST["hex"]]
+            spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
+        yield i, text, spans, list(zip(first[cut[i] : cut[i + 1]], last[cut[i] : cut[i + 1]], strict=True))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -184,8 +204,9 @@ def learn(docs: DataFrame, text: str = "text", examples: int = EXAMPLES) -> dict
     """A format for each kind and one for "ordinary" tokens, from at most ``examples`` distinct strings of each (the bound), those of the lowest hash.
 
     Credentials are what the fixed patterns find (of an assignment, its value); ordinary tokens are
-    candidates that no pattern touches. Every text is read. Without ordinary tokens, each class
-    follows each with even odds.
+    candidates that no pattern touches, but for those of a form that fewer than ``FEWEST`` or ``RARE`` of them have
+    and a format of credentials accepts: they may be credentials without a label. Every text is read. Without ordinary tokens, all characters
+    have even odds.
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,34 +239,50 @@ def learn(docs: DataFrame, text: str = "text", examples: int = EXAMPLES) -> dict
     out: dict[str, list[str]] = {}
     for r in sorted({(r.kind, r.h, r.token) for r in rows.collect()}):
         out.setdefault(r[0], []).append(r[2])
-    return {k: infer(sorted(tokens[:examples])) for k, tokens in out.items()}
+    plain = out.pop("ordinary", [])[:examples]
+    formats = {k: infer(sorted(tokens[:examples])) for k, tokens in out.items()}
+    forms = Counter(map(symbols, plain))
+    plain = [t for t in plain if forms[symbols(t)] >= max(FEWEST, RARE * len(plain)) or all(f.score(t) == -math.inf for f in formats.values())]
+    return formats | ({"ordinary": infer(sorted(plain))} if plain else {})
 
 
-def inferred(formats: dict[str, Format], token: str) -> bool:
-    """Whether the automata take a token for a secret."""
+def gain(formats: dict[str, Format], token: str) -> float:
+    """By how much a token's likelihood under the best format of credentials beats that as an ordinary one; minus infinity if no format accepts it.
+
+    What the ordinary tokens' automaton doesn't accept has even odds over all characters, and for the end.
+    """
     best = max((f.score(token) for k, f in formats.items() if k != "ordinary"), default=-math.inf)
     if best == -math.inf:
-        return False
+        return best
     plain = formats["ordinary"].score(token) if "ordinary" in formats else -math.inf
-    floor = -(len(token) + 1) * math.log(len(CLASSES) + 1) - sum(math.log(CLASSES[c]) for c in classes(token))
-    return best - max(plain, floor) >= MARGIN
+    return best - max(plain, -(len(token) + 1) * math.log(ALL + 1))
 
 
 def spans(docs: DataFrame, formats: dict[str, Format], text: str = "text", redact: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_auto, base_spans, spans, for each row; with ``redact`` also redacted: the text, spans replaced by it.
+    """doc_id, n_assign, n_access, n_hex, n_auto, n_scored, n_likely, base_spans, spans, for each row; with ``redact`` also redacted: the text, spans replaced by it.
 
-    Spans are kind:start:end in code points, end exclusive, by start and then kind. A candidate that
-    a base span touches is no span of its own. Null and empty texts have no spans (redacted stays
+    Spans are kind:start:end in code points, end exclusive, by start and then kind. n_scored counts the
+    candidates, all of which the formats score, and n_likely those that they take for secrets. One
+    that a base span touches is no span of its own. Null and empty texts have no spans (redacted stays
     null for null); repeated rows give repeated rows; of other columns only ``carry`` is read.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in flat.pieces(batches, "__text"):
             n = piece.num_rows
-            counts = {k: np.zeros(n, np.int64) for k in KINDS}
+            counts = {k: np.zeros(n, np.int64) for k in (*KINDS, "scored", "likely")}
             base, every, new = [""] * n, [""] * n, {}
+            gains: dict[str, float] = {}
             for i, t, fixed, candidates in scan(piece.column("__text")):
-                more = [(a, b, "auto") for a, b in candidates if not any(x < b and a < y for x, y, _ in fixed) and inferred(formats, t[a:b])]
+                more = []
+                for a, b in candidates:
+                    if (token := t[a:b]) not in gains:
+                        gains[token] = gain(formats, token)
+                    if gains[token] >= MARGIN:
+                        counts["likely"][i] += 1
+                        if not any(x < b and a < y for x, y, _ in fixed):
+                            more.append((a, b, "auto"))
+                counts["scored"][i] = len(candidates)
                 both = sorted(fixed + more, key=lambda s: (s[0], KINDS.index(s[2])))
                 base[i], every[i] = joined(fixed), joined(both)
                 for k, m in Counter(k for _, _, k in both).items():
@@ -265,8 +302,8 @@ def spans(docs: DataFrame, formats: dict[str, Format], text: str = "text", redac
                 made["redacted"] = texts
             yield flat.table(made)
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
-    return docs.select("doc_id", *carry, F.col(text).alias("__text")).mapInArrow(find, fields + ", n_assign long, n_access long, n_hex long, n_auto long, base_spans string, spans string" + ", redacted string" * (redact is not None))
+    fields = [docs.schema[c] for c in ("doc_id", *carry)]
+    return docs.select("doc_id", *carry, F.col(text).alias("__text")).mapInArrow(find, StructType([*fields, *StructType.fromDDL("n_assign long, n_access long, n_hex long, n_auto long, n_scored long, n_likely long, base_spans string, spans string" + ", redacted string" * (redact is not None))]))
 
 
 def digest(s: str) -> str:
