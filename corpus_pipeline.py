@@ -6,7 +6,7 @@ shared folder and reads them back for the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, jaccard, mixing, queries, secrets
@@ -18,42 +18,79 @@ from tallyspark.session import prepared
 #: SQL can't express a trained model's verdicts, so the stages are tested against brute force.
 ORACLE_SQL = None
 REDACTED = "[SECRET]"
+#: Ids up to this many (some 16 bytes each) are sent to all tasks.
+FEW = 2_000_000
+
+
+def _packed(docs: DataFrame, *apart: str) -> DataFrame:
+    """``apart`` as columns of their own, all others in one struct, so that no name clashes with what an operator adds."""
+    return docs.select(*apart, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in apart], F.lit(0).alias("__")).alias("__row"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them ``new``."""
+    return rows.select(*[new.get(c, F.col(c) if c in rows.columns and c in ("doc_id", "text", "lang", "source") else F.col("__row").getField(c)).alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the model learns from the labelled ones among ``docs``."""
+    """Documents that the quality rules keep, with all their columns; the model learns from the labelled ones among ``docs``.
+
+    Null, empty and blank texts have no words and go. Each row is judged by its text alone, so
+    repeated rows stay or go together, null ids no less. Without labels every line is content and the counts decide. An
+    empty table stays one. Columns may have any names.
+    """
     model = rules.train(docs, read(prepared(spark), sf_dir, "labels"))
-    return rules.quality(docs, model, carry=tuple(docs.columns)).where("kept").select(*docs.columns)
+    rows = _packed(docs, "doc_id", "text")
+    return _unpacked(rules.quality(rows, model, carry=("text", "__row")).where("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document of the smallest id; of rows that share an id one stays, and null ids all stay."""
+    """Of each component of near duplicates the document of the smallest id.
+
+    Of rows that share an id one stays: the first by its columns as JSON text (equal rows are one).
+    Rows of null id all stay, as do empty and null texts, which link with nothing. Ids that go are sent to all
+    tasks if they are few, so that texts aren't shuffled; else the tables are joined by shuffle.
+    """
     prepared(spark)
     found = kept(jaccard.join(docs))
-    out = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
+    sent = lambda ids: F.broadcast(ids) if ids.count() <= FEW else ids
+    out = docs.join(sent(kept(found.where("doc_id <> component_id").select("doc_id").distinct())), "doc_id", "left_anti").select(*docs.columns)
+    twice = kept(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
     if twice.isEmpty():
         return out
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+    twice = sent(twice)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = out.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+    return out.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced in their texts and n_chars to match."""
+    """All documents, with secrets replaced in their texts and n_chars to match.
+
+    Null and empty texts stay as they are, and so does n_chars of texts without a secret. Formats are
+    learned from ``docs``; an empty table stays one. Columns may have any names.
+    """
     prepared(spark)
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = secrets.spans(docs, secrets.learn(docs), redact=REDACTED, carry=rest)
-    new = {"text": F.col("redacted")} | ({"n_chars": F.when(F.col("n_assign") + F.col("n_access") + F.col("n_hex") + F.col("n_auto") > 0, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    found = secrets.spans(_packed(docs, "doc_id", "text"), secrets.learn(docs), redact=REDACTED, carry=("__row",))
+    new = {"text": F.col("redacted")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("spans") != "", F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row.n_chars"))
+    return _unpacked(found, docs, **new)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Four fifths of all tokens, by domain, language and source; no document twice."""
+    """Four fifths of all tokens, by domain, language and source; no document twice.
+
+    Documents without words go. Null languages and sources are leaves of their own. Wholly equal rows
+    stay or go together. Columns may have any names.
+    """
     levels, weights = queries.tree()
-    return mixing.mix(docs, levels, weights, share=0.8, epochs=1).select(*docs.columns)
+    rows = _packed(docs, "doc_id", "text", "lang", "source").withColumnRenamed("__row", "row")
+    return _unpacked(mixing.mix(rows, levels, weights, share=0.8, epochs=1).withColumnRenamed("row", "__row"), docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the digests of ids and of the decoded text, and whether decoding gave the text back."""
+    """doc_id, n_tokens, the digests of ids and of the decoded text, and whether decoding gave the text back, for each row; null and empty texts have no tokens."""
     prepared(spark)
     return bpe.round_trip(docs, queries.tokenizer("byte_bpe_50k.json"))
 
@@ -62,6 +99,7 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("no_secre
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each on the rows of the one before, read back from the shared folder."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = kept(stage(spark, docs, sf_dir))
