@@ -13,7 +13,7 @@ from .base import manifest, query, r6, scores, vectors
 from .leaderboards import PAIRS, _pair_rho
 
 SEED = 13
-PERMUTATIONS, DRAWS = 500, 200
+PERMUTATIONS, DRAWS, SUBSAMPLES = 10_000, 10_000, 500
 
 
 def _means(spark: SparkSession, d: str) -> DataFrame:
@@ -52,23 +52,23 @@ def sta05_mann_whitney(spark: SparkSession, d: str) -> DataFrame:
 @query(MEANS + f""", {stats.draws_sql("m", "model", DRAWS, SEED, "pair")},
 rows AS (SELECT draw, x, y, z, unnest(range(times)) AS copy FROM draws JOIN m USING (model)),
 k AS (SELECT draw, {mean_rank("x", "draw")} AS rx, {mean_rank("y", "draw")} AS ry, {mean_rank("z", "draw")} AS rz FROM rows),
-each AS (SELECT draw, corr(rx, ry) - corr(rx, rz) AS gap FROM k GROUP BY draw)
+each AS (SELECT draw, round(corr(rx, ry) - corr(rx, rz), 9) AS gap FROM k GROUP BY draw)
 SELECT count(*) AS n_draws, round(median(gap), 6) AS median_gap, round(quantile_cont(gap, 0.025), 6) AS lo, round(quantile_cont(gap, 0.975), 6) AS hi, round(avg((gap < 0)::INT), 6) AS below FROM each""")
 def boo08_paired_difference(spark: SparkSession, d: str) -> DataFrame:
     """Difference of two rank correlations over the same draws of models."""
     m = _means(spark, d)
     drawn = stats.draws(m, "model", DRAWS, SEED, "pair").join(m, "model").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     one, two = stats.spearman(drawn, ["draw"], "x", "y").select("draw", F.col("rho").alias("a")), stats.spearman(drawn, ["draw"], "x", "z").select("draw", F.col("rho").alias("b"))
-    each = one.join(two, "draw").withColumn("gap", F.col("a") - F.col("b"))
+    each = one.join(two, "draw").withColumn("gap", F.round(F.col("a") - F.col("b"), 9))
     return each.agg(F.count("*").alias("n_draws"), r6(F.percentile("gap", 0.5)).alias("median_gap"), r6(F.percentile("gap", 0.025)).alias("lo"), r6(F.percentile("gap", 0.975)).alias("hi"), r6(F.avg((F.col("gap") < 0).cast("int"))).alias("below"))
 
 
-@query(MEANS + f""", one AS (SELECT draw, x, y FROM m CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw) QUALIFY row_number() OVER (PARTITION BY draw, family ORDER BY {keyed_sql(SEED, "family", "draw", "model")}, model) = 1),
+@query(MEANS + f""", one AS (SELECT draw, x, y FROM m CROSS JOIN (SELECT unnest(range({SUBSAMPLES})) AS draw) QUALIFY row_number() OVER (PARTITION BY draw, family ORDER BY {keyed_sql(SEED, "family", "draw", "model")}, model) = 1),
 k AS (SELECT draw, {mean_rank("x", "draw")} AS rx, {mean_rank("y", "draw")} AS ry FROM one), each AS (SELECT draw, count(*) AS n, corr(rx, ry) AS rho FROM k GROUP BY draw)
 SELECT count(*) AS n_draws, max(n) AS n_families, round(median(rho), 6) AS median_rho, round(quantile_cont(rho, 0.025), 6) AS lo, round(quantile_cont(rho, 0.975), 6) AS hi FROM each""")
 def boo06_one_per_family(spark: SparkSession, d: str) -> DataFrame:
     """Rank correlation of capabilities with one model of each family at a time."""
-    every = _means(spark, d).crossJoin(spark.range(DRAWS).withColumnRenamed("id", "draw"))
+    every = _means(spark, d).crossJoin(spark.range(SUBSAMPLES).withColumnRenamed("id", "draw"))
     one = ranking.best_rows(every, ["draw", "family"], keyed(SEED, "family", "draw", "model"), F.col("model"))
     each = stats.spearman(one, ["draw"], "x", "y")
     return each.agg(F.count("*").alias("n_draws"), F.max("n").alias("n_families"), r6(F.percentile("rho", 0.5)).alias("median_rho"), r6(F.percentile("rho", 0.025)).alias("lo"), r6(F.percentile("rho", 0.975)).alias("hi"))
@@ -77,13 +77,13 @@ def boo06_one_per_family(spark: SparkSession, d: str) -> DataFrame:
 BORDA_SQL = "SELECT model, sum(n - r) AS points, rank() OVER (ORDER BY sum(n - r) DESC) AS place FROM (SELECT model, (SELECT count(DISTINCT model) FROM {t}) AS n, rank() OVER (PARTITION BY task ORDER BY score DESC) + (count(*) OVER (PARTITION BY task, score) - 1) / 2.0::DOUBLE AS r FROM {t}) GROUP BY model"
 
 
-@query("WITH {scores}, fixed AS (SELECT model, task, round(score * 1.01, 6) AS score FROM scores WHERE family = 'ASIA'), left_in AS (SELECT s.model, s.task, coalesce(f.score, s.score) AS score FROM scores s LEFT JOIN fixed f USING (model, task) WHERE s.model NOT LIKE 'J%'), before AS (" + BORDA_SQL.replace("{t}", "scores") + "), after AS (" + BORDA_SQL.replace("{t}", "left_in") + """)
+@query("WITH {scores}, fixed AS (SELECT model, task, round(score * 1.01, 6) AS score FROM scores WHERE family = 'ASIA'), left_in AS (SELECT s.model, s.task, coalesce(f.score, s.score) AS score FROM scores s LEFT JOIN fixed f USING (model, task) WHERE s.model NOT IN ('NATION_7', 'NATION_13')), before AS (" + BORDA_SQL.replace("{t}", "scores") + "), after AS (" + BORDA_SQL.replace("{t}", "left_in") + """)
 SELECT b.model, b.place AS place_before, a.place AS place_after, b.place - a.place AS shift, CASE WHEN a.model IS NULL THEN 'excluded' WHEN b.model IN (SELECT model FROM fixed) THEN 'corrected' ELSE 'kept' END AS status FROM before b LEFT JOIN after a USING (model)""")
 def qry24_revalidation(spark: SparkSession, d: str) -> DataFrame:
     """Ranks before and after some models are left out and others get corrected scores."""
     s = scores(spark, d)
     fixed = s.where("family = 'ASIA'").select("model", "task", F.round(F.col("score") * 1.01, 6).alias("fixed"))
-    after = s.join(fixed, ["model", "task"], "left").where(~F.col("model").startswith("J")).select("model", "task", F.coalesce("fixed", "score").alias("score"))
+    after = s.join(fixed, ["model", "task"], "left").where(~F.col("model").isin("NATION_7", "NATION_13")).select("model", "task", F.coalesce("fixed", "score").alias("score"))
     b, a = ranking.borda(s).select("model", F.col("rank").alias("place_before")), ranking.borda(after).select("model", F.col("rank").alias("place_after"))
     touched = fixed.select("model").distinct().withColumn("touched", F.lit(True))
     status = F.when(F.col("place_after").isNull(), "excluded").when(F.col("touched"), "corrected").otherwise("kept")
@@ -149,7 +149,7 @@ def qry09_reduced_groups(spark: SparkSession, d: str) -> DataFrame:
 def clu12_kmeans_seeds(spark: SparkSession, d: str) -> DataFrame:
     """Clusterings of the vectors into as many clusters as labels, by seed, and their means and deviations."""
     rows = vectors(spark, d).cache()
-    each = probes.cluster_scores(rows, "label", (0, 1, 2))
+    each = probes.cluster_scores(rows, "label", (0, 1, 2, 3, 4))
     names = ("v_measure", "ari", "ami", "purity")
     whole = each.agg(F.count("*").alias("n_seeds"), *[f(n).alias(f"{n}_{s}") for n in names for s, f in (("mean", F.avg), ("sd", F.stddev_pop))])
     return each.crossJoin(F.broadcast(whole)).select("seed", "n_clusters", "n_seeds", *[r6(c).alias(c) for n in names for c in (n, f"{n}_mean", f"{n}_sd")])

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ranking, stats
-from .base import query, r6, scores
+from .base import CAPABILITIES, mean6, mean6_sql, query, r6, scores
 
 def percent(c: str) -> Column:
     """Times 100, to two places, halves up on the binary value."""
@@ -16,21 +14,21 @@ def percent(c: str) -> Column:
 
 
 TASKS = [f"Brand#{i}" for i in range(1, 26)]
-CAPABILITIES = ["channel", "content", "speaker"]
-N_DRAWS = 100
+#: Resamples of tasks and of families.
+N_DRAWS, N_FAMILY_DRAWS = 10_000, 2_000
 
 
 def _tasks_sql(f: str) -> str:
     return ", ".join(f.format(t=t, c=t.replace("#", "_").lower()) for t in TASKS)
 
 
-@query("""WITH {scores}, pts AS (SELECT model, sum(n_models - r) AS points, avg(score) AS mean_task FROM ranked, nm GROUP BY model),
-mt AS (SELECT model, avg(m) AS mean_type FROM (SELECT model, capability, avg(score) AS m FROM scores GROUP BY 1, 2) GROUP BY 1)
-SELECT model, points, rank() OVER (ORDER BY points DESC)::BIGINT AS rank, round(mean_task, 6) AS mean_task, round(mean_type, 6) AS mean_type FROM pts JOIN mt USING (model)""")
+@query("""WITH {scores}, pts AS (SELECT model, sum(n_models - r) AS points, """ + mean6_sql() + """ AS mean_task FROM ranked, nm GROUP BY model),
+mt AS (SELECT model, """ + mean6_sql() + """ AS mean_type FROM (SELECT model, capability, round(1e6 * """ + mean6_sql() + """)::BIGINT AS u FROM scores GROUP BY 1, 2) GROUP BY 1)
+SELECT model, points, rank() OVER (ORDER BY points DESC)::BIGINT AS rank, mean_task, mean_type FROM pts JOIN mt USING (model)""")
 def qry01_leaderboard(spark: SparkSession, d: str) -> DataFrame:
     s = scores(spark, d)
-    types = s.groupBy("model", "capability").agg(F.avg("score").alias("m")).groupBy("model").agg(r6(F.avg("m")).alias("mean_type"))
-    return ranking.borda(s).join(s.groupBy("model").agg(r6(F.avg("score")).alias("mean_task")), "model").join(types, "model").select("model", "points", "rank", "mean_task", "mean_type")
+    types = s.groupBy("model", "capability").agg(F.round(1e6 * mean6()).cast("long").alias("u")).groupBy("model").agg(mean6().alias("mean_type"))
+    return ranking.borda(s).join(s.groupBy("model").agg(mean6().alias("mean_task")), "model").join(types, "model").select("model", "points", "rank", "mean_task", "mean_type")
 
 
 @query("WITH {scores} SELECT model, " + _tasks_sql("max(floor(score * 10000 + 0.5) / 100) FILTER (WHERE task = '{t}') AS {c}") + " FROM scores GROUP BY model")
@@ -167,10 +165,10 @@ def qry10_saturation(spark: SparkSession, d: str) -> DataFrame:
     return scores(spark, d).groupBy("task").agg(r6(spread).alias("spread"), r6(sd).alias("sd"), r6(F.percentile("score", 0.5)).alias("median_score"), r6(spread / F.nullif(sd, F.lit(0.0))).alias("spread_over_noise"))
 
 
-@query("""WITH {scores}, m AS (SELECT model, family, capability, avg(score) AS s FROM scores GROUP BY 1, 2, 3), p AS (SELECT *, regexp_extract(model, '(\\d+)', 1)::INT AS params FROM m)
+@query("WITH {scores}, m AS (SELECT model, family, capability, " + mean6_sql() + """ AS s FROM scores GROUP BY 1, 2, 3), p AS (SELECT *, regexp_extract(model, '(\\d+)', 1)::INT AS params FROM m)
 SELECT family, capability, count(*) AS n, round(arg_min(s, params), 6) AS smallest, round(arg_max(s, params), 6) AS largest, round(arg_max(s, params) - arg_min(s, params), 6) AS delta FROM p GROUP BY 1, 2""")
 def qry11_scale(spark: SparkSession, d: str) -> DataFrame:
-    m = scores(spark, d).groupBy("model", "family", "capability").agg(F.avg("score").alias("s")).withColumn("params", F.regexp_extract("model", r"(\d+)", 1).cast("int"))
+    m = scores(spark, d).groupBy("model", "family", "capability").agg(mean6().alias("s")).withColumn("params", F.regexp_extract("model", r"(\d+)", 1).cast("int"))
     small, large = F.min_by("s", "params"), F.max_by("s", "params")
     return m.groupBy("family", "capability").agg(F.count("*").alias("n"), r6(small).alias("smallest"), r6(large).alias("largest"), r6(large - small).alias("delta"))
 
@@ -227,7 +225,7 @@ def qry17_core_only(spark: SparkSession, d: str) -> DataFrame:
     return m.select("model", place("a").alias("all_tasks"), place("c").alias("core_only"))
 
 
-FAMILIES = "WITH {scores}, " + stats.draws_sql("scores", "family", N_DRAWS, 7, "families").replace("{", "{{").replace("}", "}}") + """,
+FAMILIES = "WITH {scores}, " + stats.draws_sql("scores", "family", N_FAMILY_DRAWS, 7, "families").replace("{", "{{").replace("}", "}}") + """,
 m AS (SELECT model, family, avg(score) FILTER (WHERE capability = 'speaker') AS x, avg(score) FILTER (WHERE capability = 'content') AS y FROM scores GROUP BY 1, 2),
 g AS (SELECT draw, sum(times * (x - y)) / sum(times) AS separation FROM m JOIN draws USING (family) GROUP BY 1)"""
 
@@ -237,14 +235,14 @@ def qry22_family_blocked(spark: SparkSession, d: str) -> DataFrame:
     s = scores(spark, d)
     mean = lambda c: F.avg(F.when(F.col("capability") == c, F.col("score")))
     m = s.groupBy("model", "family").agg(mean("speaker").alias("x"), mean("content").alias("y"))
-    per = m.join(stats.draws(s, "family", N_DRAWS, 7, "families"), "family").groupBy("draw").agg((F.sum(F.col("times") * (F.col("x") - F.col("y"))) / F.sum("times")).alias("separation"))
+    per = m.join(stats.draws(s, "family", N_FAMILY_DRAWS, 7, "families"), "family").groupBy("draw").agg((F.sum(F.col("times") * (F.col("x") - F.col("y"))) / F.sum("times")).alias("separation"))
     return stats.interval(per, [], "separation").crossJoin(per.agg(r6(F.avg((F.col("separation") < 0).cast("int"))).alias("below"), F.count("*").alias("n_draws"))).select(r6("lo").alias("lo"), r6("hi").alias("hi"), "below", "n_draws")
 
 
-@query("""WITH {scores}, m AS (SELECT model, capability, round(avg(score), 6) AS s FROM scores GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY capability ORDER BY s DESC, model) AS k FROM m)
+@query("WITH {scores}, m AS (SELECT model, capability, " + mean6_sql() + """ AS s FROM scores GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY capability ORDER BY s DESC, model) AS k FROM m)
 SELECT capability, k::BIGINT AS place, model, s AS score FROM p WHERE k <= 5""")
 def qry23_top_by_capability(spark: SparkSession, d: str) -> DataFrame:
-    m = scores(spark, d).groupBy("model", "capability").agg(r6(F.avg("score")).alias("score"))
+    m = scores(spark, d).groupBy("model", "capability").agg(mean6().alias("score"))
     w = Window.partitionBy("capability").orderBy(F.desc("score"), "model")
     return m.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5").select("capability", "place", "model", "score")
 
@@ -265,10 +263,10 @@ def qry45_dashboard(spark: SparkSession, d: str) -> DataFrame:
     return scores(spark, d).select("model", "task", "score", r6((F.col("score") - lo) / F.nullif(hi - lo, F.lit(0.0))).alias("shade"), (F.col("score") == hi).alias("is_best"))
 
 
-@query("""WITH {scores}, m AS (SELECT model, avg(score) FILTER (WHERE capability = 'channel') AS a, avg(score) FILTER (WHERE capability = 'content') AS l FROM scores GROUP BY 1)
+@query("WITH {scores}, m AS (SELECT model, " + mean6_sql("capability = 'channel'") + " AS a, " + mean6_sql("capability = 'content'") + """ AS l FROM scores GROUP BY 1)
 SELECT model, round(a - l, 6) AS gap, CASE WHEN round(a - l, 6) > 0.05 THEN 'acoustic' WHEN round(a - l, 6) < -0.05 THEN 'linguistic' ELSE 'balanced' END AS lean FROM m""")
 def qry42_lean(spark: SparkSession, d: str) -> DataFrame:
-    mean = lambda c: F.avg(F.when(F.col("capability") == c, F.col("score")))
+    mean = lambda c: mean6(F.col("capability") == c)
     m = scores(spark, d).groupBy("model").agg(r6(mean("channel") - mean("content")).alias("gap"))
     return m.withColumn("lean", F.when(F.col("gap") > 0.05, "acoustic").when(F.col("gap") < -0.05, "linguistic").otherwise("balanced"))
 
@@ -281,13 +279,12 @@ def prj15_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return prints.groupBy("print").agg(F.count("*").alias("n"), F.min("model").alias("kept"))
 
 
-@query("""WITH {scores} SELECT coalesce(corpus, 'all') AS corpus, coalesce(family, 'all') AS family, count(*) AS n, round(avg(score), 6) AS mean_score FROM scores GROUP BY GROUPING SETS ((corpus, family), (corpus), ())""")
+@query("WITH {scores} SELECT coalesce(corpus, 'all') AS corpus, coalesce(family, 'all') AS family, count(*) AS n, " + mean6_sql() + " AS mean_score FROM scores GROUP BY GROUPING SETS ((corpus, family), (corpus), ())")
 def agg24_subtotals(spark: SparkSession, d: str) -> DataFrame:
+    """Means by corpus and family with subtotals, in one pass over the scores."""
     s = scores(spark, d)
-    sets = [s.groupBy("corpus", "family"), s.groupBy("corpus"), s.groupBy()]
-    parts = [g.agg(F.count("*").alias("n"), r6(F.avg("score")).alias("mean_score")) for g in sets]
-    full = [p.select(*[F.col(c) if c in p.columns else F.lit("all").alias(c) for c in ("corpus", "family", "n", "mean_score")]) for p in parts]
-    return reduce(DataFrame.unionByName, full)
+    sets = s.groupingSets([["corpus", "family"], ["corpus"], []], "corpus", "family")
+    return sets.agg(F.count("*").alias("n"), mean6().alias("mean_score")).select(F.coalesce("corpus", F.lit("all")).alias("corpus"), F.coalesce("family", F.lit("all")).alias("family"), "n", "mean_score")
 
 
 @query("""WITH r AS (SELECT user_id AS model, event_type AS task, value AS main_score, CASE WHEN event_id % 3 = 0 THEN NULL ELSE round(value * 2, 4) END AS side FROM events)
