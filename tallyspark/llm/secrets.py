@@ -204,8 +204,8 @@ def learn(docs: DataFrame, text: str = "text", examples: int = EXAMPLES) -> dict
     """A format for each kind and one for "ordinary" tokens, from at most ``examples`` distinct strings of each (the bound), those of the lowest hash.
 
     Credentials are what the fixed patterns find (of an assignment, its value); ordinary tokens are
-    candidates that no pattern touches, but for those of a form that fewer than ``FEWEST`` or ``RARE`` of them have
-    and a format of credentials accepts: they may be credentials without a label. Every text is read. Without ordinary tokens, all characters
+    candidates that no pattern touches, but for those that a format of credentials accepts and whose form fewer than ``FEWEST`` or ``RARE`` of
+    them have, or no more than credentials do: they may be credentials without a label. Every text is read. Without ordinary tokens, all characters
     have even odds.
     """
 
@@ -242,7 +242,9 @@ def learn(docs: DataFrame, text: str = "text", examples: int = EXAMPLES) -> dict
     plain = out.pop("ordinary", [])[:examples]
     formats = {k: infer(sorted(tokens[:examples])) for k, tokens in out.items()}
     forms = Counter(map(symbols, plain))
-    plain = [t for t in plain if forms[symbols(t)] >= max(FEWEST, RARE * len(plain)) or all(f.score(t) == -math.inf for f in formats.values())]
+    known = Counter(symbols(t) for tokens in out.values() for t in tokens)
+    common = {x for x, n in forms.items() if n >= max(FEWEST, RARE * len(plain)) and n > known[x]}
+    plain = [t for t in plain if symbols(t) in common or all(f.score(t) == -math.inf for f in formats.values())]
     return formats | ({"ordinary": infer(sorted(plain))} if plain else {})
 
 

@@ -23,7 +23,8 @@ from . import flat
 from .sample import labelled
 
 BITS, FACTORS = 18, 8
-LASSO, GROUP_LASSO = 3e-4, 1e-3
+#: Shrinkage of weights and factor vectors, over the root of the number of texts.
+LASSO, GROUP_LASSO = 0.04, 0.12
 #: Texts seen in training, over all epochs, and the bounds of the number of epochs.
 VISITS, EPOCHS = 100_000, (5, 30)
 TERM = flat.WORD.copy()
@@ -69,6 +70,7 @@ def fit(doc: np.ndarray, term: np.ndarray, label: np.ndarray, rate: float = 0.3,
     w, v = np.zeros(len(slots)), rng.normal(0, 0.1, (len(slots), factors)).astype(np.float32)
     first = np.searchsorted(doc, np.arange(n + 1))
     half = 0.5 / np.sqrt(np.maximum(np.diff(first), 1))
+    lasso, group = LASSO / np.sqrt(n), GROUP_LASSO / np.sqrt(n)
     gw, gv, gb = np.full(len(slots), 1e-4), np.full((len(slots), factors), 1e-4, np.float32), 1e-2
     for _ in range(int(np.clip(VISITS // n, *EPOCHS))):
         order = rng.permutation(n)
@@ -94,12 +96,12 @@ def fit(doc: np.ndarray, term: np.ndarray, label: np.ndarray, rate: float = 0.3,
                 gw[used] += g**2
                 step = rate / np.sqrt(gw[used])
                 u = w[used] - step * g
-                w[used] = np.sign(u) * np.maximum(np.abs(u) - step * LASSO, 0)
+                w[used] = np.sign(u) * np.maximum(np.abs(u) - step * lasso, 0)
                 g = np.add.reduceat((2 * off * s).astype(np.float32)[d[by], None] * (total[d[by]] - x[by]), cut)
                 gv[used] += g**2
                 step = rate / np.sqrt(gv[used])
                 u = v[used] - step * g
-                v[used] = u * np.maximum(1 - step.mean(1, keepdims=True) * GROUP_LASSO / (np.sqrt((u**2).sum(1, keepdims=True)) + 1e-12), 0) if factors else u
+                v[used] = u * np.maximum(1 - step.mean(1, keepdims=True) * group / (np.sqrt((u**2).sum(1, keepdims=True)) + 1e-12), 0) if factors else u
             gb += (g := float(off.sum())) ** 2
             bias -= rate * g / np.sqrt(gb)
     out.bias, out.weights[slots], out.factors[slots] = bias, w, v
