@@ -22,6 +22,10 @@ REDACTED = "[SECRET]"
 FEW = 2_000_000
 
 
+def _quoted(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def _packed(docs: DataFrame, *apart: str) -> DataFrame:
     """``apart`` as columns of their own, all others in one struct, so that no name clashes with what an operator adds."""
     return docs.select(*apart, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in apart], F.lit(0).alias("__")).alias("__row"))
@@ -54,14 +58,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     prepared(spark)
     found = kept(jaccard.join(docs))
     sent = lambda ids: F.broadcast(ids) if ids.count() <= FEW else ids
-    out = docs.join(sent(kept(found.where("doc_id <> component_id").select("doc_id").distinct())), "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(sent(kept(found.where("doc_id <> component_id").select("doc_id").distinct())), "doc_id", "left_anti").select(*_quoted(docs))
     twice = kept(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
     if twice.isEmpty():
         return out
     twice = sent(twice)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*_quoted(docs))
     one = out.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
-    return out.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    return out.join(twice, "doc_id", "left_anti").select(*_quoted(docs)).unionByName(one)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
