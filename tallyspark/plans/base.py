@@ -93,7 +93,7 @@ ranked AS (SELECT *, rank() OVER (PARTITION BY task ORDER BY score DESC) + (coun
     "manifest": """manifest AS (SELECT doc_id AS utt_id, source AS speaker_id, lang AS dataset, text AS transcript, n_chars AS duration, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS norm FROM documents)""",
     "vectors": """raw AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
 vectors AS (SELECT id, label, list_transform(e, lambda x: x / greatest(sqrt(list_sum(list_transform(e, lambda y: y * y))), 1e-8)) AS vec FROM raw)""",
-    "sims": """sims AS (SELECT q.id AS qid, d.id AS did, q.label AS ql, d.label AS dl, list_inner_product(q.vec, d.vec) AS sim FROM vectors q JOIN vectors d ON q.id <> d.id),
+    "sims": """sims AS (SELECT q.id AS qid, d.id AS did, q.label AS ql, d.label AS dl, round(list_inner_product(q.vec, d.vec), 12) AS sim FROM vectors q JOIN vectors d ON q.id <> d.id),
 placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, did) AS rn, (ql = dl)::INT AS rel FROM sims)""",
     "pairs": """duo AS (SELECT a.task AS task_a, b.task AS task_b, a.model, a.score AS x, b.score AS y, a.capability AS ca, b.capability AS cb FROM scores a JOIN scores b ON a.model = b.model AND a.task < b.task)""",
 }
