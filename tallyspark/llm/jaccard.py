@@ -332,7 +332,8 @@ def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, numerator: in
     members = kept(alike.select("doc_id", "same").distinct().join(first.select("same", "rep", "n"), "same").select("doc_id", "rep", "n"))
     often = frequent(docs, text, size, bits)
     met = kept(groups(index(docs, text, size, bits, often, numerator, denominator)))
-    of = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n").alias("n"))
+    # written, so that joins with it on a common member can be split by rows
+    of = kept(members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n").alias("n")))
 
     def folded(rows: DataFrame, side: str) -> DataFrame:
         return rows.join(of.select(F.col("doc_id").alias(side), F.col("rep").alias(f"{side}_rep"), F.col("n").alias(f"{side}_n")), side)
