@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The form of a transcript line and the manifest's columns.
 LINE = r'^\(\s*(\S+)\s+"(.*)"\s*\)\s*$'
 MANIFEST = "dataset string, utt_id string, path string, speaker_id string, duration_s double, sample_rate int, channels int, n_samples int, transcript string, has_transcript int, n_chars int"
 
 
 def line_transcripts(lines: DataFrame) -> DataFrame:
     """utt_id and transcript of lines like ( id " text " ); other lines are skipped. lines: value."""
-    return lines.where(F.col("value").rlike(LINE)).select(F.regexp_extract("value", LINE, 1).alias("utt_id"), F.trim(F.regexp_extract("value", LINE, 2)).alias("transcript"))
+    return lines.where(F.col("value").rlike(LINE)).select(F.regexp_extract("value", LINE, 1).alias("utt_id"), F.regexp_replace(F.regexp_extract("value", LINE, 2), r"^\s+|\s+$", "").alias("transcript"))
 
 
 def tab_transcripts(lines: DataFrame) -> DataFrame:
