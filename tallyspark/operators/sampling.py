@@ -95,3 +95,59 @@ def drawn_pairs(rows: DataFrame, holder: str, ident: str, n: int, seed: int = 42
             many *= 2
 
     return some(1, int(total.same)).unionByName(some(0, int((total.m**2 - total.squares) // 2)))
+
+
+def next_other(rows: DataFrame, within: str, differs: str, ident: str, salt: str, seed: int = 13) -> DataFrame:
+    """Adds other: the next row of the same ``within`` with another value of ``differs``, in a keyed order that closes in a ring; null without one.
+
+    One sort of each group and no pairs: the next row is where the next run of equal values begins.
+    """
+    w = Window.partitionBy(within)
+    ahead, back = (keyed(seed, salt, ident), F.col(ident)), (F.desc(keyed(seed, salt, ident)), F.desc(ident))
+    same = F.lag(differs).over(w.orderBy(*ahead)).eqNullSafe(F.col(differs)) & (F.row_number().over(w.orderBy(*ahead)) > 1)
+    runs = rows.withColumn("__i", F.row_number().over(w.orderBy(*ahead))).withColumn("__begins", ~same)
+    later = F.last(F.when(F.col("__begins"), F.col(ident)), ignorenulls=True).over(w.orderBy(*back).rowsBetween(Window.unboundedPreceding, -1))
+    head = F.min_by(F.struct(F.col(ident).alias("x"), F.col(differs).alias("v")), "__i").over(w)
+    second = F.min_by(F.when(F.col("__begins"), F.col(ident)), F.when(F.col("__begins") & (F.col("__i") > 1), F.col("__i"))).over(w)
+    found = runs.withColumn("__later", later).withColumn("__head", head).withColumn("__second", second)
+    ring = F.when(~F.col("__head.v").eqNullSafe(F.col(differs)), F.col("__head.x")).otherwise(F.col("__second"))
+    return found.withColumn("other", F.coalesce("__later", ring)).drop("__i", "__begins", "__later", "__head", "__second")
+
+
+def _numbered(rows: DataFrame, bucket: Column, order: str, name: str) -> DataFrame:
+    """Adds ``name``: places from 0 by bucket, then by ``order``, without a sort of all rows in one task; buckets are 4,096 at most."""
+    rows = rows.withColumn("__b", bucket)
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("__b").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).select("__b", "__start")
+    place = F.row_number().over(Window.partitionBy("__b").orderBy(order)) - 1
+    return rows.withColumn("__r", place).join(F.broadcast(starts), "__b").withColumn(name, F.col("__start") + F.col("__r")).drop("__b", "__r", "__start")
+
+
+def content_pairs(rows: DataFrame, content: str, holder: str, ident: str, n: int, tries: int = 16, seed: int = 13) -> DataFrame:
+    """i, id_a <= id_b, label: of ``tries`` * n numbered draws the first n / 2 valid ones of each label; pairs may repeat.
+
+    Label 1: a content uniformly among those (hexadecimal digests) of two holders, then two rows of it by two holders.
+    Label 0: two rows of such contents with other contents and holders. Fewer come out where valid draws are fewer.
+    """
+    groups = rows.groupBy(content).agg(F.count("*").alias("__n"), F.countDistinct(holder).alias("__h")).where("__h >= 2").drop("__h")
+    groups = _numbered(groups, F.conv(F.substring(content, 1, 3), 16, 10).cast("int"), content, "__g")
+    held = rows.join(groups, content).withColumn("__j", F.row_number().over(Window.partitionBy(content).orderBy(ident)) - 1)
+    whole = _numbered(held, (keyed(seed, "row", ident) % 4096).cast("int"), ident, "__w")
+    n_groups, n_rows = groups.agg(F.count("*").alias("__m")), held.agg(F.count("*").alias("__t"))
+    draws = rows.sparkSession.range(tries * n).withColumnRenamed("id", "i")
+    key = lambda salt: keyed(seed, salt, "i")
+
+    def side(of: DataFrame, places: tuple[str, ...], x: str) -> DataFrame:
+        return of.select(*[F.col(p).alias(f"{p}{x}") for p in places], F.col(ident).alias(f"__id{x}"), F.col(holder).alias(f"__h{x}"), F.col("__g").alias(f"__of{x}"))
+
+    def first(valid: DataFrame, label: int) -> DataFrame:
+        return valid.orderBy("i").limit(n // 2).select("i", F.least("__ida", "__idb").alias("id_a"), F.greatest("__ida", "__idb").alias("id_b"), F.lit(label).alias("label"))
+
+    one = draws.crossJoin(F.broadcast(n_groups)).withColumn("__g", key("group") % F.col("__m")).join(groups.select("__g", "__n"), "__g")
+    one = one.select("i", F.col("__g").alias("__ga"), F.col("__g").alias("__gb"), (key("a") % F.col("__n")).alias("__ja"), "__n")
+    one = one.withColumn("__jb", (F.col("__ja") + 1 + key("b") % (F.col("__n") - 1)) % F.col("__n"))
+    two = draws.crossJoin(F.broadcast(n_rows)).select("i", (key("x") % F.col("__t")).alias("__wa"), (key("y") % F.col("__t")).alias("__wb"))
+    for x in "ab":
+        one = one.join(side(held, ("__g", "__j"), x), [f"__g{x}", f"__j{x}"])
+        two = two.join(side(whole, ("__w",), x), f"__w{x}")
+    return first(one.where("__ha <> __hb"), 1).unionByName(first(two.where("__ofa <> __ofb AND __ha <> __hb"), 0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,6 +92,39 @@ def two_sided_sql(z: str) -> str:
     return f"({poly} * exp(-{x} * {x}))"
 
 
+def spearman_p(rho: Column, n: Column) -> Column:
+    """Two-sided p of a rank correlation of n >= 3 rows by Student's t with n - 2 degrees, from the finite series for whole degrees; null for null.
+
+    The tangent of the angle is t / sqrt(degrees), so its sine is ``rho`` itself. Cancellation leaves p exact to some 1e-15.
+    """
+    nu = n - 2
+    sine, cosine2 = F.abs(rho), 1 - rho * rho
+    odd = F.pmod(nu, F.lit(2)) == 1
+    # each term is the one before times cos^2 * 2j / (2j + 1), or for even degrees (2j - 1) / 2j
+    last = F.when(odd, (nu - 3) / 2).otherwise((nu - 2) / 2).cast("int")
+    factor = lambda j: F.when(odd, 2.0 * j / (2.0 * j + 1)).otherwise((2.0 * j - 1) / (2.0 * j))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def add(x: Column, j: Column) -> Column:
+        term = x["term"] * cosine2 * factor(j)
+        return F.struct(term.alias("term"), (x["total"] + term).alias("total"))
+
+    steps = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    series = F.aggregate(steps, start, add)["total"]
+    angle = F.asin(F.least(sine, F.lit(1.0)))
+    beyond_one = F.when(nu > 1, sine * F.sqrt(cosine2) * series).otherwise(F.lit(0.0))
+    p = F.greatest(F.lit(0.0), 1 - F.when(odd, 2 / F.lit(math.pi) * (angle + beyond_one)).otherwise(sine * series))
+    return F.when(rho.isNotNull() & n.isNotNull(), p)
+
+
+def spearman_p_sql(rho: str, n: str) -> str:
+    """The same in DuckDB, to six places, with the terms' factors as gamma functions."""
+    c2 = f"(1 - {rho} * {rho})"
+    odd = f"list_sum(list_transform(range(0, greatest(0, ({n} - 3) // 2)), lambda j: exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2 * {c2} ** j))"
+    even = f"list_sum(list_transform(range(0, ({n} - 2) // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * {c2} ** j))"
+    return f"CASE WHEN {rho} IS NOT NULL THEN round(greatest(0, 1 - CASE WHEN {n} % 2 = 1 THEN 2 / pi() * (asin(least(abs({rho}), 1)) + coalesce(abs({rho}) * sqrt({c2}) * {odd}, 0)) ELSE abs({rho}) * {even} END), 6) END"
+
+
 def mann_whitney(rows: DataFrame, value: str, first: str) -> DataFrame:
     """n1, n2, u (of the rows where ``first``), z and two-sided p by the normal approximation with ties.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpora, inference, layers, leaderboards, steps, suites  # noqa: F401
+from . import corpora, inference, layers, leaderboards, parts, steps, suites  # noqa: F401
 from .base import ORACLES, QUERIES, Query
 
 

@@ -195,16 +195,11 @@ def vec09_mean_cosine(spark: SparkSession, d: str) -> DataFrame:
     return s.crossJoin(v.agg(F.count("*").cast("double").alias("n"))).select(r6((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("mean_cosine"))
 
 
-@query("""WITH {vectors}, x AS (SELECT id, label, unnest(vec) AS v, generate_subscripts(vec, 1) AS p FROM vectors), c AS (SELECT label, p, sum(v) AS s FROM x GROUP BY 1, 2), k AS (SELECT label, count(*)::DOUBLE AS n FROM vectors GROUP BY 1),
-d AS (SELECT x.id, x.label, c.label AS other, sum(x.v * c.s) AS dp FROM x JOIN c USING (p) GROUP BY 1, 2, 3),
-e AS (SELECT d.id, d.label, other, CASE WHEN d.label = other THEN (n - dp) / nullif(n - 1, 0) ELSE (n - dp) / n END AS m, n FROM d JOIN k ON k.label = other),
-g AS (SELECT id, max(m) FILTER (WHERE label = other) AS a, min(m) FILTER (WHERE label <> other) AS b, max(n) FILTER (WHERE label = other) AS n FROM e GROUP BY 1)
-SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM g""")
-def clu07_silhouette(spark: SparkSession, d: str) -> DataFrame:
-    """Exact cosine silhouette from the vector sums of each cluster; a cluster of one counts 0."""
-    x = vectors(spark, d).select("id", "label", F.posexplode("vec").alias("p", "v"))
+def silhouette(rows: DataFrame) -> DataFrame:
+    """Exact cosine silhouette of id, label and vec, from the vector sums of each cluster; a cluster of one counts 0."""
+    x = rows.select("id", "label", F.posexplode("vec").alias("p", "v"))
     c = x.groupBy(F.col("label").alias("other"), "p").agg(F.sum("v").alias("s"))
-    k = vectors(spark, d).groupBy(F.col("label").alias("other")).agg(F.count("*").cast("double").alias("n"))
+    k = rows.groupBy(F.col("label").alias("other")).agg(F.count("*").cast("double").alias("n"))
     per = x.join(F.broadcast(c), "p").groupBy("id", "label", "other").agg(F.sum(F.col("v") * F.col("s")).alias("dp")).join(F.broadcast(k), "other")
     own = F.col("label") == F.col("other")
     per = per.withColumn("m", F.when(own, (F.col("n") - F.col("dp")) / F.nullif(F.col("n") - 1, F.lit(0.0))).otherwise((F.col("n") - F.col("dp")) / F.col("n")))
@@ -212,6 +207,15 @@ def clu07_silhouette(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(r6(F.avg(F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))).alias("silhouette"))
 
 
+@query("""WITH {vectors}, x AS (SELECT id, label, unnest(vec) AS v, generate_subscripts(vec, 1) AS p FROM vectors), c AS (SELECT label, p, sum(v) AS s FROM x GROUP BY 1, 2), k AS (SELECT label, count(*)::DOUBLE AS n FROM vectors GROUP BY 1),
+d AS (SELECT x.id, x.label, c.label AS other, sum(x.v * c.s) AS dp FROM x JOIN c USING (p) GROUP BY 1, 2, 3),
+e AS (SELECT d.id, d.label, other, CASE WHEN d.label = other THEN (n - dp) / nullif(n - 1, 0) ELSE (n - dp) / n END AS m, n FROM d JOIN k ON k.label = other),
+g AS (SELECT id, max(m) FILTER (WHERE label = other) AS a, min(m) FILTER (WHERE label <> other) AS b, max(n) FILTER (WHERE label = other) AS n FROM e GROUP BY 1)
+SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM g""")
+def clu07_silhouette(spark: SparkSession, d: str) -> DataFrame:
+    return silhouette(vectors(spark, d))
+
+
 @query("""WITH {manifest}, h AS (SELECT dataset, md5(norm) AS k FROM manifest) SELECT dataset, count(*) AS n, (count(*) - count(DISTINCT k)) AS n_duplicates, round(100.0::DOUBLE * (count(*) - count(DISTINCT k)) / count(*), 6) AS pct FROM h GROUP BY 1""")
 def qry38_duplicates(spark: SparkSession, d: str) -> DataFrame:
     h = manifest(spark, d).select("dataset", F.md5("norm").alias("k"))

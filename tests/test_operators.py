@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 from tallyspark.functions import vectors as V
-from tallyspark.operators import agreement, ranking, retrieval, stats
+from tallyspark.functions.keyed import keyed
+from tallyspark.operators import agreement, ranking, retrieval, sampling, stats
 from tallyspark.sources import results, texts
 
 
@@ -83,3 +84,26 @@ def test_samplers_at_the_reference_sizes(spark):
         assert r.n_negative + r.n_positive >= min(100, sizes[source[r.qid]] - 1)
     assert q["smp02_capped_default"](spark, at).groupBy("speaker_id").count().where("count > 10").count()
     assert q["smp01_subset_default"](spark, at).where("grouped").count() >= q["smp01_subset"](spark, at).where("grouped").count()
+
+
+def test_p_of_rank_correlations(spark):
+    rows = spark.createDataFrame([(0.5, 3), (0.5, 10), (-0.9, 5), (1.0, 6), (0.0, 7), (None, 7)], "rho double, n long")
+    got = [r.p for r in rows.select(stats.spearman_p(F.col("rho"), F.col("n")).alias("p")).collect()]
+    assert got[:3] == pytest.approx([2 / 3, 0.14111328, 0.03738607], abs=1e-7)
+    assert got[3:5] == pytest.approx([0.0, 1.0]) and got[5] is None
+
+
+def test_next_other_is_the_next_in_the_ring(spark):
+    rows = [(i, i % 3, "ab"[i % 7 > 3] if i % 3 else "a") for i in range(40)]
+    got = {r.id: r.other for r in sampling.next_other(spark.createDataFrame(rows, "id int, g int, v string"), "g", "v", "id", "s").collect()}
+    order = [r.id for r in spark.range(40).select(F.col("id").cast("int").alias("id")).orderBy(keyed(13, "s", "id"), "id").collect()]
+    value = {i: (g, v) for i, g, v in rows}
+    for i in range(40):
+        at = order.index(i)
+        ring = [j for j in order[at + 1 :] + order[:at] if value[j][0] == value[i][0] and value[j][1] != value[i][1]]
+        assert got[i] == (ring[0] if ring else None)
+
+
+def test_content_pairs_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "id int, k string, s int")
+    assert sampling.content_pairs(empty, "k", "s", "id", 10).count() == 0
