@@ -6,14 +6,18 @@ A bit table of bounded size, filled over all segments, says which anchors occur
 segments are sent on, dealt out by anchor, a text that repeats as a whole only once. A full table
 lets more segments through and never fewer, so results don't depend on its size.
 
-What repeats. In a bucket, each task's segments are a shard. The shards' Burrows-Wheeler orders are
-merged by refining their interleave: entries stand shard after shard, and each pass puts them in
-order of the symbol before them, stably, which sorts all suffixes to one symbol more. A symbol is
-8 bytes, so 25 passes reach 200. Entries whose predecessor and block were equal share a block (a
-common prefix of as many symbols); an entry alone in its block can't be repeated and is dropped.
-What is left are the repeated intervals of depth 200. No suffix is compared with another, and no
-shard is sorted anew: passes order a shard within itself as they interleave it with the rest.
-Symbols are sorted by a 32-bit code; a 64-bit hash of the whole window confirms each interval.
+What repeats. A bucket's segments, equal ones once and with their number, are cut by the tasks they
+come from into shards of bounded size. Text is read as strings of 8-byte symbols, one for each of 8
+offsets. Each shard has its suffixes ordered on its own (prefix doubling), which gives its
+Burrows-Wheeler transform: the symbol before each suffix, and the row of the suffix that this symbol
+begins. From here on only transforms are read. Their merge is refined as an interleave: at first all
+rows are one block, shard after shard. A pass takes each row to the row of its symbol's suffix, whose
+key is that symbol and the block it came from. As shards are ordered, their rows come out as runs of
+rising keys, and a merge of the runs is the interleave to one symbol more; where the key changes a
+block begins, and the number of the pass is the length of the prefix that it has in common with the
+block before. After 25 passes the blocks of more than one row are the repeated intervals of 200
+bytes. A row alone in its block can't be repeated and goes. The suffixes of all shards are never
+sorted together. Symbols are 32-bit codes; a 64-bit hash of the window confirms each interval.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ from .store import kept
 LENGTH, ANCHOR, SYMBOL = 200, 16, 8
 #: Bits of the anchor table: at most 2 to this power.
 MOST_BITS = 30
-#: Windows refined at a time.
-BATCH = 200_000
+#: Windows merged at a time, and about how many suffixes a shard has.
+BATCH, SHARD = 200_000, 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -165,29 +169,102 @@ def sent(texts: DataFrame, table: np.ndarray, bits: int, buckets: int, length: i
     return texts.select("__text", "__key").mapInArrow(run, "to int, n long, blob binary")
 
 
-def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The windows at ``starts`` that equal another, and the number of the interval of each: the merged order of all shards, refined to ``length`` bytes.
-
-    ``starts`` stand shard after shard; entries go from a window's last symbol to its first.
-    """
+def codes(data: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The symbol that begins at each place, as 32 bits; 0 where fewer than 8 bytes are left (``room``)."""
     wide = np.zeros(len(data) + SYMBOL, np.uint8)
     wide[: len(data)] = data
-    symbols = np.ndarray((len(data),), "<u8", wide, 0, (1,)) * _ODD
-    low, high = ((symbols >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16), (symbols >> np.uint64(48)).astype(np.uint16)
-    entry, block = starts + length - SYMBOL, np.zeros(len(starts), np.int64)
-    for step in range(length // SYMBOL):
-        order = np.argsort(low[entry], kind="stable")
-        order = order[np.argsort(high[entry[order]], kind="stable")]
-        entry, block = entry[order], block[order]
-        a, b = low[entry], high[entry]
-        edge = np.ones(len(entry) + 1, bool)
-        edge[1:-1] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (block[1:] != block[:-1])
-        alone = edge[1:] & edge[:-1]
-        block = np.cumsum(edge[:-1])[~alone]
-        entry = entry[~alone] - SYMBOL
-        if not len(entry):
+    out = ((np.ndarray((len(data),), "<u8", wide, 0, (1,)) * _ODD) >> np.uint64(32)).astype(np.uint32)
+    out[room < SYMBOL] = 0
+    return out
+
+
+def _edges(keys: np.ndarray) -> np.ndarray:
+    edge = np.ones(len(keys) + 1, bool)
+    edge[1:-1] = keys[1:] != keys[:-1]
+    return edge
+
+
+def suffix_order(code: np.ndarray, room: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """A shard's suffixes in order of their first ``length`` bytes at least, by prefix doubling; an end comes before any symbol."""
+    n = len(code)
+    after = np.zeros(n, np.uint32)
+    after[: max(n - SYMBOL, 0)] = code[SYMBOL:]
+    after[room < SYMBOL] = 0
+    key = code.astype(np.uint64) << np.uint64(32) | after
+    order = np.argsort(key)
+    rank, slots, rows, key, depth = np.zeros(n, np.uint32), np.arange(n), order, key[order], 2 * SYMBOL
+    while True:
+        edge = _edges(key)
+        rank[rows] = slots[np.maximum.accumulate(np.where(edge[:-1], np.arange(len(rows)), 0))] + 1
+        tied = ~(edge[1:] & edge[:-1])
+        slots, rows = slots[tied], rows[tied]
+        if depth >= length or not len(rows):
+            return order
+        then = np.where(room[rows] >= depth, rank[np.minimum(rows + depth, n - 1)], 0)
+        key = rank[rows].astype(np.uint64) << np.uint64(32) | then.astype(np.uint64)
+        by = np.argsort(key)
+        rows, key = rows[by], key[by]
+        order[slots] = rows
+        depth *= 2
+
+
+def transforms(code: np.ndarray, room: np.ndarray, cuts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the shards between ``cuts``, one after another: each row's suffix, the symbol before it, and the row of the suffix that begins with that symbol."""
+    suffix = np.concatenate([a + suffix_order(code[a:b], room[a:b], length) for a, b in zip(cuts, cuts[1:], strict=False)])
+    row = np.empty(len(suffix), np.int64)
+    row[suffix] = np.arange(len(suffix))
+    before = np.maximum(suffix - SYMBOL, 0)
+    return suffix, code[before], row[before]
+
+
+def merge(symbol: np.ndarray, to: np.ndarray, rows: np.ndarray, many: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that the interleave of all shards, refined to ``length`` bytes, leaves in a repeated interval, and the number of each one's interval, in order.
+
+    ``rows``: those that have ``length`` bytes before them in their text. ``many``: rows that stand for several suffixes.
+    """
+    key, here = np.empty(len(to), np.uint64), np.zeros(len(to), bool)
+    block = np.zeros(len(rows), np.uint64)
+    for _ in range(length // SYMBOL):
+        if not len(rows):
             break
-    return entry + SYMBOL, block
+        ahead = to[rows]
+        key[ahead] = symbol[rows].astype(np.uint64) << np.uint64(32) | block
+        here[ahead] = True
+        rows = np.flatnonzero(here)
+        here[rows] = False
+        keys = key[rows]
+        order = np.argsort(keys, kind="stable")
+        edge = _edges(keys[order])
+        block = np.empty(len(rows), np.uint64)
+        block[order] = np.cumsum(edge[:-1])
+        shared = np.empty(len(rows), bool)
+        shared[order] = ~(edge[1:] & edge[:-1])
+        shared |= many[rows]
+        rows, block = rows[shared], block[shared]
+    return rows, block
+
+
+def repeated(data: np.ndarray, sizes: np.ndarray, times: np.ndarray, length: int = LENGTH, shard: int = SHARD) -> np.ndarray:
+    """Places in ``data`` (segments of these ``sizes``, each there ``times`` times) at which a string begins that is there twice."""
+    # a place of its own for each segment's end
+    wide = sizes + 1
+    stop = np.cumsum(wide)
+    n = int(stop[-1])
+    place = np.arange(n) - np.repeat(stop - wide, wide)
+    room = np.repeat(sizes, wide) - place
+    own = np.repeat(np.arange(len(sizes)), wide)
+    code = codes(data[np.minimum(np.arange(n) - own, len(data) - 1)], room)
+    ends = stop[np.append(stop[1:] // shard != stop[:-1] // shard, True)]
+    suffix, symbol, to = transforms(code, room, np.append(0, ends), length)
+    found, block = merge(symbol, to, np.flatnonzero(place[suffix] >= length), (times > 1)[own[suffix]], length)
+    found = suffix[found]
+    lone = times[own[found]] == 1
+    found = found - own[found]
+    name = flat.Hasher(data)(found, found + length)
+    order = np.lexsort((name, block))
+    name, block = name[order], block[order]
+    same = (block[1:] == block[:-1]) & (name[1:] == name[:-1])
+    return np.sort(found[order[np.append(False, same) | np.append(same, False) | ~lone[order]]]) if len(found) else found
 
 
 def covered(rows: DataFrame, length: int) -> DataFrame:
@@ -213,45 +290,31 @@ def covered(rows: DataFrame, length: int) -> DataFrame:
         i = 0
         while i < len(cuts) - 1:
             j = max(i + 1, int(np.searchsorted(load, load[i] + BATCH, "right")) - 1)
-            mine = order[cuts[i] : cuts[j]]
+            mine = np.sort(order[cuts[i] : cuts[j]])
             i = j
             count = size[mine]
             stop = np.cumsum(count)
             local = data[np.repeat(begin[mine] - stop + count, count) + np.arange(stop[-1])]
-            head = stop - count
-            # equal segments stand once; where two are equal, all of both is covered
-            hashed = flat.Hasher(local)
-            name = flat.mix(hashed(head, stop) ^ anchors[mine])
-            _, one, back, times = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-            whole = times[back] > 1
-            out_key.append(keys[mine[whole]])
-            out_a.append(at[mine[whole]])
-            out_b.append(at[mine[whole]] + count[whole])
-            one = np.sort(one)
-            windows = n[mine[one]]
-            last = np.cumsum(windows)
-            starts = np.repeat(head[one] - last + windows, windows) + np.arange(last[-1])
-            found, block = refine(local, starts, length)
-            if not len(found):
-                continue
-            name = hashed(found, found + length)
-            order2 = np.lexsort((name, block))
-            found, name, block = found[order2], name[order2], block[order2]
-            same = (block[1:] == block[:-1]) & (name[1:] == name[:-1])
-            found = np.sort(found[np.append(False, same) | np.append(same, False)])
-            if not len(found):
-                continue
+            # equal segments stand once, with their number
+            _, one, of, times = np.unique(flat.mix(flat.Hasher(local)(stop - count, stop) ^ anchors[mine]), return_index=True, return_inverse=True, return_counts=True)
+            by = np.argsort(one)
+            one, times, of = one[by], times[by], np.argsort(by)[of]
+            count = count[one]
+            ends = np.cumsum(count)
+            local = local[np.repeat((stop[one] - ends), count) + np.arange(ends[-1])]
+            head = ends - count
+            found = repeated(local, count, times, length)
             segment = np.searchsorted(head, found, "right") - 1
-            keep = ~whole[segment]
-            found, segment = found[keep], segment[keep]
-            if not len(found):
-                continue
-            edge = np.append(True, (found[1:] != found[:-1] + 1) | (segment[1:] != segment[:-1]))
-            first, end = np.flatnonzero(edge), np.flatnonzero(np.append(edge[1:], True))
-            out_key.append(keys[mine[segment[first]]])
-            base = at[mine[segment[first]]] - head[segment[first]]
-            out_a.append(found[first] + base)
-            out_b.append(found[end] + base + length)
+            edge = np.append(True, (found[1:] != found[:-1] + 1) | (segment[1:] != segment[:-1]))[: len(found)]
+            first, end, of_span = found[edge], found[np.append(edge[1:], True)[: len(found)]], segment[edge]
+            # to all texts that have the segment
+            spans = np.bincount(of_span, minlength=len(one))
+            each = spans[of]
+            which = np.repeat((np.cumsum(spans) - spans)[of] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            base = np.repeat(at[mine], each) - head[of_span[which]]
+            out_key.append(np.repeat(keys[mine], each))
+            out_a.append(first[which] + base)
+            out_b.append(end[which] + base + length)
         return pa.table({"key": np.concatenate(out_key), "a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     return rows.groupBy("to").applyInArrow(run, "key long, a long, b long")
