@@ -173,7 +173,7 @@ def codes(data: np.ndarray, room: np.ndarray) -> np.ndarray:
     """The symbol that begins at each place, as 32 bits; 0 where fewer than 8 bytes are left (``room``)."""
     wide = np.zeros(len(data) + SYMBOL, np.uint8)
     wide[: len(data)] = data
-    out = ((np.ndarray((len(data),), "<u8", wide, 0, (1,)) * _ODD) >> np.uint64(32)).astype(np.uint32)
+    out = np.maximum((np.ndarray((len(data),), "<u8", wide, 0, (1,)) * _ODD) >> np.uint64(32), np.uint64(1)).astype(np.uint32)
     out[room < SYMBOL] = 0
     return out
 
