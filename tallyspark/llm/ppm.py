@@ -17,6 +17,9 @@ with an escape for each order that lacks the byte.
 
 The token baseline needs exact counts of all words, which no broadcast bounds. Blocks send their
 sorted distinct word hashes, cut by ranges of the hash, and get back the counts in the same order.
+Above ``FAN_IN`` blocks there are as many ranges; the lists of as many blocks become one for each
+range, which is cut into as many finer ranges, and so on. So a block sends a bounded number of rows,
+and a task has about the words of one block, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -145,14 +148,20 @@ def _blocks(docs: DataFrame, text: str, learn: Column) -> tuple[DataFrame, int]:
     return rows.withColumn("__block", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("__text"))), F.lit(n)).cast("int")), n
 
 
+def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each of ``n`` equal ranges of the hash begins in sorted keys, and the end; ranges of a multiple of ``n`` lie within them."""
+    of = (keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+    return np.searchsorted(of, np.arange(n + 1, dtype=np.uint64))
+
+
 def counts(blocked: DataFrame, n_blocks: int, order: int = ORDER) -> DataFrame:
     """kind ("word", "gram", "pair" or "texts"), to (range of word hashes, or part of the trie), block, n and blob: keys and counts."""
+    n_ranges = min(n_blocks, FAN_IN)
 
     def count(table: pa.Table) -> pa.Table:
         block = table.column("__block")[0].as_py()
         keys, times = _word_counts(table, True)
-        bounds = np.searchsorted(keys >> np.uint64(40), (np.arange(1, n_blocks, dtype=np.uint64) << np.uint64(24)) // np.uint64(n_blocks))
-        bounds = np.concatenate([[0], bounds, [len(keys)]])
+        bounds = _ranges(keys, n_ranges)
         rows = [("word", r, block, int(b - a), _pack(keys[a:b], times[a:b])) for r, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
         texts = int(np.count_nonzero(table.column("__learn").to_numpy(zero_copy_only=False)))
         k, t = _gram_counts(table, order, True)
@@ -177,17 +186,43 @@ def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return *_counted(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])), [p[0] for p in pairs]
 
 
-def answers(words: DataFrame) -> DataFrame:
-    """For each range and block, the corpus counts of the block's words in the order sent; and a "total" row for each range: n distinct training words, blob their sum."""
+def answers(words: DataFrame, n_blocks: int, n_ranges: int | None = None) -> DataFrame:
+    """For each range and block, the corpus counts of the block's words in the order sent; and "total" rows that share out the training words: n distinct ones, blob the sum of their counts."""
+    n_ranges = n_ranges or min(n_blocks, FAN_IN)
+    n_groups = -(-n_blocks // FAN_IN)
+    finer = min(n_groups, FAN_IN)
 
-    def answer(table: pa.Table) -> pa.Table:
+    def lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         pairs = [_unpack(b, n) for b, n in zip(table.column("blob").to_pylist(), table.column("n").to_pylist(), strict=True)]
-        keys, times = _counted(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+        return *_counted(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])), [p[0] for p in pairs]
+
+    def reply(table: pa.Table, keys: np.ndarray, times: np.ndarray, sent: list[np.ndarray]) -> list[tuple]:
         to = table.column("to")[0].as_py()
-        rows = [("answer", to, b, len(k), times[np.searchsorted(keys, k)].astype("<i8" if times.max() >= 1 << 31 else "<i4").tobytes()) for b, (k, _) in zip(table.column("block").to_pylist(), pairs, strict=True)]
-        return _rows([*rows, ("total", to, -1, int((times > 0).sum()), int(times.sum()).to_bytes(8, "little"))])
+        wide = "<i8" if times.max(initial=0) >= 1 << 31 else "<i4"
+        return [("answer", to, b, len(k), times[np.searchsorted(keys, k)].astype(wide).tobytes()) for b, k in zip(table.column("block").to_pylist(), sent, strict=True)]
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys, times, sent = lists(table)
+        return _rows([*reply(table, keys, times, sent), ("total", table.column("to")[0].as_py(), -1, int((times > 0).sum()), int(times.sum()).to_bytes(8, "little"))])
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys, times, _ = lists(table)
+        to, group = table.column("to")[0].as_py(), table.column("__group")[0].as_py()
+        bounds = _ranges(keys, n_ranges * finer)[to * finer : (to + 1) * finer + 1]
+        return _rows([("word", to * finer + r, group, int(b - a), _pack(keys[a:b], times[a:b])) for r, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a])
+
+    def back(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, _, sent = lists(left)
+        right = right.sort_by("__finer")
+        times = np.concatenate([np.frombuffer(b, "<i8" if len(b) == 8 * n else "<i4").astype(np.int64) for b, n in zip(right.column("blob").to_pylist(), right.column("n").to_pylist(), strict=True)])
+        return _rows(reply(left, keys, times, sent))
 
-    return words.groupBy("to").applyInArrow(answer, _SCHEMA)
+    if n_groups == 1:
+        return words.groupBy("to").applyInArrow(answer, _SCHEMA)
+    grouped = words.withColumn("__group", F.pmod("block", F.lit(n_groups)).cast("int"))
+    above = kept(answers(kept(grouped.groupBy("to", "__group").applyInArrow(merge, _SCHEMA)), n_groups, n_ranges * finer))
+    there = above.where("kind = 'answer'").select("n", "blob", F.col("block").alias("__group"), F.col("to").alias("__finer"), F.expr(f"to div {finer}").cast("int").alias("to"))
+    return grouped.groupBy("to", "__group").cogroup(there.groupBy("to", "__group")).applyInArrow(back, _SCHEMA).union(above.where("kind = 'total'"))
 
 
 def levels(keys: np.ndarray, times: np.ndarray, order: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -344,7 +379,7 @@ def score(docs: DataFrame, learn: Column, text: str = "text", order: int = ORDER
     ident = docs.schema["doc_id"].dataType.simpleString()
     blocked, n_blocks = _blocks(docs, text, learn)
     sent = kept(counts(blocked, n_blocks, order))
-    replies = kept(answers(sent.where("kind = 'word'")))
+    replies = kept(answers(sent.where("kind = 'word'"), n_blocks))
     texts = int(sent.where("kind = 'texts'").agg(F.sum("n")).first()[0] or 0)
     per = replies.where("kind = 'total'").select("n", "blob").mapInArrow(_totals, "v long, s long").agg(F.sum("v").alias("v"), F.sum("s").alias("s")).first()
     n_train, n_kinds = int(per.s or 0) + texts, int(per.v or 0) + (texts > 0)
