@@ -32,6 +32,6 @@ def write_table(rows: DataFrame, path: str) -> None:
 
 
 def files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """path, utt_id (file name without suffix) and length of the files under ``path``; their content isn't read."""
+    """path, utt_id (file name without suffix) and length of the files under ``path``; their content isn't read. Spark lists no empty files."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(path)
     return found.select("path", F.regexp_replace(F.element_at(F.split("path", "/"), -1), f"\\Q{suffix}\\E$", "").alias("utt_id"), "length")
