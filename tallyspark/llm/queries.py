@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, interactions, jaccard, mixing, mpegts, pieces, ppm, quality, secrets, suffixes, toxicity
+from . import bpe, interactions, jaccard, mixing, mpegts, packed, pieces, ppm, quality, secrets, suffixes, toxicity, tries
 from .sample import crc_of_id, read
 
 #: A folder with the public tokenizers' files, in place of the installed package's.
@@ -84,19 +84,29 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, packed into files in the order of doc_id and read back from them."""
+    return packed.read_back(packed.write(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt so that those of a group of five share first turns."""
+    return tries.rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five text filters remove from each source at every step of all their 120 orders."""
     return interactions.audit(interactions.flags(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")), list("ABCDE"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_transport_streams, op2_toxicity, op3_ppm, op4_bpe, op5_secrets, op6_quality, op7_word_pieces, op8_mixture, op9_ngram_jaccard, op10_suffix_dedup, op13_filter_interactions)
+    every = (op1_transport_streams, op2_toxicity, op3_ppm, op4_bpe, op5_secrets, op6_quality, op7_word_pieces, op8_mixture, op9_ngram_jaccard, op10_suffix_dedup, op11_packed_ids, op12_prefix_trie, op13_filter_interactions)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    """The mixture and the audit of filters; the others can't be put in SQL as a whole, and tests/llm holds them against brute force."""
+    """The mixture, the trie and the audit of filters; the others can't be put in SQL as a whole, and tests/llm holds them against brute force."""
     levels = {"domain": r"'domain' || (try_cast(regexp_extract(source, '(\d+)$', 1) AS BIGINT) % 4)", "lang": "lang", "source": "source"}
     weights = {"domain": "1", "lang": "CASE WHEN mix_lang = 'en' THEN 3 ELSE 1 END", "source": "1"}
     mixed = mixing.mix_sql(("doc_id", "text", "lang", "source", "n_chars"), levels, weights, share=0.8, epochs=3)
-    return {"op8_mixture": f"{mixed}\nSELECT doc_id, mix_domain AS domain, mix_lang AS lang, mix_source AS source, mix_tokens AS n_tokens, mix_copies AS copies FROM mixed", "op13_filter_interactions": interactions.audit_sql()}
+    return {"op8_mixture": f"{mixed}\nSELECT doc_id, mix_domain AS domain, mix_lang AS lang, mix_source AS source, mix_tokens AS n_tokens, mix_copies AS copies FROM mixed", "op12_prefix_trie": tries.trie_sql(), "op13_filter_interactions": interactions.audit_sql()}
