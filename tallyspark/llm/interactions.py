@@ -112,20 +112,22 @@ def audit(rows: DataFrame, names: list[str]) -> DataFrame:
     rows = kept(rows.select("part", *[F.coalesce(c, F.lit(False)).alias(c) for c in (*[f"fails_{f}" for f in names], "good", "toxic")]))
     edges = kept(walk(rows, names))
     alone = reduce(lambda a, b: a + b, [F.col(f"fails_{f}").cast("int") for f in names]) == 1
-    only = rows.groupBy("part").agg(*[F.count_if(F.col(f"fails_{f}") & alone).alias(f) for f in names])
-    only = only.select("part", F.inline(F.array(*[F.struct(F.lit(f).alias("filter"), F.col(f).alias("unique_fails")) for f in names])))
+    per = rows.groupBy("part").agg(*[F.count_if(F.col(f"fails_{f}")).alias(f"{f}_all") for f in names], *[F.count_if(F.col(f"fails_{f}") & alone).alias(f"{f}_only") for f in names])
+    per = per.select("part", F.inline(F.array(*[F.struct(F.lit(f).alias("filter"), F.col(f"{f}_all").alias("fails"), F.col(f"{f}_only").alias("unique_fails")) for f in names])))
     # how many orders reach an edge: those of the filters before it times those of the filters after it
     n = len(names)
     paths = F.element_at(F.array(*[F.lit(factorial(k) * factorial(n - 1 - k)) for k in range(n)]), F.length("state") + 1)
-    totals = edges.groupBy("part", "filter").agg(F.sum(F.col("removed") * paths).alias("shapley"), F.max(F.when(F.col("state") == "", F.col("removed"))).alias("fails"))
-    facts = edges.join(totals, [edges["part"].eqNullSafe(totals["part"]), edges["filter"] == totals["filter"]]).select(edges["*"], "shapley", "fails")
-    facts = facts.join(only, [facts["part"].eqNullSafe(only["part"]), facts["filter"] == only["filter"]]).select(facts["*"], "unique_fails")
+    totals = edges.groupBy("part", "filter").agg(F.sum(F.col("removed") * paths).alias("shapley"))
+    same = lambda *names: reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names])
+    per = per.alias("l").join(totals.alias("r"), same("part", "filter")).select("l.*", "shapley")
     # n * n! rows: at most 35,280
     trie = F.broadcast(spark.createDataFrame(list(steps(names)), "filter_order string, step int, filter string, state string"))
-    return facts.join(trie, ["state", "filter"]).select(
-        "part", "filter_order", "step",
-        (F.col("before") - F.col("removed")).alias("kept"), "removed", (F.col("fails") - F.col("removed")).alias("redundant"),
-        "unique_fails", "good_lost", "toxic_lost", "shapley",
+    # a part of which a state has nothing left has no counts there
+    had = lambda c: F.coalesce(f"r.{c}", F.lit(0))
+    return per.join(trie, "filter").alias("l").join(edges.alias("r"), same("part", "state", "filter"), "left").select(
+        "l.part", "filter_order", "step",
+        (had("before") - had("removed")).alias("kept"), had("removed").alias("removed"), (F.col("fails") - had("removed")).alias("redundant"),
+        "unique_fails", had("good_lost").alias("good_lost"), had("toxic_lost").alias("toxic_lost"), "shapley",
     )
 
 
