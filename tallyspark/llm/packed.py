@@ -15,11 +15,13 @@ half of one; ``export`` writes them out one by one.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,51 +40,69 @@ FILE_IDS = 1 << 20
 #: Ids in a word and bits of each, by selector. Fixed values of the code; 0 is an escape, 15 isn't used.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0])
 BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
-#: Bytes of words and their ids that a worker remembers, and the longest word (characters) that it does.
-REMEMBER, LONGEST = 8 << 20, 64
-#: Characters that never stand in a token: texts may be cut at them.
+#: The least numbers of more than 0, 1, 2, .. bits.
+LIMITS = np.array([1 << b for b in range(61)], np.uint64)
+#: Words that a worker remembers, and the longest (characters) that it does.
+REMEMBER, LONGEST = 300_000, 64
+#: Blanks never stand in a token, and letters are never in one with the marks that end a word: texts may be cut there.
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ƿ]+)([.,;:!?]*)")
+#: What ``str.split`` takes for blanks and this tokenizer doesn't.
+ODD = "\x1c\x1d\x1e\x1f"
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The word at which each block begins, the words and the escapes of ``ids`` (whole numbers from 0 to 2^64 - 1)."""
-    ids = np.asarray(ids).astype(np.uint64)
-    n = len(ids)
+    n, blocks = len(ids), -(-len(ids) // BLOCK)
     if not n:
         return np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    escaped = ids >> np.uint64(60) > 0
-    escapes = ids[escaped]
-    ids = ids.copy()
-    ids[escaped] = np.arange(len(escapes), dtype=np.uint64)
-    place = np.arange(n)
-    ends = np.minimum((place // BLOCK + 1) * BLOCK, n)
-    selector, taken = np.zeros(n, np.int64), np.ones(n, np.int64)
-    for s in range(14, 0, -1):  # a wider count of narrower ids takes the place of what was found before
-        wide = np.where((ids >> np.uint64(BITS[s]) > 0) | escaped, place, n)
-        room = np.minimum(np.minimum.accumulate(wide[::-1])[::-1], ends) - place  # ids from here that fit
-        fits = (room >= np.minimum(COUNTS[s], ends - place)) & ~escaped
-        selector[fits], taken[fits] = s, np.minimum(COUNTS[s], ends - place)[fits]
-    at = np.arange(0, n, BLOCK)
-    block, starts, of = np.arange(len(at)), [], []
+    escapes = np.zeros(0, np.uint64)
+    if int(ids.max()) >> 60:
+        escaped = np.flatnonzero(ids >> np.uint64(60))
+        escapes, ids = ids[escaped].astype(np.uint64), ids.copy()
+        ids[escaped] = np.arange(len(escapes), dtype=ids.dtype)
+    size = np.searchsorted(LIMITS, ids, "right").astype(np.uint8)
+    if len(escapes):
+        size[escaped] = 255
+    # after each block stand 64 places that any word may take in
+    wide = np.zeros((blocks, BLOCK + 64), np.uint8)
+    wide[:, :BLOCK].reshape(-1)[:n] = 0
+    wide[: n // BLOCK, :BLOCK] = size[: n // BLOCK * BLOCK].reshape(-1, BLOCK)
+    wide[n // BLOCK :, : n % BLOCK] = size[n // BLOCK * BLOCK :]
+    wide = wide.reshape(-1)
+    widest = {1: wide}  # the most bits among the next 1, 2, 4, .. ids
+    for k in (1, 2, 4, 8, 16):
+        widest[2 * k] = np.maximum(widest[k], np.append(widest[k][k:], np.zeros(k, np.uint8)))
+    selector = np.zeros(len(wide), np.uint8)
+    for s in range(14, 0, -1):  # more ids of fewer bits take the place of what was found before
+        count, half = int(COUNTS[s]), 1 << (int(COUNTS[s]).bit_length() - 1)
+        most = widest[half]
+        if count > half:
+            most = np.maximum(most, np.append(most[count - half :], np.zeros(count - half, np.uint8)))
+        selector[most <= BITS[s]] = s
+    row = np.arange(blocks) * (BLOCK + 64)
+    end = row + np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
+    at, block, starts, of = row, np.arange(blocks), [], []
     while len(at):  # a word of every block a step
         starts.append(at)
         of.append(block)
-        at = at + taken[at]
-        going = at < ends[at - 1]
+        at = at + COUNTS[selector[at]]
+        going = at < end[block]
         at, block = at[going], block[going]
-    start, of_block = np.concatenate(starts), np.concatenate(of)
+    start, of = np.concatenate(starts), np.bincount(np.concatenate(of))
     start.sort()
-    begins = np.cumsum(np.bincount(of_block)) - np.bincount(of_block)
     chosen = selector[start]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.append(ids, np.zeros(60, np.uint64))
+    padded = np.zeros((blocks, BLOCK + 64), np.uint64)
+    padded[: n // BLOCK, :BLOCK] = ids[: n // BLOCK * BLOCK].reshape(-1, BLOCK)
+    padded[n // BLOCK :, : n % BLOCK] = ids[n // BLOCK * BLOCK :]
+    padded = padded.reshape(-1)
     for s in np.unique(chosen):
         mine = np.flatnonzero(chosen == s)
-        have = taken[start[mine]]
-        part = padded[start[mine, None] + np.arange(COUNTS[s])]
-        part[np.arange(COUNTS[s]) >= have[:, None]] = 0
-        words[mine] |= np.bitwise_or.reduce(part << (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64), axis=1)
-    return begins.astype(np.uint32), words, escapes
+        from_ = start[mine]
+        for k in range(COUNTS[s]):
+            words[mine] |= padded[from_ + k] << np.uint64(k * BITS[s])
+    return (np.cumsum(of) - of).astype(np.uint32), words, escapes
 
 
 def unpack(n: int, begins: np.ndarray, words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
@@ -156,25 +176,56 @@ class Coder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
-        self.held = 0
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        if not suffix:
+            raise ValueError("a tokenizer whose words have no ends of their own")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+
+    def one_by_one(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of each text, as 32-bit numbers."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(parts), 5000):
+            some = parts[at : at + 5000]
+            out.update(zip(some, (np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        return out
+
+    def in_rows(self, stems: list[str]) -> dict[str, bytes]:
+        """The same of words of letters, many in a row: such a word ends with the one token of it that ends a word."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(stems), 50_000):
+            some = stems[at : at + 50_000]
+            rows = [" ".join(some[i : i + 500]) for i in range(0, len(some), 500)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)])
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) != len(some):  # some word isn't one piece
+                out.update(self.one_by_one(some))
+                continue
+            raw, ends = ids.tobytes(), ends.tolist()
+            out.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Ids of new words. Capitals make no difference to this tokenizer, so words are sent to it once in small letters, without the marks after them."""
+        forms = {w: (m[1].lower(), m[2]) if (m := MARKED.fullmatch(w)) else (w,) for w in words}
+        stems = {f[0] for f in forms.values() if len(f) == 2}
+        rest = set(chain.from_iterable(forms.values())) - stems
+        found = (self.in_rows(list(stems)) if stems else {}) | self.one_by_one(list(rest))
+        found[""] = b""
+        self.known.update((w, b"".join(map(found.__getitem__, f))) for w, f in forms.items())
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with ``end`` after it, and how many each has."""
-        words = [WORDS.findall(t) for t in texts]
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            known.update(zip(part, (np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        words = [WORDS.findall(t) if any(c in t for c in ODD) else t.split() for t in texts]
+        if len(self.known) > REMEMBER:
+            self.known = {}
+        new = set(chain.from_iterable(words)).difference(self.known)
+        self.learn(new)
         last = np.array([end], np.uint32).tobytes()
-        out = [b"".join([*map(known.__getitem__, ws), last]) for ws in words]
+        out = [b"".join([*map(self.known.__getitem__, ws), last]) for ws in words]
         for w in new:
             if len(w) > LONGEST:
-                del known[w]
-            else:
-                self.held += len(w) + len(known[w])
-        if self.held > REMEMBER:
-            self.known, self.held = {}, 0
+                del self.known[w]
         return np.frombuffer(b"".join(out), np.uint32), np.array([len(b) // 4 for b in out], np.int64)
 
 
@@ -188,7 +239,7 @@ def coder(path: str) -> Coder:
 
 
 def write(docs: DataFrame, path: str, end: int = 1, text: str = "text") -> DataFrame:
-    """The files of the documents in ascending order of doc_id (null first): shard, file (its number in the shard) and content.
+    """The files of the documents in ascending order of doc_id (null first): shard, file (its number in the shard), n (its ids) and content.
 
     Each document's ids end with ``end``; null and empty texts have that one only. Rows that share an id stand in
     the order of their texts' hashes; equal rows repeat. Documents are dealt to as many shards as the session has shuffle
@@ -209,9 +260,10 @@ def write(docs: DataFrame, path: str, end: int = 1, text: str = "text") -> DataF
         def written() -> pa.RecordBatch:
             nonlocal before, file, held
             out = image(np.concatenate(ids), np.concatenate(lengths), names, shard, before)
+            row = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "file": pa.array([file], pa.int64()), "n": pa.array([held], pa.int64()), "content": pa.array([out], pa.binary())})
             before, file, held = before + held, file + 1, 0
             ids.clear(), lengths.clear(), names.clear()
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "file": pa.array([file - 1], pa.int64()), "content": pa.array([out], pa.binary())})
+            return row
 
         for piece in flat.pieces(batches, "__text"):
             got, sizes = c.encode(piece.column("__text").to_pylist(), end)
@@ -224,7 +276,7 @@ def write(docs: DataFrame, path: str, end: int = 1, text: str = "text") -> DataF
         if names:
             yield written()
 
-    return kept(rows.mapInArrow(run, "shard long, file long, content binary"))
+    return kept(rows.mapInArrow(run, "shard long, file long, n long, content binary"))
 
 
 def read_back(files: DataFrame, kind: str = "long") -> DataFrame:
@@ -251,7 +303,8 @@ def read_back(files: DataFrame, kind: str = "long") -> DataFrame:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([h[8] for h in heads], pa.int64()), "n": pa.array([h[2] for h in heads], pa.int64())})
 
     # a number for each shard, summed on the driver: shards are tasks
-    sums = sorted(files.select("content").mapInArrow(totals, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect())
+    listed = files.select("shard", "n") if {"shard", "n"} <= set(files.columns) else files.select("content").mapInArrow(totals, "shard long, n long")
+    sums = sorted(listed.groupBy("shard").agg(F.sum("n").alias("n")).collect())
     starts, upto = [], 0
     for shard, n in sums:
         starts.append((shard, upto))

@@ -58,7 +58,7 @@ def test_broken_files_are_refused():
 
 def odd_texts():
     rng = random.Random(9)
-    words = ["it's", "don't", "É", "éx", "<|endoftext|>", "a<|startoftext|>b", "日本語", "🎉", "Straße", "ΣΑΣ", "x" * 300, "12345", "--!", "́", " q", "Hello"]
+    words = ["it's", "don't", "É", "éx", "<|endoftext|>", "a<|startoftext|>b", "日本語", "🎉", "Straße", "ΣΑΣ", "İstanbul", "ſo.", "ʼNa!?", "x" * 300, "12345", "--!", "́", " q", "Hello"]
     return [None, "", " \t\n", *words, *["".join(rng.choice(words) + rng.choice([" ", "\n", "  ", "\t", " ", "\x1c", "\u0085", ""]) for _ in range(rng.randint(1, 400))) for _ in range(30)], "long words " * 30_000, "same", "same"]
 
 
