@@ -14,6 +14,12 @@ groups whose members are not yet in one component, all pairs across components a
 those whose sizes or parity bits show that they can't link. So all pairs of a group are never built
 for copies of one another, and every link counts in the end.
 
+Groups of many texts without links come from shingles that many texts share and that the list of
+frequent ones had no room for. Above ``DIRECT`` pairs a group isn't joined: its members get an index of their own,
+in which shingles are ordered by their exact number among all such members, and which is cut into bands of like set sizes, since sets of
+about one size need a larger overlap and so a shorter prefix. What all members of a group share
+comes last in that order, so texts meet again only by what is rare among them.
+
 Frequent shingles are broadcast, ``FREQUENT`` at most: the least count that keeps within that bound
 decides what is frequent, which changes the work but never the result.
 
@@ -26,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, LongType
 
@@ -39,6 +45,10 @@ FREQUENT, LEAST, DENSE = 1_000_000, 16, 16
 ROWS = 2000
 #: Ids up to this many are broadcast to pick texts for checks; beyond, they are joined by shuffle.
 IDS = 1_000_000
+#: Pairs of a group up to which its members are compared as they are.
+DIRECT = 1 << 20
+#: Set sizes of a band are within this factor.
+BAND = 1.1
 #: 64-bit words of parity bits of a set.
 WORDS = 8
 _MASK = np.uint64((1 << 48) - 1)
@@ -285,17 +295,22 @@ def linked(pairs: DataFrame, docs: DataFrame, text: str, size: int, numerator: i
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         found_a, found_b = [], []
         if left.num_rows and right.num_rows:
-            held: dict[int, np.ndarray] = {}
+            held: dict[int, list[np.ndarray]] = {}
             for piece in cut(iter(right.to_batches())):
                 keys, _, off = sets(piece.column("__text"), size)
                 for i, d in enumerate(piece.column("doc_id").to_pylist()):
-                    held.setdefault(d, keys[off[i] : off[i + 1]])
-            for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
-                x, y = held.get(a), held.get(b)
-                if x is None or y is None or denominator * min(len(x), len(y)) < numerator * max(len(x), len(y)):
-                    continue
+                    one, have = keys[off[i] : off[i + 1]], held.setdefault(d, [])
+                    if not any(np.array_equal(one, x) for x in have):  # an id may have several texts
+                        have.append(one)
+
+            def link(x: np.ndarray, y: np.ndarray) -> bool:
+                if denominator * min(len(x), len(y)) < numerator * max(len(x), len(y)):
+                    return False
                 common = int(np.isin(x, y, assume_unique=True).sum())
-                if denominator * common >= numerator * (len(x) + len(y) - common):
+                return denominator * common >= numerator * (len(x) + len(y) - common)
+
+            for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
+                if any(link(x, y) for x in held.get(a, ()) for y in held.get(b, ())):
                     found_a.append(a)
                     found_b.append(b)
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
@@ -303,6 +318,47 @@ def linked(pairs: DataFrame, docs: DataFrame, text: str, size: int, numerator: i
     return dealt.groupBy("part").cogroup(texts.groupBy("to")).applyInArrow(check, "a long, b long")
 
 
+def parted(member: DataFrame) -> DataFrame:
+    """Of groups whose members (g, v, n, c) aren't in one component c: g, main (the component of most of them) and pairs (how many have a member outside it, at most)."""
+    per = member.groupBy("g", "c").agg(F.count("*").alias("k"))
+    per = per.groupBy("g").agg(F.max(F.struct("k", "c")).alias("x"), F.count("*").alias("kinds"), F.sum("k").alias("k")).where("kinds > 1")
+    return per.select("g", F.col("x.c").alias("main"), ((F.col("k") - F.col("x.k")) * F.col("k")).alias("pairs"))
+
+
+def regrouped(member: DataFrame, docs: DataFrame, text: str, size: int, numerator: int, denominator: int) -> DataFrame:
+    """Groups (g, v, n, c) of the texts v, in which any two of them that link meet, from prefixes in the order of the texts' own shingle counts.
+
+    A shingle that one text alone has is never shuffled back; texts with enough of those for a whole prefix
+    meet nobody. Of a set of n shingles and another of m at least, both prefixes of n (m) - need + 1 shingles share one if
+    the sets have need in common: prefixes are cut for each band of the partner's size.
+    """
+    texts = kept(member.select("v", "c").distinct())
+    some = F.broadcast(texts.select("v")) if texts.count() <= IDS else texts.select("v")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in cut(batches):
+            keys, of, off = sets(piece.column("__text"), size)
+            total = np.concatenate([[np.uint64(0)], np.cumsum(flat.mix(keys), dtype=np.uint64)])
+            whole, n = (total[off[1:]] - total[off[:-1]]).astype(np.int64), np.diff(off)
+            for at in range(0, len(keys), 100_000):
+                one = of[at : at + 100_000]
+                yield flat.table({"v": piece.column("v").to_numpy()[one], "s": whole[one], "n": n[one].astype(np.int64), "key": keys[at : at + 100_000].astype(np.int64)})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("v"), F.col(text).alias("__text")).join(some, "v")
+    keys = kept(rows.mapInArrow(split, "v long, s long, n long, key long").distinct())
+    often = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    one_set = Window.partitionBy("v", "s", "n")
+    ranked = keys.join(often, "key").withColumn("at", F.col("n") - F.count("*").over(one_set) + F.row_number().over(one_set.orderBy("k", "key")))
+    band = lambda m: F.floor(F.log(m) / F.log(F.lit(BAND)))
+    n = F.col("n")
+    least, most = F.greatest(F.ceil(n * numerator / denominator), F.lit(1)), F.floor(n * denominator / numerator)
+    met = ranked.where(F.col("at") <= n - least + 1).withColumn("own", band(n)).withColumn("other", F.explode(F.sequence(band(least), band(most))))
+    smallest = F.greatest(least, F.floor(F.pow(F.lit(BAND), "other") * (1 - 1e-9)))
+    need = F.ceil((n + smallest) * numerator / (numerator + denominator) - 1e-9)
+    met = met.where(F.col("at") <= n - need + 1)
+    return met.select(F.xxhash64(F.least("own", "other"), F.greatest("own", "other"), "key").alias("g"), "v", "n").distinct().join(texts, "v")
+
+
 def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of ``docs``.
 
@@ -349,17 +405,21 @@ def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, numerator: in
     member = met.where("kind = 'group'").select(F.col("a").alias("g"), "b").distinct()
     member = folded(member, "b").select("g", F.col("b_rep").alias("v"), F.col("b_n").alias("n")).distinct()
     member = kept(member.join(label.withColumnRenamed("node", "v"), "v", "left").select("g", "v", "n", F.coalesce("component", "v").alias("c")))
-    per = member.groupBy("g", "c").agg(F.count("*").alias("k"))
-    main = per.groupBy("g").agg(F.max(F.struct("k", "c")).getField("c").alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("g", "main")
-    bits_of = first.select(F.col("rep").alias("v"), *[f"w{i}" for i in range(WORDS)])
-    left = kept(member.join(main, "g").join(bits_of, "v"))
+    main = kept(parted(member))
+    left = member.join(main.where(F.col("pairs") <= DIRECT).select("g", "main"), "g")
+    large = main.where(F.col("pairs") > DIRECT).select("g")
+    if not large.isEmpty():
+        again = kept(regrouped(member.join(large, "g"), docs, text, size, numerator, denominator))
+        left = left.unionByName(again.join(parted(again).select("g", "main"), "g").select(*left.columns))
+    bits_of = first.groupBy("rep").agg(*[F.min(f"w{i}").alias(f"w{i}") for i in range(WORDS)], F.count("*").alias("k")).select(F.col("rep").alias("v"), "k", *[f"w{i}" for i in range(WORDS)])
+    left = kept(left.join(bits_of, "v"))
 
     def side(x: str) -> DataFrame:
         return left.select("g", *[F.col(c).alias(f"{x}_{c}") for c in left.columns if c != "g"])
 
     # every pair across components has a member outside the group's largest one; links leave few parity bits apart
     apart = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(WORDS)), F.lit(0))
-    few = apart * (numerator + denominator) <= (F.col("a_n") + F.col("b_n")) * (denominator - numerator)
+    few = (apart * (numerator + denominator) <= (F.col("a_n") + F.col("b_n")) * (denominator - numerator)) | (F.col("a_k") > 1) | (F.col("b_k") > 1)
     cross = (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("b_main")) | (F.col("a_v") < F.col("b_v")))
     met_again = side("a").where("a_c <> a_main").join(side("b"), "g").where(cross & near & few)
     across = met_again.select(F.least("a_v", "b_v").alias("a"), F.greatest("a_v", "b_v").alias("b")).distinct().join(best, ["a", "b"], "left_anti")

@@ -316,3 +316,44 @@ def test_mixture(spark, empty):
     again = mixing.mix(frame.repartition(7), levels, weights, budget=30_000, epochs=2).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
     assert mixing.mix(empty.drop("__x").withColumn("lang", F.lit("a")).withColumn("source", F.lit("b")), levels, weights).count() == 0
+
+
+def linked_components(rows):
+    """Components of (id, text) by brute force over all pairs."""
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set()) for i, t in rows]
+    up = {i: i for i, _ in rows}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if a and b and 100 * len(a & b) >= 75 * len(a | b):
+            x, y = sorted((find(i), find(j)))
+            up[y] = x
+    return {i: find(i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("often", [True, False])
+def test_jaccard_regroups_large_groups(spark, monkeypatch, often):
+    """Texts that share a passage and mostly don't link, near copies of some of them, sizes that differ: the same components by groups of their own."""
+    monkeypatch.setattr(jaccard, "DIRECT", 0)
+    if not often:
+        monkeypatch.setattr(jaccard, "frequent", lambda *a, **k: (np.zeros(0, np.uint64), np.zeros(0, np.uint8)))
+    rng = random.Random(11)
+    shared = [f"s{i}" for i in range(20)]
+    base = [shared[: rng.randint(8, 20)] + [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(5, 60))] for _ in range(60)]
+    near = [w[: rng.randint(int(len(w) * 0.7), len(w))] + [f"n{rng.randint(0, 9)}" for _ in range(rng.randint(0, 8))] for w in base for _ in range(2)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base + near)] + [(500, ""), (501, None)]
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = linked_components(rows)
+    assert got == want and 60 < len(set(want.values())) < 180
+
+
+def test_jaccard_ids_with_several_texts_in_one_group(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "DIRECT", 0)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " x"), (3, a + " y"), (4, c), (5, c + " z")]
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
