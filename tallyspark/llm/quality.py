@@ -187,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
             cut = np.searchsorted(x["line_doc"], np.arange(piece.num_rows + 1))
             yield flat.table({"doc_id": piece.column("doc_id"), "quality": piece.column("quality"), "bins": pa.array([x["bins"][a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())})
 
-    rows = labelled(docs, labels, "quality", sample, text=text).mapInArrow(lines, "doc_id long, quality int, bins binary").toArrow().sort_by("doc_id")
+    chosen = labelled(docs, labels, "quality", sample, text=text)
+    rows = chosen.mapInArrow(lines, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, quality int, bins binary").toArrow().sort_by("doc_id")
     good = rows.column("quality").to_numpy()
     each = [np.frombuffer(b, np.uint8).reshape(-1, len(GROUPS)) for b in rows.column("bins").to_pylist()]
     if not each or len(set(good.tolist())) < 2:

@@ -236,10 +236,11 @@ def trie(seqs: DataFrame, convs: DataFrame, local: int = LOCAL) -> DataFrame:
     nodes; one without turns ends at the root. Without conversations there is no root and no row.
     """
     seqs, convs = kept(seqs), kept(convs)
-    whole = convs.agg(F.min("conv_id").alias("node"), F.count("*").alias("n_convs")).where("n_convs > 0")
-    none = F.lit(None).cast("long")
-    stems = kept(whole.select("node", F.lit(0).cast("long").alias("depth"), none.alias("parent"), "n_convs", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("bottom")))
-    at = convs.crossJoin(F.broadcast(stems.select("node", F.col("bottom").alias("depth"), "n_convs")))  # one row
+    whole = convs.agg(F.min("conv_id").alias("node"), F.count("*").alias("n")).first()
+    number = lambda x: F.lit(x).cast("long")
+    none = number(None)
+    stems = convs.sparkSession.createDataFrame([(whole.node, 0, None, whole.n, 0, 0)] if whole.n else [], "node long, depth long, parent long, n_convs long, size long, bottom long")
+    at = convs.select("conv_id", "len", number(whole.node).alias("node"), number(0).alias("depth"), number(whole.n).alias("n_convs"))
     rounds: list[tuple[DataFrame, DataFrame]] = []
     parts: list[DataFrame] = []
     ended: list[DataFrame] = []

@@ -14,11 +14,11 @@ from tallyspark.llm import jaccard, pieces, quality, queries, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 #: Names that the operators' own columns have.
-CLASH = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, n_words int, n_auto string, component_id long, mix_tokens double, __row string, `a.b c` string"
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, n_words int, n_auto string, component_id long, mix_tokens double, __row string, `a.b c` string, `__` string, ___ int"
 
 
 def row(i, text, lang="en", source="s1", n=None):
-    return (i, text, lang, source, n if n is not None else len(text or ""), True, 1, "x", 5, 0.5, None, "odd")
+    return (i, text, lang, source, n if n is not None else len(text or ""), True, 1, "x", 5, 0.5, None, "odd", "under", 3)
 
 
 def sentences(seed, n):
@@ -115,6 +115,13 @@ def test_ids_of_other_types(spark, docs):
         assert {int(r.doc_id): (r.n_shingles, int(r.component_id)) for r in got.collect()} == want
 
 
+def test_quality_stage_takes_text_ids(spark, docs, tmp_path):
+    spark.createDataFrame([("x1", 1, 0), ("x4", 0, 0), ("77", 1, 0)], "doc_id string, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    named = docs.withColumn("doc_id", F.concat(F.lit("x"), F.col("doc_id")))
+    got = P.quality(spark, named, str(tmp_path))
+    assert got.columns == named.columns and {r.doc_id for r in got.collect()} <= {r.doc_id for r in named.collect()}
+
+
 def test_piece_counts(spark, docs):
     """Every word's greedy pieces, cut one by one from a set of all pieces."""
     path = queries.tokenizer("byte_bpe_50k.tiktoken")
