@@ -28,7 +28,8 @@ def _quoted(docs: DataFrame) -> list[Column]:
 
 def _packed(docs: DataFrame, *apart: str) -> DataFrame:
     """``apart`` as columns of their own, all others in one struct, so that no name clashes with what an operator adds."""
-    return docs.select(*apart, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in apart], F.lit(0).alias("__")).alias("__row"))
+    never = "_" * (1 + max([0, *map(len, docs.columns)]))  # a struct needs a field; this one has a name that no column has
+    return docs.select(*apart, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in apart], F.lit(0).alias(never)).alias("__row"))
 
 
 def _unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
