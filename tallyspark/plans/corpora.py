@@ -154,8 +154,8 @@ def met06_hit_rates(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("k").agg(F.count("*").alias("n_queries"), r6(F.avg((F.col("first") <= F.col("k")).cast("int"))).alias("hit_rate"))
 
 
-@query("WITH {vectors}, {sims}, r AS (SELECT qid, rn, row_number() OVER (PARTITION BY qid ORDER BY rn) AS hits FROM placed WHERE rel = 1 AND rn <= 100), a AS (SELECT qid, sum(hits / rn::DOUBLE) / count(*) AS ap FROM r GROUP BY 1) SELECT count(*) AS n_queries, round(avg(ap), 6) AS map FROM a")
-def met08_cut_precision(spark: SparkSession, d: str, cut: int = 100) -> DataFrame:
+@query("WITH {vectors}, {sims}, r AS (SELECT qid, rn, row_number() OVER (PARTITION BY qid ORDER BY rn) AS hits FROM placed WHERE rel = 1 AND rn <= 1000), a AS (SELECT qid, sum(hits / rn::DOUBLE) / count(*) AS ap FROM r GROUP BY 1) SELECT count(*) AS n_queries, round(avg(ap), 6) AS map FROM a")
+def met08_cut_precision(spark: SparkSession, d: str, cut: int = 1000) -> DataFrame:
     """Mean average precision over the first ``cut`` candidates, of the relevant ones among them (MET08)."""
     r = retrieval.relevant_ranks(vectors(spark, d)).where(F.col("rn") <= cut).withColumn("hits", F.row_number().over(Window.partitionBy("qid").orderBy("rn")))
     return r.groupBy("qid").agg((F.sum(F.col("hits") / F.col("rn")) / F.count("*")).alias("ap")).agg(F.count("*").alias("n_queries"), r6(F.avg("ap")).alias("map"))

@@ -232,11 +232,11 @@ def src14_declared_metric(spark: SparkSession, d: str) -> DataFrame:
     return last.select("model", "task", "declared", main.alias("main_score"), F.array_join(F.sort_array(F.map_keys(F.map_filter("e", lambda k, v: v == main))), "|").alias("equal_keys"))
 
 
-@query("""WITH k AS (SELECT user_id AS model, event_type AS task, arg_max(value, event_id) AS s FROM events WHERE user_id < 40 GROUP BY 1, 2), n AS (SELECT count(DISTINCT model)::DOUBLE AS n FROM k),
+@query("""WITH k AS (SELECT user_id AS model, event_type AS task, arg_max(value, event_id) AS s FROM events GROUP BY 1, 2), n AS (SELECT count(DISTINCT model)::DOUBLE AS n FROM k),
 r AS (SELECT model, task, s, rank() OVER (PARTITION BY task ORDER BY s DESC) + (count(*) OVER (PARTITION BY task, s) - 1) / 2.0::DOUBLE AS r FROM k) SELECT model, count(*) AS n_tasks, sum(n - r) AS points, rank() OVER (ORDER BY sum(n - r) DESC)::BIGINT AS rank, round(sum(round(s * 100)::BIGINT) / count(*)::DOUBLE, 9) AS mean_score FROM r, n GROUP BY 1""")
 def qry26_rebuilt(spark: SparkSession, d: str) -> DataFrame:
     """A leaderboard rebuilt from raw results: the last result of each cell, then points and means (QRY26)."""
-    k = table(spark, d, "events").where("user_id < 40").groupBy(F.col("user_id").alias("model"), F.col("event_type").alias("task")).agg(F.max_by("value", "event_id").alias("score"))
+    k = table(spark, d, "events").groupBy(F.col("user_id").alias("model"), F.col("event_type").alias("task")).agg(F.max_by("value", "event_id").alias("score"))
     means = k.groupBy("model").agg(F.count("*").alias("n_tasks"), F.round(F.sum(F.round(F.col("score") * 100).cast("long")) / F.count("*").cast("double"), 9).alias("mean_score"))
     return ranking.borda(k).join(means, "model").select("model", "n_tasks", "points", "rank", "mean_score")
 
