@@ -42,11 +42,12 @@ COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0])
 BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 #: The least numbers of more than 0, 1, 2, .. bits.
 LIMITS = np.array([1 << b for b in range(61)], np.uint64)
-#: Words that a worker remembers, and the longest (characters) that it does.
-REMEMBER, LONGEST = 300_000, 64
+#: Words after which a worker forgets those it had not met since the last time; the longest (characters) that it remembers.
+REMEMBER, LONGEST = 200_000, 64
 #: Blanks never stand in a token, and letters are never in one with the marks that end a word: texts may be cut there.
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ƿ]+)([.,;:!?]*)")
+MARKS = ".,;:!?"
+MARKED = re.compile(rf"[A-Za-zÀ-ÖØ-öø-įı-ƿ]+[{MARKS}]*")
 #: What ``str.split`` takes for blanks and this tokenizer doesn't.
 ODD = "\x1c\x1d\x1e\x1f"
 
@@ -176,6 +177,7 @@ class Coder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         if not suffix:
             raise ValueError("a tokenizer whose words have no ends of their own")
@@ -190,37 +192,35 @@ class Coder:
             out.update(zip(some, (np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
         return out
 
-    def in_rows(self, stems: list[str]) -> dict[str, bytes]:
-        """The same of words of letters, many in a row: such a word ends with the one token of it that ends a word."""
-        out: dict[str, bytes] = {}
-        for at in range(0, len(stems), 50_000):
-            some = stems[at : at + 50_000]
+    def in_rows(self, words: list[str]) -> None:
+        """Learns words of letters and the marks after them, many in a row: letters are one piece, marks another, and a piece ends with the one token of it that ends a word."""
+        for at in range(0, len(words), 50_000):
+            some = words[at : at + 50_000]
             rows = [" ".join(some[i : i + 500]) for i in range(0, len(some), 500)]
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)])
+            pieces = np.cumsum([2 if w[-1] in MARKS else 1 for w in some])
             ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(ends) != len(some):  # some word isn't one piece
-                out.update(self.one_by_one(some))
+            if len(ends) != pieces[-1]:  # some word has more
+                self.known.update(self.one_by_one(some))
                 continue
-            raw, ends = ids.tobytes(), ends.tolist()
-            out.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        return out
+            raw, ends = ids.tobytes(), ends[pieces - 1].tolist()
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def learn(self, words: set[str]) -> None:
-        """Ids of new words. Capitals make no difference to this tokenizer, so words are sent to it once in small letters, without the marks after them."""
-        forms = {w: (m[1].lower(), m[2]) if (m := MARKED.fullmatch(w)) else (w,) for w in words}
-        stems = {f[0] for f in forms.values() if len(f) == 2}
-        rest = set(chain.from_iterable(forms.values())) - stems
-        found = (self.in_rows(list(stems)) if stems else {}) | self.one_by_one(list(rest))
-        found[""] = b""
-        self.known.update((w, b"".join(map(found.__getitem__, f))) for w, f in forms.items())
+        plain = [w for w in words if MARKED.fullmatch(w)]
+        self.in_rows(plain)
+        if len(plain) < len(words):
+            self.known.update(self.one_by_one(list(words.difference(plain))))
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with ``end`` after it, and how many each has."""
         words = [WORDS.findall(t) if any(c in t for c in ODD) else t.split() for t in texts]
         if len(self.known) > REMEMBER:
-            self.known = {}
+            self.known, self.old = {}, self.known
         new = set(chain.from_iterable(words)).difference(self.known)
-        self.learn(new)
+        again = new.intersection(self.old)
+        self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        self.learn(new.difference(again))
         last = np.array([end], np.uint32).tobytes()
         out = [b"".join([*map(self.known.__getitem__, ws), last]) for ws in words]
         for w in new:
