@@ -49,6 +49,16 @@ def shots(rows: DataFrame, label: str, ident: str, seed: int, n: int = 8) -> Dat
     return rows.withColumn("__r", place).withColumn("test", F.col("__r") > n).drop("__r")
 
 
+def splits(rows: DataFrame, label: str, ident: str, seeds: Sequence[int], share: float = 0.3, within: Sequence[str] = ()) -> DataFrame:
+    """Adds train_<seed> and test_<seed>: ``halves`` by each of ``seeds`` at once, inside each group of ``within``; rows of labels of one row are in neither."""
+    w = Window.partitionBy(*within, label)
+    rows = rows.withColumn("__n", F.count(F.lit(1)).over(w))
+    for s in seeds:
+        first = F.row_number().over(w.orderBy(keyed(s, "probe", ident), ident)) <= F.greatest(F.lit(1), F.bround(F.col("__n") * share))
+        rows = rows.withColumn(f"test_{s}", first & (F.col("__n") > 1)).withColumn(f"train_{s}", ~first & (F.col("__n") > 1))
+    return rows.drop("__n")
+
+
 def fit(rows: DataFrame, label: str, l2: float = 1.0, steps: int = 200) -> tuple[LogisticRegressionModel, DataFrame]:
     """A multinomial logistic model of the rows that aren't ``test``, and all rows with probability and prediction.
 

@@ -1,15 +1,13 @@
-"""Tests and resampling of correlations, corrected scores, reranking sets, linkage, clusterings and probes."""
+"""Tests and resampling of correlations, corrected scores, reranking sets and linkage."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keyed import keyed, keyed_sql
-from ..operators import linkage, probes, ranking, stats
-from .base import manifest, query, r6, scores, vectors
+from ..operators import linkage, ranking, stats
+from .base import manifest, query, r6, scores
 from .leaderboards import PAIRS, _pair_rho
 
 SEED = 13
@@ -143,40 +141,3 @@ def qry09_reduced_groups(spark: SparkSession, d: str) -> DataFrame:
     """Tasks in 4, 5 and 6 groups by average linkage of 1 - |rho|."""
     pairs = _pair_rho(scores(spark, d)).withColumn("distance", 1 - F.abs("rho"))
     return linkage.linked(pairs, "task_a", "task_b", "distance", (4, 5, 6)).withColumnRenamed("item", "task")
-
-
-@query()
-def clu12_kmeans_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """Clusterings of the vectors into as many clusters as labels, by seed, and their means and deviations."""
-    rows = vectors(spark, d).cache()
-    each = probes.cluster_scores(rows, "label", (0, 1, 2, 3, 4))
-    names = ("v_measure", "ari", "ami", "purity")
-    whole = each.agg(F.count("*").alias("n_seeds"), *[f(n).alias(f"{n}_{s}") for n in names for s, f in (("mean", F.avg), ("sd", F.stddev_pop))])
-    return each.crossJoin(F.broadcast(whole)).select("seed", "n_clusters", "n_seeds", *[r6(c).alias(c) for n in names for c in (n, f"{n}_mean", f"{n}_sd")])
-
-
-def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    return v.join(F.broadcast(v.select("label").distinct().withColumn("y", (F.row_number().over(Window.orderBy("label")) - 1).cast("double"))), "label")
-
-
-@query()
-def prb03_probe(spark: SparkSession, d: str) -> DataFrame:
-    """Linear probe over three stratified splits, with two caps on steps (PRB02-06)."""
-    rows = _labelled(spark, d)
-    out = [probes.probe_scores(probes.halves(rows, "y", "id", s).cache(), "y", steps).withColumn("seed", F.lit(s)) for s in (0, 1, 2) for steps in (200, 2000)]
-    return reduce(DataFrame.unionByName, out)
-
-
-@query()
-def prb01_shots(spark: SparkSession, d: str) -> DataFrame:
-    """Probe on eight rows of each label, ten times."""
-    rows = _labelled(spark, d)
-    return reduce(DataFrame.unionByName, [probes.probe_scores(probes.shots(rows, "y", "id", s).cache(), "y").withColumn("repeat", F.lit(s)) for s in range(10)])
-
-
-@query()
-def prb07_solver_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Two fits of one split, stopped early and late, against each other."""
-    rows = probes.halves(_labelled(spark, d), "y", "id", 0).cache()
-    return probes.solver_agreement(probes.fit(rows, "y", steps=20)[1], probes.fit(rows, "y", steps=200)[1], "id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import keyed, keyed_sql
 from ..operators import ranking, sampling, stats
-from .base import manifest, mean6, mean6_sql, query, r6, scores, sparse, vectors
+from .base import manifest, mean6, mean6_sql, query, r6, scores, vectors
 from .corpora import silhouette
 
 TAU = "round(sum(sx * sy) / sqrt((sum(sx * sx) * sum(sy * sy))::DOUBLE), 6)"
@@ -88,14 +88,6 @@ def sta04_spearman_p(spark: SparkSession, d: str) -> DataFrame:
     return rho.select("task_a", "task_b", "n", "rho", r6(stats.spearman_p(F.col("rho"), F.col("n"))).alias("p"))
 
 
-@query("WITH {scores}, {sparse}, a AS (SELECT model, task, round(score, 2) AS reported FROM sparse) SELECT model, task, score, reported, round(abs(score - reported), 6) AS diff, abs(score - reported) <= 0.005 AS reproduced FROM a JOIN scores USING (model, task)")
-def prb08_reproduced(spark: SparkSession, d: str) -> DataFrame:
-    """Reported scores, to two places and some missing, held against those computed anew, within half of the last place (PRB08)."""
-    reported = sparse(spark, d).select("model", "task", F.round("score", 2).alias("reported"))
-    gap = F.abs(F.col("score") - F.col("reported"))
-    return scores(spark, d).join(reported, ["model", "task"]).select("model", "task", "score", "reported", r6(gap).alias("diff"), (gap <= 0.005).alias("reproduced"))
-
-
 # pairs, triplets and groups inside a pool
 
 
