@@ -21,10 +21,10 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,13 +43,12 @@ BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 #: The least numbers of more than 0, 1, 2, .. bits.
 LIMITS = np.array([1 << b for b in range(61)], np.uint64)
 #: Words after which a worker forgets those it had not met since the last time; the longest (characters) that it remembers.
-REMEMBER, LONGEST = 200_000, 64
+REMEMBER, LONGEST = 300_000, 64
+#: Bytes of texts that are cut into words at a time.
+PIECE = 4 << 20
 #: Blanks never stand in a token, and letters are never in one with the marks that end a word: texts may be cut there.
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 MARKS = ".,;:!?"
 MARKED = re.compile(rf"[A-Za-zÀ-ÖØ-öø-įı-ƿ]+[{MARKS}]*")
-#: What ``str.split`` takes for blanks and this tokenizer doesn't.
-ODD = "\x1c\x1d\x1e\x1f"
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,27 +205,37 @@ class Coder:
             raw, ends = ids.tobytes(), ends[pieces - 1].tolist()
             self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         plain = [w for w in words if MARKED.fullmatch(w)]
         self.in_rows(plain)
         if len(plain) < len(words):
-            self.known.update(self.one_by_one(list(words.difference(plain))))
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each with ``end`` after it, and how many each has."""
-        words = [WORDS.findall(t) if any(c in t for c in ODD) else t.split() for t in texts]
+            self.known.update(self.one_by_one([w for w in words if not MARKED.fullmatch(w)]))
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with ``end`` after it, and how many each has. Each different word is looked up once."""
+        cut = pc.ascii_split_whitespace(texts)
+        off = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        words = cut.flatten().dictionary_encode()
+        every, index = words.dictionary.to_pylist(), words.indices.to_numpy()
         if len(self.known) > REMEMBER:
             self.known, self.old = {}, self.known
-        new = set(chain.from_iterable(words)).difference(self.known)
-        again = new.intersection(self.old)
-        self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        self.learn(new.difference(again))
-        last = np.array([end], np.uint32).tobytes()
-        out = [b"".join([*map(self.known.__getitem__, ws), last]) for ws in words]
+        known = self.known
+        known[""] = b""  # before and after blanks at a text's ends
+        new = [w for w in every if w not in known]
+        again = [w for w in new if w in self.old]
+        known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        self.learn([w for w in new if w not in self.old])
+        raw = [*map(known.__getitem__, every), np.array([end], np.uint32).tobytes()]
         for w in new:
             if len(w) > LONGEST:
-                del self.known[w]
-        return np.frombuffer(b"".join(out), np.uint32), np.array([len(b) // 4 for b in out], np.int64)
+                del known[w]
+        size = (np.fromiter(map(len, raw), np.int64, len(raw)) // 4).astype(np.int32)
+        ids, start = np.frombuffer(b"".join(raw), np.uint32), np.cumsum(size) - size
+        index = np.insert(index, off[1:], len(every))  # each text's end is a word
+        each = size[index]
+        upto = np.cumsum(each, dtype=np.int64)
+        lengths = np.diff(upto[off[1:] + np.arange(len(off) - 1)], prepend=0)
+        return ids[np.repeat((start[index] - upto + each).astype(np.int32), each) + np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)], lengths
 
 
 _coders: dict[str, Coder] = {}
@@ -265,8 +274,8 @@ def write(docs: DataFrame, path: str, end: int = 1, text: str = "text") -> DataF
             ids.clear(), lengths.clear(), names.clear()
             return row
 
-        for piece in flat.pieces(batches, "__text"):
-            got, sizes = c.encode(piece.column("__text").to_pylist(), end)
+        for piece in flat.pieces(batches, "__text", PIECE):
+            got, sizes = c.encode(piece.column("__text"), end)
             ids.append(got)
             lengths.append(sizes)
             names += piece.column("doc_id").to_pylist()

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tallyspark.llm import interactions, packed, tries
@@ -96,7 +97,7 @@ def test_packed_repeats_null_ids_and_names(spark):
 
 
 def test_several_files_a_shard():
-    ids, sizes = packed.coder(WORD_BPE).encode(["a b c", "", "a b"], 1)
+    ids, sizes = packed.coder(WORD_BPE).encode(pa.array(["a b c", "", "a b"]), 1)
     assert sizes.tolist() == [4, 1, 3] and ids.tolist() == sum(library_ids(["a b c", "", "a b"]), [])
 
 
