@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -43,12 +42,12 @@ BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 #: The least numbers of more than 0, 1, 2, .. bits.
 LIMITS = np.array([1 << b for b in range(61)], np.uint64)
 #: Words after which a worker forgets those it had not met since the last time; the longest (characters) that it remembers.
-REMEMBER, LONGEST = 300_000, 64
+REMEMBER, LONGEST = 600_000, 64
 #: Bytes of texts that are cut into words at a time.
 PIECE = 4 << 20
 #: Blanks never stand in a token, and letters are never in one with the marks that end a word: texts may be cut there.
 MARKS = ".,;:!?"
-MARKED = re.compile(rf"[A-Za-zÀ-ÖØ-öø-įı-ƿ]+[{MARKS}]*")
+MARKED = rf"^[A-Za-zÀ-ÖØ-öø-įı-ƿ]+[{MARKS}]*$"
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,8 +164,17 @@ def opened(data: bytes) -> tuple[np.ndarray, np.ndarray, list[str | None], int,
     return ids, lengths, names, shard, before
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all runs of ``size`` from ``start``, one after another."""
+    upto = np.cumsum(size, dtype=np.int64)
+    return np.repeat(start - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
+
+
 class Coder:
-    """The library's ids of texts, word by word: none of this tokenizer's steps looks past a blank, and words repeat."""
+    """The library's ids of texts, word by word: none of this tokenizer's steps looks past a blank, and words repeat.
+
+    Known words are an Arrow array, beside it where their ids stand in one flat array; a batch's different words are looked up at once.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -175,67 +183,77 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         if not suffix:
             raise ValueError("a tokenizer whose words have no ends of their own")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
-
-    def one_by_one(self, parts: list[str]) -> dict[str, bytes]:
-        """The ids of each text, as 32-bit numbers."""
-        out: dict[str, bytes] = {}
-        for at in range(0, len(parts), 5000):
-            some = parts[at : at + 5000]
-            out.update(zip(some, (np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return out
-
-    def in_rows(self, words: list[str]) -> None:
-        """Learns words of letters and the marks after them, many in a row: letters are one piece, marks another, and a piece ends with the one token of it that ends a word."""
-        for at in range(0, len(words), 50_000):
-            some = words[at : at + 50_000]
-            rows = [" ".join(some[i : i + 500]) for i in range(0, len(some), 500)]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)])
-            pieces = np.cumsum([2 if w[-1] in MARKS else 1 for w in some])
-            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(ends) != pieces[-1]:  # some word has more
-                self.known.update(self.one_by_one(some))
-                continue
-            raw, ends = ids.tobytes(), ends[pieces - 1].tolist()
-            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if MARKED.fullmatch(w)]
-        self.in_rows(plain)
-        if len(plain) < len(words):
-            self.known.update(self.one_by_one([w for w in words if not MARKED.fullmatch(w)]))
+        self.words = pa.array([], pa.string())
+        self.ids, self.start, self.size, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts and how many each has."""
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(found) if found else np.zeros(0, np.uint32), np.array([len(i) for i in found], np.int64)
+
+    def _in_rows(self, words: list[str], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of letters and the marks after them, many in a row: letters are one piece, marks another, and a piece ends with the one token of it that ends a word."""
+        ids, _ = self._library([" ".join(words[i : i + 500]) for i in range(0, len(words), 500)])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != pieces.sum():  # some word has more
+            return self._library(words)
+        return ids, np.diff(ends[np.cumsum(pieces) - 1], prepend=0)
+
+    def learned(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of new words, and where each word's start and how many they are."""
+        plain = pc.match_substring_regex(new, MARKED).to_numpy(zero_copy_only=False)
+        pieces = pc.match_substring_regex(new, f"[{MARKS}]$").to_numpy(zero_copy_only=False) + 1
+        start, size, parts, held = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [np.zeros(0, np.uint32)], 0
+        for mine, step in ((np.flatnonzero(plain), 50_000), (np.flatnonzero(~plain), 5_000)):
+            for i in range(0, len(mine), step):
+                some = mine[i : i + step]
+                words = new.take(pa.array(some)).to_pylist()
+                ids, n = self._in_rows(words, pieces[some]) if plain[some[0]] else self._library(words)
+                start[some], size[some] = held + np.cumsum(n) - n, n
+                parts.append(ids)
+                held += len(ids)
+        return np.concatenate(parts), start, size
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each with ``end`` after it, and how many each has. Each different word is looked up once."""
+        """The ids of all texts, each with ``end`` after it, and how many each has."""
         cut = pc.ascii_split_whitespace(texts)
         off = cut.offsets.to_numpy() - cut.offsets[0].as_py()
         words = cut.flatten().dictionary_encode()
-        every, index = words.dictionary.to_pylist(), words.indices.to_numpy()
-        if len(self.known) > REMEMBER:
-            self.known, self.old = {}, self.known
-        known = self.known
-        known[""] = b""  # before and after blanks at a text's ends
-        new = [w for w in every if w not in known]
-        again = [w for w in new if w in self.old]
-        known.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        self.learn([w for w in new if w not in self.old])
-        raw = [*map(known.__getitem__, every), np.array([end], np.uint32).tobytes()]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
-        size = (np.fromiter(map(len, raw), np.int64, len(raw)) // 4).astype(np.int32)
-        ids, start = np.frombuffer(b"".join(raw), np.uint32), np.cumsum(size) - size
-        index = np.insert(index, off[1:], len(every))  # each text's end is a word
-        each = size[index]
-        upto = np.cumsum(each, dtype=np.int64)
-        lengths = np.diff(upto[off[1:] + np.arange(len(off) - 1)], prepend=0)
-        return ids[np.repeat((start[index] - upto + each).astype(np.int32), each) + np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)], lengths
+        every, index = words.dictionary, words.indices.to_numpy()
+        at = pc.index_in(every, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        old = at >= 0
+        self.used[at[old]] = True
+        new = every.filter(pa.array(~old))
+        ids, start, size = self.learned(new)
+        ids = np.concatenate([self.ids, ids, np.array([end], np.uint32)])
+        starts, sizes = np.append(np.zeros(len(every), np.int64), len(ids) - 1), np.append(np.zeros(len(every), np.int64), 1)  # a text's end stands as a word of its own
+        starts[:-1][old], sizes[:-1][old] = self.start[at[old]], self.size[at[old]]
+        starts[:-1][~old], sizes[:-1][~old] = start + len(self.ids), size
+        self._remember(new, ids, starts[:-1][~old], size)
+        index = np.insert(index, off[1:], len(every))
+        each = sizes[index]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        return ids[_spread(starts[index], each)], np.diff(upto[off[1:] + np.arange(1, len(off))], prepend=0)
+
+    def _remember(self, new: pa.Array, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Adds new words, but for very long ones; when there are too many, those that no batch has had since the last time go."""
+        short = pc.less_equal(pc.utf8_length(new), LONGEST)
+        keep = short.to_numpy(zero_copy_only=False)
+        self.words = pa.concat_arrays([self.words, new.filter(short)])
+        self.ids = np.concatenate([self.ids, ids[_spread(start[keep], size[keep])]])
+        self.size = np.concatenate([self.size, size[keep]])
+        self.used = np.append(self.used, np.zeros(int(keep.sum()), bool))
+        if len(self.words) > REMEMBER:
+            stay = self.used if self.used.sum() <= REMEMBER // 2 else np.zeros(len(self.used), bool)
+            self.words = self.words.filter(pa.array(stay))
+            self.ids = self.ids[_spread((np.cumsum(self.size) - self.size)[stay], self.size[stay])]
+            self.size, self.used = self.size[stay], np.zeros(int(stay.sum()), bool)
+        self.start = np.cumsum(self.size) - self.size
 
 
 _coders: dict[str, Coder] = {}
