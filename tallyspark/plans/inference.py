@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keyed import keyed, keyed_sql
-from ..operators import linkage, ranking, stats
+from ..operators import linkage, ranking, rerank, stats
+from ..session import table
 from .base import manifest, query, r6, scores
 from .leaderboards import PAIRS, _pair_rho
 
@@ -112,28 +113,72 @@ def smp08_rerank_sets(spark: SparkSession, d: str) -> DataFrame:
     return out.select("qid", "n_positive", "n_negative", (F.col("pos_sum") + F.col("neg_sum")).alias("did_sum"))
 
 
-@query(f"""WITH {{manifest}}, held AS (SELECT norm FROM manifest WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT speaker_id) >= 2),
-q AS (SELECT m.* FROM manifest m JOIN held USING (norm) ORDER BY {keyed_sql(SEED, "rerank", "utt_id")}, utt_id LIMIT 2000),
-pos AS (SELECT q.utt_id AS qid, p.utt_id AS did FROM q JOIN manifest p ON q.norm = p.norm AND q.speaker_id <> p.speaker_id),
-hard AS (SELECT q.utt_id AS qid, h.utt_id AS did FROM q JOIN manifest h ON q.speaker_id = h.speaker_id AND q.utt_id <> h.utt_id QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {keyed_sql(SEED, "hard", "q.utt_id", "h.utt_id")}, h.utt_id) <= 100),
-easy AS (SELECT q.utt_id AS qid, e.utt_id AS did FROM q CROSS JOIN manifest e QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {keyed_sql(SEED, "easy", "q.utt_id", "e.utt_id")}, e.utt_id) <= 100),
-c AS (SELECT qid, did, max(rel) AS rel FROM (SELECT qid, did, 1 AS rel FROM pos UNION ALL SELECT qid, did, 0 FROM hard UNION ALL SELECT qid, did, 0 FROM easy WHERE qid <> did) GROUP BY 1, 2)
-SELECT qid, sum(rel)::BIGINT AS n_positive, count(*) - sum(rel)::BIGINT AS n_negative, sum(did)::BIGINT AS did_sum FROM c GROUP BY qid HAVING sum(rel) > 0 AND sum(rel) < count(*)""")
+RERANK = "WITH {manifest}, m AS (SELECT utt_id AS did, speaker_id AS h, CASE WHEN length(norm) > 0 THEN md5(norm) END AS k FROM manifest), "
+
+
+def _told(spark: SparkSession, d: str) -> DataFrame:
+    return manifest(spark, d).select("utt_id", "speaker_id", F.when(F.length("norm") > 0, F.md5("norm")).alias("k"))
+
+
+def rerank_rows(spark: SparkSession, d: str) -> DataFrame:
+    """2,000 queries, each with all rows of its text by others, 100 rows of its speaker and 100 of any."""
+    return rerank.candidates(_told(spark, d), "k", "speaker_id", "utt_id", 2000, 100, 100, SEED, False)
+
+
+def closed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """500 queries, each with all rows of its text by others and 100 other texts of its speaker."""
+    return rerank.candidates(_told(spark, d), "k", "speaker_id", "utt_id", 500, 100, 0, SEED, True)
+
+
+@query(RERANK + rerank.candidates_sql("m", 2000, 100, 100, SEED, False) + " SELECT qid, did, rel FROM cands")
+def smp08_rerank_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate rows of reranking with the reference's sizes (SMP08)."""
+    return rerank_rows(spark, d)
+
+
+@query(RERANK + rerank.candidates_sql("m", 2000, 100, 100, SEED, False) + " SELECT qid, sum(rel)::BIGINT AS n_positive, count(*) - sum(rel)::BIGINT AS n_negative, sum(did)::BIGINT AS did_sum FROM cands GROUP BY qid HAVING sum(rel) > 0")
 def smp08_rerank_sets_default(spark: SparkSession, d: str) -> DataFrame:
-    """With the reference's sizes: 2,000 queries, each with all rows of its text by others, 100 rows of its speaker and 100 of any, drawn for each query."""
-    m = manifest(spark, d).select("utt_id", "speaker_id", F.when(F.length("norm") > 0, F.sha2("norm", 256)).alias("k")).cache()
-    held = m.where("k IS NOT NULL").groupBy("k").agg(F.countDistinct("speaker_id").alias("n")).where("n >= 2").select("k")
-    q = F.broadcast(m.join(held, "k").orderBy(keyed(SEED, "rerank", "utt_id"), "utt_id").limit(2000).select(F.col("utt_id").alias("qid"), F.col("speaker_id").alias("qs"), F.col("k").alias("qk")))
-    rows = m.withColumnRenamed("utt_id", "did")
-    # the 100 least of n hashes lie below this share of them, but for a chance below 1e-60
-    below = min(1.0, 600 / max(1, m.count())) * 2**32
-    pos = q.join(rows, F.col("qk") == F.col("k")).where("qs <> speaker_id").select("qid", "did", F.lit(1).alias("rel"))
-    order = lambda salt: keyed(SEED, salt, "qid", "did")
-    hard = ranking.best_rows(q.join(rows, F.col("qs") == F.col("speaker_id")).where("qid <> did").select("qid", "did"), ["qid"], order("hard"), F.col("did"), k=100)
-    easy = ranking.best_rows(rows.select("did").crossJoin(q.select("qid")).where(order("easy") < below), ["qid"], order("easy"), F.col("did"), k=100).where("qid <> did")
-    c = pos.unionByName(hard.unionByName(easy).select("qid", "did", F.lit(0).alias("rel"))).groupBy("qid", "did").agg(F.max("rel").alias("rel"))
-    out = c.groupBy("qid").agg(F.sum("rel").alias("n_positive"), F.sum(1 - F.col("rel")).alias("n_negative"), F.sum("did").alias("did_sum"))
-    return out.where("n_positive > 0 AND n_negative > 0")
+    """The same by query: how many rows are relevant and how many aren't (SMP08)."""
+    out = rerank_rows(spark, d).groupBy("qid").agg(F.sum("rel").alias("n_positive"), F.sum(1 - F.col("rel")).alias("n_negative"), F.sum("did").alias("did_sum"))
+    return out.where("n_positive > 0")
+
+
+@query(RERANK + rerank.candidates_sql("m", 500, 100, 0, SEED, True) + """, ls AS (SELECT qid AS id, sum(rel) AS n_positive, sum(1 - rel) AS n_negative FROM cands GROUP BY 1), mb AS (SELECT did AS id, count(*) AS n_lists FROM cands GROUP BY 1)
+SELECT id, n_positive IS NOT NULL AS is_query, coalesce(n_positive, 0)::BIGINT AS n_positive, coalesce(n_negative, 0)::BIGINT AS n_negative, coalesce(n_lists, 0)::BIGINT AS n_lists FROM mb FULL JOIN ls USING (id)""")
+def smp07_rerank_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus closed over queries, their positives and capped negatives of their speakers, and who is in whose list (SMP07)."""
+    return rerank.closure(closed_rows(spark, d))
+
+
+@query(RERANK + rerank.candidates_sql("m", 500, 100, 0, SEED, True) + """, co AS (SELECT did AS id FROM cands UNION SELECT qid FROM cands), pl AS (SELECT id, row_number() OVER (ORDER BY """ + keyed_sql(SEED, "corpus", "id") + """, id) - 1 AS place FROM co)
+SELECT qid, place // 32768 + 1 AS bucket, count(*) AS n_members, sum(rel)::BIGINT AS n_relevant, max(place % 32768)::BIGINT AS last FROM cands JOIN pl ON id = did GROUP BY 1, 2""")
+def smp07_rerank_bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    """Each query's list as bits over that corpus: how many are set, how many of relevant rows, and the last (SMP07)."""
+    found = closed_rows(spark, d)
+    bits = rerank.bitmaps(found, rerank.closure(found), SEED)
+    # bytes stand in order, the lowest bit of each first
+    size = F.length(F.rtrim(F.hex("members"), F.lit("0")))
+    last = F.floor((size + 1) / 2) - 1
+    byte = F.conv(F.substring(F.hex("members"), (2 * last + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+    top = F.floor(F.log2(byte.cast("double")))
+    return bits.select("qid", "bucket", F.call_function("bitmap_count", "members").alias("n_members"), F.call_function("bitmap_count", "relevant").alias("n_relevant"), (8 * last + top).cast("long").alias("last"))
+
+
+SECOND = """WITH turns AS (SELECT conv_id * 1000 + coalesce(turn, 0) AS utt_id, conv_id % 97 AS speaker_id, md5(coalesce(text, '')) AS prompt FROM conversations WHERE conv_id IS NOT NULL),
+cl AS (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY """ + keyed_sql(SEED, "second", "utt_id") + """, utt_id) AS r, least(count(*) OVER (PARTITION BY speaker_id), 30) AS n FROM turns),
+split AS (SELECT *, CASE WHEN r <= greatest(1, round_even(n * 0.3::DOUBLE, 0)) THEN 'test' ELSE 'train' END AS part FROM cl WHERE r <= 30 AND n > 1)"""
+
+
+@query(SECOND + ", usable AS (SELECT prompt FROM turns GROUP BY 1 HAVING count(DISTINCT speaker_id) > 1) SELECT 'classification' AS task, part, count(*) AS n, count(DISTINCT speaker_id) AS n_speakers, min(utt_id) AS first FROM split GROUP BY part UNION ALL SELECT 'retrieval', 'test', count(*), count(DISTINCT speaker_id), min(utt_id) FROM turns JOIN usable USING (prompt) HAVING count(*) > 0")
+def smp11_second_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Another corpus (turns of conversations) as tasks: at most 30 rows of each speaker split for classification, and the prompts of several speakers for retrieval (SMP11)."""
+    turns = table(spark, d, "conversations").where("conv_id IS NOT NULL").select((F.col("conv_id") * 1000 + F.coalesce("turn", F.lit(0))).alias("utt_id"), (F.col("conv_id") % 97).alias("speaker_id"), F.md5(F.coalesce("text", F.lit(""))).alias("prompt"))
+    placed = rerank.numbered(turns, keyed(SEED, "second", "utt_id"), "utt_id", "speaker_id").where("place < 30").withColumn("n", F.least("size", F.lit(30))).where("n > 1")
+    split = placed.withColumn("part", F.when(F.col("place") < F.greatest(F.lit(1), F.bround(F.col("n") * 0.3)), "test").otherwise("train"))
+    sums = [F.count("*").alias("n"), F.countDistinct("speaker_id").alias("n_speakers"), F.min("utt_id").alias("first")]
+    one = split.groupBy(F.lit("classification").alias("task"), "part").agg(*sums)
+    usable = turns.groupBy("prompt").agg(F.min("speaker_id").alias("a"), F.max("speaker_id").alias("b")).where("a <> b").select("prompt")
+    return one.unionByName(turns.join(usable, "prompt").groupBy(F.lit("retrieval").alias("task"), F.lit("test").alias("part")).agg(*sums))
 
 
 @query()
