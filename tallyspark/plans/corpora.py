@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from ..functions.keyed import keyed, keyed_sql
 from ..operators import agreement, durations, retrieval, sampling
 from ..session import table

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -13,7 +13,6 @@ from ..operators import ranking, stats
 from ..session import table
 from .base import manifest, mean6, mean6_sql, query, r6, scores, sparse, vectors
 from .inference import mean_rank
-from .layers import LAY, LAYERS, _layers
 from .leaderboards import N_FAMILY_DRAWS, PAIRS, _pair_rho, _task_pairs
 
 #: Resamples of models for each pair of tasks, and for one correlation.
@@ -314,100 +313,7 @@ def met04_random_baseline(spark: SparkSession, d: str) -> DataFrame:
     return row.select("n_queries", r6(F.col("pos") / F.col("cand").cast("double")).alias("random_map"))
 
 
-# controlled matching (QRY30, QRY37, MET10, MET11, BOO04)
-
-N_VECTORS, CLUSTER_DRAWS = 200, 2_000
-TRIPLES = """, tri AS (SELECT l.layer, q.speaker, q.strict, list_inner_product(l.vec, c.vec) AS content_sim, list_inner_product(l.vec, s.vec) AS speaker_sim FROM t q JOIN lay l ON l.id = q.q % 200 JOIN lay c ON c.layer = l.layer AND c.id = q.content % 200 JOIN lay s ON s.layer = l.layer AND s.id = q.other % 200),
-p AS (SELECT layer, speaker, strict, content_sim, speaker_sim, CASE WHEN abs(content_sim - speaker_sim) <= 1e-6 THEN 5 WHEN content_sim > speaker_sim THEN 10 ELSE 0 END AS pref FROM tri)"""
-TRIPLETS = LAY + ", {manifest}, m2 AS (SELECT utt_id, speaker_id, duration, " + keyed_sql(41, "triple", "utt_id") + """ AS h FROM manifest), o AS (SELECT *, lead(utt_id) OVER (PARTITION BY speaker_id ORDER BY h, utt_id) AS other, lead(duration) OVER (PARTITION BY speaker_id ORDER BY h, utt_id) AS od FROM m2),
-t AS (SELECT utt_id AS q, speaker_id AS speaker, other, h % 100003 AS content, greatest(duration, od)::DOUBLE / greatest(least(duration, od), 1) <= 1.25 AS strict FROM o WHERE other IS NOT NULL)"""
-
-
-def triples(spark: SparkSession, d: str) -> DataFrame:
-    """q, speaker, other (another row of the speaker), content (a drawn row) and strict (near in duration): one triple a row, by neighbours in a keyed order."""
-    m = manifest(spark, d).select("utt_id", "speaker_id", "duration", keyed(41, "triple", "utt_id").alias("h"))
-    w = Window.partitionBy("speaker_id").orderBy("h", "utt_id")
-    o = m.withColumn("other", F.lead("utt_id").over(w)).withColumn("od", F.lead("duration").over(w)).where("other IS NOT NULL")
-    near = F.greatest("duration", "od").cast("double") / F.greatest(F.least("duration", "od"), F.lit(1)) <= 1.25
-    return o.select(F.col("utt_id").alias("q"), F.col("speaker_id").alias("speaker"), "other", (F.col("h") % 100_003).alias("content"), near.alias("strict"))
-
-
-def preferences(spark: SparkSession, d: str) -> DataFrame:
-    """layer, speaker, strict, content_sim, speaker_sim and pref (10 if the content's vector is nearer, 5 if as near, else 0) of each triple and layer (MET10)."""
-    wide = _layers(spark, d).where(F.col("id") < N_VECTORS)
-    names = [f"l{k}" for k in range(LAYERS)] + ["uniform"]
-    lay = wide.select("id", F.explode(F.array(*[F.struct(F.lit(k if k < LAYERS else -1).alias("layer"), F.col(n).alias("vec")) for k, n in enumerate(names)])).alias("x")).select("id", "x.layer", "x.vec")
-    held = lambda name: F.broadcast(lay.toDF(name, "layer", f"{name}_vec"))  # noqa: E731  N_VECTORS times the layers, a stated bound
-    rows = triples(spark, d).select("speaker", "strict", *[(F.col(c) % N_VECTORS).alias(c) for c in ("q", "content", "other")])
-    tri = rows.join(held("q"), "q").join(held("content"), ["content", "layer"]).join(held("other"), ["other", "layer"])
-    tri = tri.select("layer", "speaker", "strict", V.dot(F.col("q_vec"), F.col("content_vec")).alias("content_sim"), V.dot(F.col("q_vec"), F.col("other_vec")).alias("speaker_sim"))
-    gap = F.col("content_sim") - F.col("speaker_sim")
-    return tri.withColumn("pref", F.when(F.abs(gap) <= 1e-6, 5).when(gap > 0, 10).otherwise(0))
-
-
-def cluster_bootstrap(rows: DataFrame, within: Sequence[str], cluster: str, value: Column, n: int = CLUSTER_DRAWS, seed: int = 43) -> DataFrame:
-    """``within``, lo, hi: the mean of ``value`` over samples of whole clusters (BOO04). Rows are summed by cluster first, so a draw costs a cluster, not a row."""
-    sums = rows.groupBy(*within, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    each = sums.join(stats.draws(rows, cluster, n, seed, "clusters"), cluster).groupBy(*within, "draw").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean"))
-    return stats.interval(each, within, "mean")
-
-
-MATCHED = TRIPLETS + TRIPLES + ", " + _escaped(stats.draws_sql("p", "speaker", CLUSTER_DRAWS, 43, "clusters"))
-
-
-@query(MATCHED + """, sums AS (SELECT layer, speaker, sum(pref) AS s, count(*) AS n FROM p GROUP BY 1, 2), each AS (SELECT layer, draw, sum(s * times) / sum(n * times)::DOUBLE AS m FROM sums JOIN draws USING (speaker) GROUP BY 1, 2),
-iv AS (SELECT layer, quantile_cont(m, 0.025) / 10 AS lo, quantile_cont(m, 0.975) / 10 AS hi FROM each GROUP BY 1)
-SELECT layer::INT AS layer, count(*) AS n, round(sum(pref) / (10.0::DOUBLE * count(*)), 6) AS p_content, round(avg(content_sim), 6) AS content_sim, round(avg(speaker_sim), 6) AS speaker_sim, count_if(pref = 5) AS n_ties, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi FROM p JOIN iv USING (layer) GROUP BY layer""")
-def qry30_controlled_matching(spark: SparkSession, d: str) -> DataFrame:
-    """For each layer how often content wins over speaker, ties as halves, with an interval over speakers (QRY30, MET10, MET11, BOO04)."""
-    p = preferences(spark, d)
-    whole = p.groupBy("layer").agg(F.count("*").alias("n"), r6(F.sum("pref") / (10.0 * F.count("*"))).alias("p_content"), r6(F.avg("content_sim")).alias("content_sim"), r6(F.avg("speaker_sim")).alias("speaker_sim"), F.count_if(F.col("pref") == 5).alias("n_ties"))
-    iv = cluster_bootstrap(p, ["layer"], "speaker", F.col("pref")).select("layer", r6(F.col("lo") / 10).alias("lo"), r6(F.col("hi") / 10).alias("hi"))
-    return whole.join(iv, "layer")
-
-
-@query(TRIPLETS + TRIPLES + """, a AS (SELECT layer, sum(pref) / (10.0::DOUBLE * count(*)) AS all_, sum(pref) FILTER (WHERE strict) / (10.0::DOUBLE * nullif(count_if(strict), 0)) AS strict_, count_if(strict) AS n_strict FROM p GROUP BY 1)
-SELECT layer::INT AS layer, n_strict, round(all_, 6) AS p_all, round(strict_, 6) AS p_strict, rank() OVER (ORDER BY round(all_, 9) DESC) = rank() OVER (ORDER BY round(strict_, 9) DESC) AS same_place FROM a""")
-def qry37_strict_subset(spark: SparkSession, d: str) -> DataFrame:
-    """Preferences over all triples and over those near in duration only, and whether layers keep their places (QRY37, FLT14)."""
-    p = preferences(spark, d)
-    share = lambda c: F.sum(F.when(c, F.col("pref"))) / (10.0 * F.nullif(F.count_if(c), F.lit(0)))
-    a = p.groupBy("layer").agg(share(F.lit(True)).alias("x"), share(F.col("strict")).alias("y"), F.count_if("strict").alias("n_strict"))
-    place = lambda c: F.rank().over(Window.orderBy(F.round(c, 9).desc()))
-    return a.select("layer", "n_strict", r6("x").alias("p_all"), r6("y").alias("p_strict"), (place("x") == place("y")).alias("same_place"))
-
-
-@query(TRIPLETS + " SELECT strict, count(*) AS n, count(DISTINCT speaker) AS n_speakers, min(q) AS first FROM t GROUP BY 1")
-def qry18_provenance(spark: SparkSession, d: str) -> DataFrame:
-    """Where triples come from: how many are near in duration, and of how many speakers (QRY18)."""
-    return triples(spark, d).groupBy("strict").agg(F.count("*").alias("n"), F.countDistinct("speaker").alias("n_speakers"), F.min("q").alias("first"))
-
-
-# audits of vectors (QRY40, QRY41, VEC13-15)
-
-VARIANT = """WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), b AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN list_transform(e, lambda x: x * 1.001) ELSE e END AS f FROM a),
-c AS (SELECT vec_id, e, f, list_aggregate(list_transform(list_zip(e, f), lambda z: abs(z[1] - z[2])), 'max') AS diff FROM a JOIN b USING (vec_id))"""
-
-
-def _variant(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("e"))
-    return a.withColumn("f", F.when(F.col("vec_id") % 10 == 0, F.transform("e", lambda x: x * 1.001)).otherwise(F.col("e")))
-
-
-@query(VARIANT + " SELECT count(*) AS n, count_if(diff > 0) AS n_differing, round(max(diff), 6) AS max_abs_diff, count_if(diff > 0) = 0 AS identical FROM c")
-def vec15_variant_difference(spark: SparkSession, d: str) -> DataFrame:
-    """Two versions of the same vectors against each other (VEC15, QRY41, API09)."""
-    diff = F.array_max(F.zip_with("e", "f", lambda x, y: F.abs(x - y)))
-    return _variant(spark, d).select(diff.alias("diff")).agg(F.count("*").alias("n"), F.count_if(F.col("diff") > 0).alias("n_differing"), r6(F.max("diff")).alias("max_abs_diff"), (F.count_if(F.col("diff") > 0) == 0).alias("identical"))
-
-
-@query(VARIANT + """, s AS (SELECT vec_id, CASE ntile WHEN 1 THEN 'short' ELSE 'long' END AS bucket, list_cosine_similarity(e, f) AS cos, sqrt(list_sum(list_transform(list_zip(e, f), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) / sqrt(list_sum(list_transform(e, lambda x: x * x))) AS rel FROM (SELECT *, vec_id % 2 + 1 AS ntile FROM c))
-SELECT bucket, count(*) AS n, round(avg(cos), 6) AS mean_cos, round(min(cos), 6) AS least_cos, round(max(rel), 6) AS max_rel FROM s GROUP BY 1""")
-def qry40_padding(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors made alone and in a batch: cosine and relative error by bucket (QRY40, VEC13)."""
-    rel = F.sqrt(V.total(F.zip_with("e", "f", lambda x, y: (x - y) * (x - y)))) / V.norm(F.col("e"))
-    s = _variant(spark, d).select(F.when(F.col("vec_id") % 2 == 0, "short").otherwise("long").alias("bucket"), (V.dot(F.col("e"), F.col("f")) / (V.norm(F.col("e")) * V.norm(F.col("f")))).alias("cos"), rel.alias("rel"))
-    return s.groupBy("bucket").agg(F.count("*").alias("n"), r6(F.avg("cos")).alias("mean_cos"), r6(F.min("cos")).alias("least_cos"), r6(F.max("rel")).alias("max_rel"))
+# audits of vectors (QRY41, VEC14)
 
 
 @query("""WITH {vectors}, s AS (SELECT avg(list_inner_product(a.vec, b.vec)) AS c FROM vectors a JOIN vectors b ON a.id < b.id), v AS (SELECT stddev_pop(x) AS sd FROM (SELECT unnest(e) AS x FROM raw)), r AS (SELECT count(DISTINCT list_transform(e, lambda x: round(x, 4))) AS n_distinct, count(*) AS n FROM raw)
