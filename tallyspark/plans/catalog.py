@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import capability, corpora, inference, layers, leaderboards, matching, parts, probing, steps, suites  # noqa: F401
+from . import arriving, capability, corpora, inference, layers, leaderboards, matching, parts, probing, steps, suites  # noqa: F401
 from .base import ORACLES, QUERIES, Query
 
 
