@@ -100,6 +100,13 @@ def joi06_qrels(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "k").where("s1 <> s2 AND qid <> did").select("qid", "did", F.lit(1).alias("rel"))
 
 
+@query("WITH {vectors}, {sims} SELECT qid, did, round(sim, 9) AS sim, ql = dl AS same FROM placed WHERE rn = 1")
+def top05_pivoted_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar other row of each, without the pairs of blocks that pivots rule out (JOI08, TOP05)."""
+    found, _ = retrieval.pivoted_nearest(vectors(spark, d))
+    return found.select("qid", "did", F.round("sim", 9).alias("sim"), (F.col("ql") == F.col("dl")).alias("same"))
+
+
 @query("WITH {manifest}, m AS (SELECT utt_id AS i, speaker_id AS h, md5(norm) AS k, duration, length(norm) > 0 AS told FROM manifest), " + durations.near_partner_sql("m") + """,
 c AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY """ + keyed_sql(3, "content", "i") + """, i) AS n FROM m WHERE told),
 x AS (SELECT a.i, arg_min(b.i, (b.n < a.n, b.n)) AS content FROM c a JOIN c b ON a.k = b.k AND a.h <> b.h GROUP BY 1) SELECT i AS q, content, partner AS speaker, far AS dur_fallbacks FROM x JOIN partners USING (i)""")
