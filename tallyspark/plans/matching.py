@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.keyed import keyed_sql
-from ..operators import durations, sampling, stats
+from ..operators import durations, retrieval, sampling, stats
 from .base import manifest, query, r6
 
 LETTERS, LAYERS, UNIFORM = "abcdefghijklmnop", 8, -1
@@ -140,3 +140,33 @@ def qry40_padding(spark: SparkSession, d: str) -> DataFrame:
     cos = V.dot(F.col("e"), F.col("f")) / F.nullif(V.norm(F.col("e")) * V.norm(F.col("f")), F.lit(0.0))
     s = _variants(spark, d).select("layer", F.when(F.col("duration") < 1000, "short").otherwise("long").alias("bucket"), cos.alias("cos"), (gap / F.nullif(V.norm(F.col("e")), F.lit(0.0))).alias("rel"))
     return s.groupBy("layer", "bucket").agg(F.count("*").alias("n"), r6(F.avg("cos")).alias("mean_cos"), r6(F.min("cos")).alias("least_cos"), r6(F.max("rel")).alias("max_rel"))
+
+
+TRANSFER = TEXTS.rstrip(", ") + COUNTS + ", z AS (SELECT lay.*, h, CASE WHEN dataset = 'en' THEN 'first' ELSE 'second' END AS corpus FROM lay JOIN m USING (i) JOIN manifest ON utt_id = i)" + """,
+one AS (SELECT a.corpus, a.layer, a.i, a.h, (a.h = b.h)::INT AS hit FROM z a JOIN z b ON a.corpus = b.corpus AND a.layer = b.layer AND a.i <> b.i QUALIFY row_number() OVER (PARTITION BY a.layer, a.i ORDER BY round(list_inner_product(a.vec, b.vec), 12) DESC, b.i) = 1),
+sc AS (SELECT corpus, layer, sum(hit) AS hits, count(*) AS n FROM one GROUP BY 1, 2), pick AS (SELECT layer FROM sc WHERE corpus = 'first' AND layer >= 0 ORDER BY hits DESC, layer LIMIT 1),
+g AS (SELECT h AS speaker, sum(hit * (layer = (SELECT layer FROM pick))::INT) AS s, sum(hit * (layer = 7)::INT) AS f, sum(hit * (layer = -1)::INT) AS u, count(*) FILTER (WHERE layer = 7) AS n FROM one WHERE corpus = 'second' GROUP BY 1)"""
+
+
+@query(TRANSFER + ", " + stats.draws_sql("g", "speaker", CLUSTER_DRAWS, 47, "second").replace("{", "{{").replace("}", "}}") + """, each AS (SELECT draw, sum((s - f) * times) / sum(n * times)::DOUBLE AS a, sum((s - u) * times) / sum(n * times)::DOUBLE AS b FROM g JOIN draws USING (speaker) GROUP BY 1)
+SELECT (SELECT layer FROM pick)::INT AS picked_layer, (SELECT layer FROM sc WHERE corpus = 'second' AND layer >= 0 ORDER BY hits DESC, layer LIMIT 1)::INT AS best_second_layer, sum(n)::BIGINT AS n, count(*) AS n_speakers, round(sum(s) / sum(n)::DOUBLE, 6) AS selected, round(sum(f) / sum(n)::DOUBLE, 6) AS final, round(sum(u) / sum(n)::DOUBLE, 6) AS uniform,
+round(sum(s - f) / sum(n)::DOUBLE, 6) AS gain_vs_final, (SELECT round(quantile_cont(a, 0.025), 6) FROM each) AS final_lo, (SELECT round(quantile_cont(a, 0.975), 6) FROM each) AS final_hi, round(sum(s - u) / sum(n)::DOUBLE, 6) AS gain_vs_uniform, (SELECT round(quantile_cont(b, 0.025), 6) FROM each) AS uniform_lo, (SELECT round(quantile_cont(b, 0.975), 6) FROM each) AS uniform_hi FROM g""")
+def qry34_second_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The layer that finds speakers best in one corpus (English texts), carried to another with speakers' labels of its own: its gain there, paired by row, with an interval over samples of whole speakers (QRY34)."""
+    m = texts(spark, d).join(manifest(spark, d).select("utt_id", (F.col("dataset") == "en").alias("first")), "utt_id")
+    vecs = layered(m).select("utt_id", F.flatten(F.transform("counts", lambda v: V.unit(v))).alias("vec"))
+    v = m.select("utt_id", "speaker_id", F.coalesce("first", F.lit(False)).alias("first")).join(vecs, "utt_id").select(F.col("utt_id").alias("id"), F.crc32(F.col("speaker_id").cast("binary")).alias("label"), "speaker_id", "first", "vec")
+    hits = lambda rows: retrieval.layer_hits(rows, LAYERS + 1)
+    best = lambda h: h.where(F.col("layer") < LAYERS).groupBy("layer").agg(F.sum("hit").alias("s")).agg(F.max(F.struct("s", F.negative("layer").alias("o"))).alias("x")).first().x
+    picked = best(hits(v.where("first")))
+    second = hits(v.where("NOT first")).join(v.select(F.col("id").alias("qid"), F.col("speaker_id").alias("speaker")), "qid")
+    there = best(second)
+    at = lambda k: F.sum(F.when(F.col("layer") == F.lit(k), F.col("hit")).otherwise(0))
+    g = second.groupBy("speaker").agg(at(None if picked is None else -picked.o).alias("s"), at(LAYERS - 1).alias("f"), at(LAYERS).alias("u"), F.count_if(F.col("layer") == LAYERS - 1).alias("n"))
+    gain = lambda c: F.sum((F.col("s") - F.col(c)) * F.col("times")) / F.sum(F.col("n") * F.col("times"))
+    each = g.join(stats.draws(g, "speaker", CLUSTER_DRAWS, 47, "second"), "speaker").groupBy("draw").agg(gain("f").alias("a"), gain("u").alias("b"))
+    ends = each.agg(*[r6(F.percentile(c, p)).alias(n) for c, p, n in (("a", 0.025, "final_lo"), ("a", 0.975, "final_hi"), ("b", 0.025, "uniform_lo"), ("b", 0.975, "uniform_hi"))])
+    of = lambda x: r6(F.sum(x) / F.sum("n"))
+    row = g.agg(F.sum("n").alias("n"), F.count("*").alias("n_speakers"), of("s").alias("selected"), of("f").alias("final"), of("u").alias("uniform"), of(F.col("s") - F.col("f")).alias("gain_vs_final"), of(F.col("s") - F.col("u")).alias("gain_vs_uniform"))
+    names = [F.lit(None if x is None else -x.o).cast("int").alias(n) for x, n in ((picked, "picked_layer"), (there, "best_second_layer"))]
+    return row.crossJoin(ends).select(*names, "n", "n_speakers", "selected", "final", "uniform", "gain_vs_final", "final_lo", "final_hi", "gain_vs_uniform", "uniform_lo", "uniform_hi")
