@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import keyed, keyed_sql
+from ..session import shared_folder
 
 RANGES = 12
 
@@ -33,7 +34,9 @@ def candidates(rows: DataFrame, kind: str, holder: str, ident: str, n_queries: i
     ident: whole numbers, unique. What a query draws, and the number of queries, are bounded; the rows of its kind aren't.
     """
     m = rows.select(F.col(ident).alias("did"), F.col(holder).alias("h"), F.col(kind).alias("k"))
-    known = m.dropna()
+    at = shared_folder(rows.sparkSession)
+    m.dropna().write.parquet(at)  # narrow rows, which all that follows reads in place of texts
+    known = rows.sparkSession.read.schema(m.schema).parquet(at)
     held = known.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("k")
     q = known.join(held, "k").orderBy(keyed(seed, "rerank", "did"), "did").limit(n_queries).select(F.col("did").alias("qid"), F.col("h").alias("qh"), F.col("k").alias("qk")).persist()
     try:
