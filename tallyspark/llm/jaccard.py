@@ -9,7 +9,8 @@ the prefix (members of large groups of near copies, mostly) index them one by on
 their own, in which the other texts that have two or more show up as well, so that no link is lost.
 
 Candidates. Texts that share an index key form a group. First each text is checked against the
-member of its groups that most of them name as their first; a check compares whole sets. Then, in
+member of its groups that most of them name as their first; a check compares parity bits, as many as the set's size asks
+for, then whole sets. Then, in
 groups whose members are not yet in one component, all pairs across components are checked, but for
 those whose sizes or parity bits show that they can't link. So all pairs of a group are never built
 for copies of one another, and every link counts in the end.
@@ -28,7 +29,7 @@ Sets are of 48-bit hashes: two shingles of a text fall together once in 3e14 pai
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ ROWS = 2000
 IDS = 1_000_000
 #: Pairs of a group up to which its members are compared as they are.
 DIRECT = 1 << 20
+#: Pairs of a part that checks them, about, and texts of a block of those that meet.
+PAIRS, SIDE = 1000, 500
 #: Set sizes of a band are within this factor.
 BAND = 1.1
 #: 64-bit words of parity bits of a set.
@@ -89,8 +92,25 @@ def sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
     return both & _MASK, of, np.searchsorted(of, np.arange(n + 1))
 
 
+def fine(keys: np.ndarray, of: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Parity bits of each set, two to four for a shingle and 64 at least: a power of two, so that a longer run folds onto a shorter one."""
+    bits = np.int64(64) << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 32))).astype(np.int64)
+    off = np.append(0, np.cumsum(bits))
+    spot = off[of] + (flat.mix(keys + np.uint64(7)) & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(spot, minlength=off[-1]) & 1).astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((off // 8).astype(np.int32)), pa.py_buffer(odd)])
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """How many parity bits of two sets differ: no more than the shingles that one of them has alone."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0) ^ b).sum())
+
+
 def profiles(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """doc_id, n, same (a hash of the whole set; 0 for the empty set) and the words of its parity bits, for each row.
+    """doc_id, n, same (a hash of the whole set; 0 for the empty set), the words of its parity bits, and as many such bits as its size asks for (``fine``), for each row.
 
     Every shingle flips one of ``64 * WORDS`` bits, so two sets differ in as many shingles at least
     as their bits differ.
@@ -105,9 +125,9 @@ def profiles(docs: DataFrame, text: str, size: int) -> DataFrame:
             spot = (flat.mix(keys + np.uint64(7)) % np.uint64(64 * WORDS)).astype(np.int64)
             odd = np.bincount(of * 64 * WORDS + spot, minlength=len(n) * 64 * WORDS) & 1
             words = np.packbits(odd.astype(np.uint8)).view("<i8").reshape(len(n), WORDS)
-            yield flat.table({"doc_id": piece.column("doc_id"), "n": n.astype(np.int64), "same": np.where(n > 0, same, 0).astype(np.int64)} | {f"w{i}": words[:, i].copy() for i in range(WORDS)})
+            yield flat.table({"doc_id": piece.column("doc_id"), "n": n.astype(np.int64), "same": np.where(n > 0, same, 0).astype(np.int64)} | {f"w{i}": words[:, i].copy() for i in range(WORDS)} | {"fine": fine(keys, of, n)})
 
-    return docs.select("doc_id", F.col(text).alias("__text")).mapInArrow(run, "doc_id long, n long, same long" + "".join(f", w{i} long" for i in range(WORDS)))
+    return docs.select("doc_id", F.col(text).alias("__text")).mapInArrow(run, "doc_id long, n long, same long" + "".join(f", w{i} long" for i in range(WORDS)) + ", fine binary")
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -280,17 +300,54 @@ def groups(indexed: DataFrame) -> DataFrame:
     return indexed.groupBy("to").applyInArrow(meet, "kind string, a long, b long, n long")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, text: str, size: int, numerator: int, denominator: int) -> DataFrame:
-    """The pairs a < b whose sets overlap enough. Pairs are dealt out by their first text, a hot one's in several parts."""
+def dealt_out(pairs: DataFrame, parts: int, side: int = SIDE) -> DataFrame:
+    """a, b and the part that checks each pair: texts that meet one another go to one part, so that a text is sent once and not once a pair.
+
+    A text's home is the least text that its least partner meets. The texts of a home are cut into blocks of about
+    ``side``, and the pairs of two blocks go to one part: k texts that all meet are each sent k / ``side`` times.
+    """
+    met = pairs.select(F.col("a").alias("v"), F.col("b").alias("o")).union(pairs.select(F.col("b").alias("v"), F.col("a").alias("o")))
+    least = kept(met.groupBy("v").agg(F.least("v", F.min("o")).alias("h")))
+    home = least.join(least.select(F.col("v").alias("h"), F.col("h").alias("home")), "h").select("v", "home")
+    blocks = home.groupBy("home").agg(F.ceil(F.count("*") / side).alias("blocks"))
+    at = kept(home.join(blocks, "home").select("v", F.xxhash64("home", F.pmod(F.xxhash64("v"), F.col("blocks"))).alias("block")))
+    for x in ("a", "b"):
+        pairs = pairs.join(at.select(F.col("v").alias(x), F.col("block").alias(f"{x}_block")), x)
+    one, other = F.least("a_block", "b_block"), F.greatest("a_block", "b_block")  # two blocks' pairs in either order are one cell
+    return pairs.select("a", "b", F.pmod(F.xxhash64(one, other), F.lit(parts)).cast("int").alias("part"))
+
+
+def checked(pairs: DataFrame, rows: DataFrame, check: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    """The pairs that ``check`` keeps, from the pairs of a part and the ``rows`` (doc_id and more) of their texts."""
     pairs = kept(pairs.select("a", "b").distinct())
     count = pairs.count()
-    per = 1000
-    parts = max(1, -(-count // per))
-    hot = pairs.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > per)
-    dealt = pairs.join(hot, "a", "left").withColumn("part", F.pmod(F.xxhash64("a", F.when(F.col("k").isNotNull(), F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / per)))), F.lit(parts)).cast("int")).select("a", "b", "part")
-    routes = dealt.select(F.explode(F.array("a", "b")).alias("doc_id"), (F.col("part") + 0).alias("to")).distinct()
-    wanted = F.broadcast(routes) if 2 * count <= IDS else routes
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text")).join(wanted, "doc_id")
+    dealt = kept(dealt_out(pairs, max(1, -(-count // PAIRS))))
+    routes = dealt.select(F.explode(F.array("a", "b")).alias("doc_id"), F.col("part").alias("to")).distinct()
+    sent = rows.join(F.broadcast(routes) if 2 * count <= IDS else routes, "doc_id")
+    return dealt.groupBy("part").cogroup(sent.groupBy("to")).applyInArrow(check, "a long, b long")
+
+
+def sieved(pairs: DataFrame, profile: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The pairs a < b but for those whose sizes or parity bits show that they don't link, before a text is sent for them."""
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = np.zeros(left.num_rows, bool)
+        held: dict[int, set[tuple[int, bytes]]] = {}
+        for d, n, bits in zip(*[right.column(c).to_pylist() for c in ("doc_id", "n", "fine")], strict=True):
+            held.setdefault(d, set()).add((n, bits))  # an id may have several texts
+
+        def may(n: int, x: bytes, m: int, y: bytes) -> bool:
+            return denominator * min(n, m) >= numerator * max(n, m) and differing(x, y) * (numerator + denominator) <= (n + m) * (denominator - numerator)
+
+        for i, (a, b) in enumerate(zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True)):
+            found[i] = any(may(n, x, m, y) for n, x in held.get(a, ()) for m, y in held.get(b, ()))
+        return left.select(["a", "b"]).filter(pa.array(found))
+
+    return checked(pairs, profile.where("n > 0").select("doc_id", "n", "fine"), check)
+
+
+def linked(pairs: DataFrame, profile: DataFrame, docs: DataFrame, text: str, size: int, numerator: int, denominator: int) -> DataFrame:
+    """The pairs a < b whose sets overlap enough. Whole texts are sent only for pairs that their parity bits leave (``sieved``)."""
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         found_a, found_b = [], []
@@ -315,7 +372,8 @@ def linked(pairs: DataFrame, docs: DataFrame, text: str, size: int, numerator: i
                     found_b.append(b)
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
-    return dealt.groupBy("part").cogroup(texts.groupBy("to")).applyInArrow(check, "a long, b long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text"))
+    return checked(sieved(pairs, profile, numerator, denominator), texts, check)
 
 
 def parted(member: DataFrame) -> DataFrame:
@@ -398,7 +456,7 @@ def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, numerator: in
     pairs = folded(folded(met.where("kind = 'pair'").select("a", "b", "n"), "a"), "b").where(near & (F.col("a_rep") != F.col("b_rep")))
     pairs = pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
     best = kept(pairs.groupBy("b").agg(F.max(F.struct("n", F.negative("a").alias("a"))).alias("x")).select(F.negative("x.a").alias("a"), "b"))
-    links = kept(linked(best, docs, text, size, numerator, denominator))
+    links = kept(linked(best, profile, docs, text, size, numerator, denominator))
     same_id = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     links = links.union(same_id)
     label = components(links)
@@ -423,7 +481,7 @@ def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, numerator: in
     cross = (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("b_main")) | (F.col("a_v") < F.col("b_v")))
     met_again = side("a").where("a_c <> a_main").join(side("b"), "g").where(cross & near & few)
     across = met_again.select(F.least("a_v", "b_v").alias("a"), F.greatest("a_v", "b_v").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
-    more = kept(linked(across, docs, text, size, numerator, denominator))
+    more = kept(linked(across, profile, docs, text, size, numerator, denominator))
     label = components(links.union(more).union(label.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a < b")))
     final = of.join(label, of["rep"] == label["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     return profile.join(final, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
