@@ -136,11 +136,30 @@ def smp08_rerank_rows(spark: SparkSession, d: str) -> DataFrame:
     return rerank_rows(spark, d)
 
 
-@query(RERANK + rerank.candidates_sql("m", 2000, 100, 100, SEED, False) + " SELECT qid, sum(rel)::BIGINT AS n_positive, count(*) - sum(rel)::BIGINT AS n_negative, sum(did)::BIGINT AS did_sum FROM cands GROUP BY qid HAVING sum(rel) > 0")
+@query(f"""WITH {{manifest}}, held AS (SELECT norm FROM manifest WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT speaker_id) >= 2),
+q AS (SELECT m.* FROM manifest m JOIN held USING (norm) ORDER BY {keyed_sql(SEED, "rerank", "utt_id")}, utt_id LIMIT 2000),
+pos AS (SELECT q.utt_id AS qid, p.utt_id AS did FROM q JOIN manifest p ON q.norm = p.norm AND q.speaker_id <> p.speaker_id),
+hard AS (SELECT q.utt_id AS qid, h.utt_id AS did FROM q JOIN manifest h ON q.speaker_id = h.speaker_id AND q.utt_id <> h.utt_id QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {keyed_sql(SEED, "hard", "q.utt_id", "h.utt_id")}, h.utt_id) <= 100),
+easy AS (SELECT q.utt_id AS qid, e.utt_id AS did FROM q CROSS JOIN manifest e QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {keyed_sql(SEED, "easy", "q.utt_id", "e.utt_id")}, e.utt_id) <= 100),
+c AS (SELECT qid, did, max(rel) AS rel FROM (SELECT qid, did, 1 AS rel FROM pos UNION ALL SELECT qid, did, 0 FROM hard UNION ALL SELECT qid, did, 0 FROM easy WHERE qid <> did) GROUP BY 1, 2)
+SELECT qid, sum(rel)::BIGINT AS n_positive, count(*) - sum(rel)::BIGINT AS n_negative, sum(did)::BIGINT AS did_sum FROM c GROUP BY qid HAVING sum(rel) > 0 AND sum(rel) < count(*)""")
 def smp08_rerank_sets_default(spark: SparkSession, d: str) -> DataFrame:
-    """The same by query: how many rows are relevant and how many aren't (SMP08)."""
-    out = rerank_rows(spark, d).groupBy("qid").agg(F.sum("rel").alias("n_positive"), F.sum(1 - F.col("rel")).alias("n_negative"), F.sum("did").alias("did_sum"))
-    return out.where("n_positive > 0")
+    """With the reference's sizes: 2,000 queries, each with all rows of its text by others, 100 rows of its speaker and 100 of any, drawn for each query."""
+    m = manifest(spark, d).select("utt_id", "speaker_id", F.when(F.length("norm") > 0, F.sha2("norm", 256)).alias("k")).cache()
+    held = m.where("k IS NOT NULL").groupBy("k").agg(F.countDistinct("speaker_id").alias("n")).where("n >= 2").select("k")
+    q = F.broadcast(m.join(held, "k").orderBy(keyed(SEED, "rerank", "utt_id"), "utt_id").limit(2000).select(F.col("utt_id").alias("qid"), F.col("speaker_id").alias("qs"), F.col("k").alias("qk")))
+    rows = m.withColumnRenamed("utt_id", "did")
+    # the 100 least of n hashes lie below this share of them, but for a chance below 1e-60
+    below = min(1.0, 600 / max(1, m.count())) * 2**32
+    pos = q.join(rows, F.col("qk") == F.col("k")).where("qs <> speaker_id").select("qid", "did", F.lit(1).alias("rel"))
+    order = lambda salt: keyed(SEED, salt, "qid", "did")
+    sizes = m.groupBy(F.col("speaker_id").alias("qs")).agg(F.count("*").alias("n"))
+    own = q.join(F.broadcast(q.select("qs").distinct().join(sizes, "qs")), "qs").join(rows, F.col("qs") == F.col("speaker_id")).where("qid <> did")
+    hard = ranking.best_rows(own.where(order("hard") < F.least(F.lit(1.0), 600 / F.col("n")) * 2**32).select("qid", "did"), ["qid"], order("hard"), F.col("did"), k=100)
+    easy = ranking.best_rows(rows.select("did").crossJoin(q.select("qid")).where(order("easy") < below), ["qid"], order("easy"), F.col("did"), k=100).where("qid <> did")
+    c = pos.unionByName(hard.unionByName(easy).select("qid", "did", F.lit(0).alias("rel"))).groupBy("qid", "did").agg(F.max("rel").alias("rel"))
+    out = c.groupBy("qid").agg(F.sum("rel").alias("n_positive"), F.sum(1 - F.col("rel")).alias("n_negative"), F.sum("did").alias("did_sum"))
+    return out.where("n_positive > 0 AND n_negative > 0")
 
 
 @query(RERANK + rerank.candidates_sql("m", 500, 100, 0, SEED, True) + """, ls AS (SELECT qid AS id, sum(rel) AS n_positive, sum(1 - rel) AS n_negative FROM cands GROUP BY 1), mb AS (SELECT did AS id, count(*) AS n_lists FROM cands GROUP BY 1)
