@@ -12,7 +12,8 @@ from ..functions.keyed import keyed
 
 def normal_text(text: Column) -> Column:
     """Runs of blanks as one space, none at the ends; empty for null."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    # a single space stays as it is, so that only the other blanks are matched and copied
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s{2,}|[\t\n\x0B\f\r]", " "))
 
 
 def content_groups(rows: DataFrame, text: str, holder: str, least: int = 2) -> DataFrame:

@@ -6,14 +6,17 @@ letters in it. Two texts that begin with the same five words count as one conten
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.keyed import keyed_sql
 from ..operators import durations, retrieval, sampling, stats
+from ..session import table, written
 from .base import manifest, query, r6
 
 LETTERS, LAYERS, UNIFORM = "abcdefghijklmnop", 8, -1
@@ -40,24 +43,35 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
 
 def triples(spark: SparkSession, d: str) -> DataFrame:
     """q, speaker, content (the same content by another speaker), exact (whether its text is the same too), other (another content of the speaker) and strict (near in duration). Rows without either partner are left out."""
-    m = texts(spark, d).withColumn("text", F.md5("norm")).drop("norm")
+    m = written(texts(spark, d).withColumn("text", F.md5("norm")).drop("norm"))  # narrow rows, which all that follows reads in place of texts
     content = sampling.next_other(m, "k", "speaker_id", "utt_id", "content", seed=41).where("other IS NOT NULL").select(F.col("utt_id").alias("q"), F.col("speaker_id").alias("speaker"), "text", F.col("other").alias("content"))
     partner = durations.near_partner(m, "speaker_id", "k", "duration", "utt_id", seed=41).select(F.col("utt_id").alias("q"), F.col("partner").alias("other"), (F.col("far") == 0).alias("strict"))
     other = m.select(F.col("utt_id").alias("content"), F.col("text").alias("theirs"))
     return content.join(partner, "q").join(other, "content").select("q", "speaker", "content", (F.col("text") == F.col("theirs")).alias("exact"), "other", "strict")
 
 
-def letters(text: Column) -> Column:
-    """How often each of ``LETTERS`` stands in a text."""
-    return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
+def layered(m: DataFrame) -> DataFrame:
+    """utt_id and counts: how often each of ``LETTERS`` stands in each eighth of the text, and in the whole one last. A text is read once."""
+    first, size = ord(LETTERS[0]), len(LETTERS)
 
+    def counted(text: str) -> np.ndarray:
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) - first
+        at = np.flatnonzero((code >= 0) & (code < size))
+        edges = np.arange(1, LAYERS) * len(text) // LAYERS
+        each = np.bincount(np.searchsorted(edges, at, "right") * size + code[at], minlength=LAYERS * size).reshape(LAYERS, size)
+        return np.vstack([each, each.sum(0)]).astype(float)
 
-def layered(m: DataFrame) -> DataFrame:
-    """utt_id and counts: a vector for each eighth of the text, and of the whole one last."""
-    n, text = F.length("norm"), F.col("norm")
-    edge = lambda k: F.floor(n * k / LAYERS).cast("int")
-    parts = [F.substring(text, edge(k) + 1, edge(k + 1) - edge(k)) for k in range(LAYERS)]
-    return m.select("utt_id", F.array(*[letters(p) for p in (*parts, text)]).alias("counts"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.list_(pa.float64()))
+        for b in batches:
+            every = [counted(t) for t in b.column("norm").to_pylist()]
+            flat = pa.array(np.concatenate(every).ravel() if every else np.zeros(0))
+            inner = pa.ListArray.from_arrays(pa.array(np.arange(len(every) * (LAYERS + 1) + 1, dtype=np.int32) * size), flat)
+            outer = pa.ListArray.from_arrays(pa.array(np.arange(len(every) + 1, dtype=np.int32) * (LAYERS + 1)), inner)
+            yield pa.RecordBatch.from_pydict({"utt_id": b.column("utt_id"), "counts": outer.cast(kind)})
+
+    ident = m.schema["utt_id"].dataType.simpleString()
+    return m.select("utt_id", "norm").mapInArrow(run, f"utt_id {ident}, counts array<array<double>>")
 
 
 def preferences(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +83,7 @@ def preferences(spark: SparkSession, d: str) -> DataFrame:
     sims = lambda a, b: F.transform(F.zip_with(a, b, lambda x, y: V.dot(x, y)), lambda s: F.round(s, 9))
     both = rows.select("speaker", "strict", F.posexplode(F.arrays_zip(sims("q_v", "content_v").alias("c"), sims("q_v", "other_v").alias("s"))).alias("at", "x"))
     gap = F.col("x.c") - F.col("x.s")
-    return both.select(F.when(F.col("at") == LAYERS, UNIFORM).otherwise(F.col("at")).alias("layer"), "speaker", "strict", F.col("x.c").alias("content_sim"), F.col("x.s").alias("speaker_sim"), F.when(F.abs(gap) <= 1e-6, 5).when(gap > 0, 10).otherwise(0).alias("pref"))
+    return written(both.select(F.when(F.col("at") == LAYERS, UNIFORM).otherwise(F.col("at")).alias("layer"), "speaker", "strict", F.col("x.c").alias("content_sim"), F.col("x.s").alias("speaker_sim"), F.when(F.abs(gap) <= 1e-6, 5).when(gap > 0, 10).otherwise(0).alias("pref")))
 
 
 def cluster_bootstrap(rows: DataFrame, within: Sequence[str], cluster: str, value: Column, clusters: DataFrame, n: int = CLUSTER_DRAWS, seed: int = 43) -> DataFrame:
@@ -91,9 +105,9 @@ a AS (SELECT layer, count(*) AS n, sum(pref) / (10.0::DOUBLE * count(*)) AS pc,
 SELECT layer::INT AS layer, n, round(pc, 6) AS p_content, round(cs, 6) AS content_sim, round(ss, 6) AS speaker_sim, n_ties, round(lo, 6) AS lo, round(hi, 6) AS hi, layer >= 0 AND coalesce((pc > 0.5) <> (lag(pc) OVER (PARTITION BY layer >= 0 ORDER BY layer) > 0.5), false) AS crossover FROM a JOIN iv USING (layer)""")
 def qry30_controlled_matching(spark: SparkSession, d: str) -> DataFrame:
     """For each layer how often content wins over speaker, ties as halves, with an interval over speakers, and the layers where the winner changes (QRY30, MET10, MET11, BOO04)."""
-    p, who = preferences(spark, d), triples(spark, d)
+    p = preferences(spark, d)
     whole = p.groupBy("layer").agg(F.count("*").alias("n"), (F.sum("pref") / (10.0 * F.count("*"))).alias("pc"), r6(F.avg("content_sim")).alias("content_sim"), r6(F.avg("speaker_sim")).alias("speaker_sim"), F.count_if(F.col("pref") == 5).alias("n_ties"))
-    iv = cluster_bootstrap(p, ["layer"], "speaker", F.col("pref"), who).select("layer", r6(F.col("lo") / 10).alias("lo"), r6(F.col("hi") / 10).alias("hi"))
+    iv = cluster_bootstrap(p, ["layer"], "speaker", F.col("pref"), p).select("layer", r6(F.col("lo") / 10).alias("lo"), r6(F.col("hi") / 10).alias("hi"))
     before = F.lag("pc").over(Window.partitionBy(F.col("layer") >= 0).orderBy("layer"))  # a row for each layer
     crossover = (F.col("layer") >= 0) & F.coalesce((F.col("pc") > 0.5) != (before > 0.5), F.lit(False))
     return whole.withColumn("crossover", crossover).join(iv, "layer").select("layer", "n", r6("pc").alias("p_content"), "content_sim", "speaker_sim", "n_ties", "lo", "hi", "crossover")
@@ -108,7 +122,7 @@ def qry37_strict_subset(spark: SparkSession, d: str) -> DataFrame:
     p = preferences(spark, d)
     share = lambda c: F.sum(F.when(c, F.col("pref"))) / (10.0 * F.nullif(F.count_if(c), F.lit(0)))
     a = p.groupBy("layer").agg(share(F.lit(True)).alias("x"), share(F.col("strict")).alias("y"), F.count_if("strict").alias("n_strict"))
-    iv = cluster_bootstrap(p.where("strict"), ["layer"], "speaker", F.col("pref"), triples(spark, d)).select("layer", (F.col("lo") / 10).alias("lo"), (F.col("hi") / 10).alias("hi"))
+    iv = cluster_bootstrap(p.where("strict"), ["layer"], "speaker", F.col("pref"), p).select("layer", (F.col("lo") / 10).alias("lo"), (F.col("hi") / 10).alias("hi"))
     place = lambda c: F.rank().over(Window.orderBy(F.round(c, 9).desc()))  # noqa: E731  a row for each layer
     return a.join(iv, "layer", "left").select("layer", "n_strict", r6("x").alias("p_all"), r6("y").alias("p_strict"), r6("lo").alias("lo"), r6("hi").alias("hi"), ((F.col("lo") > 0.5) | (F.col("hi") < 0.5)).alias("decided"), (place("x") == place("y")).alias("same_place"))
 
@@ -153,13 +167,14 @@ SELECT (SELECT layer FROM pick)::INT AS picked_layer, (SELECT layer FROM sc WHER
 round(sum(s - f) / sum(n)::DOUBLE, 6) AS gain_vs_final, (SELECT round(quantile_cont(a, 0.025), 6) FROM each) AS final_lo, (SELECT round(quantile_cont(a, 0.975), 6) FROM each) AS final_hi, round(sum(s - u) / sum(n)::DOUBLE, 6) AS gain_vs_uniform, (SELECT round(quantile_cont(b, 0.025), 6) FROM each) AS uniform_lo, (SELECT round(quantile_cont(b, 0.975), 6) FROM each) AS uniform_hi FROM g""")
 def qry34_second_corpus(spark: SparkSession, d: str) -> DataFrame:
     """The layer that finds speakers best in one corpus (English texts), carried to another with speakers' labels of its own: its gain there, paired by row, with an interval over samples of whole speakers (QRY34)."""
-    m = texts(spark, d).join(manifest(spark, d).select("utt_id", (F.col("dataset") == "en").alias("first")), "utt_id")
+    m = texts(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("utt_id"), (F.col("lang") == "en").alias("first")), "utt_id")
     vecs = layered(m).select("utt_id", F.flatten(F.transform("counts", lambda v: V.unit(v))).alias("vec"))
     v = m.select("utt_id", "speaker_id", F.coalesce("first", F.lit(False)).alias("first")).join(vecs, "utt_id").select(F.col("utt_id").alias("id"), F.crc32(F.col("speaker_id").cast("binary")).alias("label"), "speaker_id", "first", "vec")
+    v = written(v)
     hits = lambda rows: retrieval.layer_hits(rows, LAYERS + 1)
     best = lambda h: h.where(F.col("layer") < LAYERS).groupBy("layer").agg(F.sum("hit").alias("s")).agg(F.max(F.struct("s", F.negative("layer").alias("o"))).alias("x")).first().x
     picked = best(hits(v.where("first")))
-    second = hits(v.where("NOT first")).join(v.select(F.col("id").alias("qid"), F.col("speaker_id").alias("speaker")), "qid")
+    second = written(hits(v.where("NOT first"))).join(v.select(F.col("id").alias("qid"), F.col("speaker_id").alias("speaker")), "qid")
     there = best(second)
     at = lambda k: F.sum(F.when(F.col("layer") == F.lit(k), F.col("hit")).otherwise(0))
     g = second.groupBy("speaker").agg(at(None if picked is None else -picked.o).alias("s"), at(LAYERS - 1).alias("f"), at(LAYERS).alias("u"), F.count_if(F.col("layer") == LAYERS - 1).alias("n"))
