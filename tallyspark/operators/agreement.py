@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def contingency(rows: DataFrame, truth: str, found: str) -> DataFrame:
     """u (truth), v (found), n, with margins a and b and the total."""
@@ -40,8 +43,9 @@ def log_factorial(k: Column) -> Column:
     """ln k! for k >= 0 by Stirling's series, shifted up by 8 places; right to some 1e-12."""
     x = k.cast("double") + 1
     z = x + 8
+    shift = reduce(lambda p, j: p * (x + j), range(1, 8), x)  # one logarithm for all eight places
     series = 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3.0))) + 1 / (1260 * F.pow(z, F.lit(5.0))) - 1 / (1680 * F.pow(z, F.lit(7.0)))
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - sum((F.log(x + j) for j in range(8)), F.lit(0.0))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(shift)
 
 
 def adjusted_mi(rows: DataFrame, truth: str, found: str) -> DataFrame:
@@ -65,13 +69,16 @@ def adjusted_mi(rows: DataFrame, truth: str, found: str) -> DataFrame:
     return base.crossJoin(emi).crossJoin(hu).crossJoin(hv).select(((F.col("mi") - F.col("emi")) / ((F.col("hu") + F.col("hv")) / 2 - F.col("emi"))).alias("ami"))
 
 
-def by_group(rows: DataFrame, within: list[str], truth: str, found: str) -> DataFrame:
-    """``within``, n_rows, nmi, v_measure, ari, ami and purity for each group, all from one contingency table.
+def by_group(rows: DataFrame, within: list[str], truth: str, found: str, weight: str | None = None) -> DataFrame:
+    """``within``, n_rows, nmi, v_measure, ari, ami and purity for each group, all from one contingency table, which is written once.
+
+    ``weight``: how many rows a row stands for.
 
     nmi divides by the mean of both entropies. Expected mutual information is summed over the overlaps that a pair of
-    margins has with some chance: 40 deviations and 40 rows around the mean leave out less than 1e-20.
+    margins has with some chance, by as many tasks as a shuffle has: 40 deviations and 40 rows around the mean leave out less than 1e-20.
     """
-    cells = rows.groupBy(*within, F.col(truth).alias("u"), F.col(found).alias("v")).agg(F.count("*").cast("double").alias("n"))
+    n = F.sum(weight) if weight else F.count("*")
+    cells = written(rows.groupBy(*within, F.col(truth).alias("u"), F.col(found).alias("v")).agg(n.cast("double").alias("n")))
     one = lambda x: x * (x - 1) / 2
     a, b = cells.groupBy(*within, "u").agg(F.sum("n").alias("a")), cells.groupBy(*within, "v").agg(F.sum("n").alias("b"), F.max("n").alias("top"))
     size = cells.groupBy(*within).agg(F.sum("n").alias("t"))
@@ -88,8 +95,10 @@ def by_group(rows: DataFrame, within: list[str], truth: str, found: str) -> Data
     low = F.greatest(F.lit(1.0), A + B - t, F.floor(mean - room).cast("double"))
     high = F.least(A, B, F.ceil(mean + room).cast("double"))
     lf = log_factorial
-    grid = grid.withColumn("k", F.explode(F.when(low <= high, F.sequence(low.cast("long"), high.cast("long")))))
-    p = F.exp(lf(A) + lf(B) + lf(t - A) + lf(t - B) - lf(t) - lf(K) - lf(A - K) - lf(B - K) - lf(t - A - B + K))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fixed = grid.withColumn("fixed", lf(A) + lf(B) + lf(t - A) + lf(t - B) - lf(t)).withColumns({"low": low, "high": high}).where("low <= high")
+    grid = fixed.repartition(parts, *within, "a", "b").withColumn("k", F.explode(F.sequence(F.col("low").cast("long"), F.col("high").cast("long"))))
+    p = F.exp(F.col("fixed") - lf(K) - lf(A - K) - lf(B - K) - lf(t - A - B + K))
     emi = grid.groupBy(*within).agg(F.sum(F.col("na") * F.col("nb") * K / t * F.log(t * K / (A * B)) * p).alias("emi"))
     row = whole.join(left, within).join(right, within).join(emi, within, "left").withColumn("emi", F.coalesce("emi", F.lit(0.0)))
     h, c = F.when(F.col("hu") <= 0, 1.0).otherwise(F.col("mi") / F.col("hu")), F.when(F.col("hv") <= 0, 1.0).otherwise(F.col("mi") / F.col("hv"))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Numbers of all centres together that are sent to all tasks.
 CENTRES = 20_000_000
+#: Rows whose labels are counted at a time.
+PIECE = 16_384
 
 
 @dataclass(frozen=True)
@@ -68,14 +70,17 @@ def steps_of(x: np.ndarray, h: np.ndarray, k: int, seed: int, start: int, steps:
     centres, seen = first_centres(x[first if len(first) else slice(None)], k, rng), np.zeros(k)
     for step in range(steps):
         epoch, slot = divmod(step, per_epoch)
-        batch = x[slots(h, epoch, per_epoch) == slot] if per_epoch > 1 else x
+        if slot == 0 and per_epoch > 1:  # an epoch's batches, one after another
+            dealt = slots(h, epoch, per_epoch)
+            order = np.argsort(dealt, kind="stable")
+            edge = np.searchsorted(dealt[order], np.arange(min(per_epoch, steps) + 1))
+        batch = x[order[edge[slot] : edge[slot + 1]]] if per_epoch > 1 else x
         if not len(batch):
             continue
         d = distances(batch, centres)
         own = d.argmin(1)
         n = np.bincount(own, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, batch)
+        sums = np.stack([np.bincount(own, column, k) for column in batch.T], 1)
         seen += n
         at = n > 0
         centres[at] += (sums[at] - n[at, None] * centres[at]) / seen[at, None]
@@ -116,10 +121,12 @@ def fit(rows: DataFrame, vecs: Sequence[str], k: int, seeds: Sequence[int], star
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(made))
+        of = {v: [i for i, m in enumerate(sent.value) if m[0] == v] for v in vecs}
         for b in batches:
-            for i, (name, _, _, centres) in enumerate(sent.value):
-                if b.num_rows:
-                    total[i] += distances(_matrix(b.column(name)), centres).min(1).sum()
+            for v, mine in of.items() if b.num_rows else ():
+                # all runs of a layer in one product
+                d = distances(_matrix(b.column(v)), np.concatenate([sent.value[i][3] for i in mine]))
+                total[mine] += d.reshape(len(d), len(mine), k).min(2).sum(0)
         yield pa.RecordBatch.from_pydict({"run": np.arange(len(total)), "cost": total})
 
     costs = {r.run: round(r.cost, 9) for r in rows.select(*vecs).mapInArrow(cost, "run long, cost double").groupBy("run").agg(F.sum("cost").alias("cost")).collect()}
@@ -148,6 +155,44 @@ def labelled(rows: DataFrame, runs: Sequence[Run], *carry: str) -> DataFrame:
     return picked.mapInArrow(near, f"{fields}, vec string, seed int, cluster int")
 
 
+def counted(rows: DataFrame, runs: Sequence[Run], label: str) -> DataFrame:
+    """vec, seed, ``label``, cluster and n: how many rows of a label each cluster has, counted over ``PIECE`` rows at a time; ``n`` is to be summed.
+
+    For ``agreement.by_group``, without a row for each row and run. Rows are those of ``labelled``.
+    """
+    vecs = list(dict.fromkeys(r.vec for r in runs))
+    sent = rows.sparkSession.sparkContext.broadcast(list(runs))
+    kind = rows.schema[label].dataType.simpleString()
+
+    def count(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held)
+        codes = whole.column(label).combine_chunks().dictionary_encode(null_encoding="encode")
+        if isinstance(codes, pa.ChunkedArray):
+            codes = codes.combine_chunks()
+        names, code = codes.dictionary, codes.indices.to_numpy().astype(np.int64)
+        for v in vecs:
+            x = _matrix(whole.column(v))
+            for r in sent.value:
+                if r.vec == v:
+                    wide = len(r.centres)
+                    cell, n = np.unique(code * wide + distances(x, r.centres).argmin(1), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"vec": pa.array([v] * len(cell)), "seed": pa.array([r.seed] * len(cell), pa.int32()), label: names.take(pa.array(cell // wide)), "cluster": (cell % wide).astype(np.int32), "n": n.astype(np.int64)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(h.num_rows for h in held) >= PIECE:
+                yield from count(held)
+                held = []
+        if held:
+            yield from count(held)
+
+    picked = rows.select(label, *[F.col(v).cast("array<double>").alias(v) for v in vecs]).dropna(subset=vecs)
+    return picked.mapInArrow(run, f"vec string, seed int, `{label}` {kind}, cluster int, n long")
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

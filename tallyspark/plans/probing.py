@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import keyed
 from ..operators import agreement, minibatch, probes, structure, sweeps
+from ..session import written
 from .base import query, r6, vectors
 from .layers import LAY, LAYERS, _layers
 
@@ -53,10 +54,10 @@ def _best(rows: DataFrame, score: str) -> int | None:
 
 def layer_clusterings(spark: SparkSession, d: str, seeds: Sequence[int], starts: int, dev: bool) -> DataFrame:
     """layer, seed and the agreement of a clustering into as many clusters as there are labels with these, on one half."""
-    rows = _layers(spark, d).where(_dev() if dev else ~_dev())
+    rows = written(_layers(spark, d).where(_dev() if dev else ~_dev()))
     k = rows.select("label").distinct().count()
     runs = minibatch.fit(rows, EVERY, k, seeds, starts)
-    found = agreement.by_group(minibatch.labelled(rows, runs, "id", "label"), ["vec", "seed"], "label", "cluster")
+    found = agreement.by_group(minibatch.counted(rows, runs, "label"), ["vec", "seed"], "label", "cluster", "n")
     layer = F.when(F.col("vec") == "uniform", -1).otherwise(F.substring("vec", 2, 9).try_cast("int"))
     return found.withColumn("layer", layer)
 
@@ -151,7 +152,7 @@ def clu12_kmeans_seeds(spark: SparkSession, d: str) -> DataFrame:
     """Clusterings of the vectors into as many clusters as labels, by seed, and their means and deviations (CLU01, CLU12)."""
     rows = vectors(spark, d)
     k = rows.select("label").distinct().count()
-    each = agreement.by_group(minibatch.labelled(rows, minibatch.fit(rows, ["vec"], k, CLUSTER_SEEDS, SEED_STARTS), "id", "label"), ["seed"], "label", "cluster")
+    each = agreement.by_group(minibatch.counted(rows, minibatch.fit(rows, ["vec"], k, CLUSTER_SEEDS, SEED_STARTS), "label"), ["seed"], "label", "cluster", "n")
     names = ("v_measure", "ari", "ami", "purity")
     whole = each.agg(F.count("*").alias("n_seeds"), *[f(n).alias(f"{n}_{s}") for n in names for s, f in (("mean", F.avg), ("sd", F.stddev_pop))])
     return each.crossJoin(F.broadcast(whole)).select("seed", F.lit(k).alias("n_clusters"), "n_seeds", *[r6(c).alias(c) for n in names for c in (n, f"{n}_mean", f"{n}_sd")])
@@ -234,10 +235,10 @@ def qry43_cluster_verdict(spark: SparkSession, d: str) -> DataFrame:
     """The purity of clusterings over seeds, held against random partitions of as many parts and against the largest label (QRY43, CLU11)."""
     rows = vectors(spark, d)
     k = rows.select("label").distinct().count()
-    found = minibatch.labelled(rows, minibatch.fit(rows, ["vec"], k, CLUSTER_SEEDS, SWEEP_STARTS), "id", "label")
+    found = minibatch.counted(rows, minibatch.fit(rows, ["vec"], k, CLUSTER_SEEDS, SWEEP_STARTS), "label")
     chance = rows.select("id", "label", F.explode(F.array(*map(F.lit, CLUSTER_SEEDS))).alias("seed")).select("seed", "label", (keyed(31, "cluster", "seed", "id") % max(k, 1)).alias("cluster"))
-    mean = lambda x, n: agreement.by_group(x, ["seed"], "label", "cluster").agg(F.avg("purity").alias(n), F.avg("ami").alias(f"{n}_ami"))
+    mean = lambda x, n, w=None: agreement.by_group(x, ["seed"], "label", "cluster", w).agg(F.avg("purity").alias(n), F.avg("ami").alias(f"{n}_ami"))
     most = rows.groupBy("label").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("majority"))
-    row = mean(found, "clustered").crossJoin(mean(chance, "random")).crossJoin(most)
+    row = mean(found, "clustered", "n").crossJoin(mean(chance, "random")).crossJoin(most)
     verdict = F.when(F.col("clustered") > 2 * F.col("random"), "above chance").when(F.col("clustered") > F.col("random") + 0.05, "near chance").otherwise("chance")
     return row.select(*[r6(c).alias(c) for c in ("clustered", "clustered_ami", "random", "random_ami", "majority")], verdict.alias("verdict"))

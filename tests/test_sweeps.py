@@ -149,6 +149,25 @@ def test_clusters_of_apart_labels(spark, batch):
         assert r.cost == pytest.approx(minibatch.distances(x, r.centres).min(1).sum(), abs=1e-6)
 
 
+def test_labels_are_counted_in_place_of_rows(spark):
+    rows = table(spark, 200, apart=1.0, extra=[(900, None, [0.0] * 5, [1.0] * 3, True, True)])
+    runs = minibatch.fit(rows, ["a", "b"], 3, (0, 4), steps=9, batch=16)
+    found = minibatch.labelled(rows, runs, "label")
+    want = {tuple(r) for r in found.groupBy("vec", "seed", "label", "cluster").count().collect()}
+    counts = minibatch.counted(rows.coalesce(2), runs, "label")
+    assert {tuple(r) for r in counts.groupBy("vec", "seed", "label", "cluster").agg(F.sum("n")).collect()} == want
+    assert counts.count() <= 2 * len(want) < found.count()
+    by = lambda x, *w: sorted(tuple(r) for r in agreement.by_group(x, ["vec", "seed"], "label", "cluster", *w).collect())
+    for one, two in zip(by(found.dropna()), by(counts.dropna(), "n"), strict=True):
+        assert one[:3] == two[:3] and one[3:] == pytest.approx(two[3:])
+
+
+def test_expected_overlaps_are_shared_out_before_they_are_spread(spark):
+    plan = agreement.by_group(spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "g int, u int, v int"), ["g"], "u", "v")._jdf.queryExecution().optimizedPlan().toString()
+    spread = plan.split("Generate explode")[1]
+    assert "RepartitionByExpression" in spread and str(agreement.log_factorial(F.col("k"))).count("ln(") + str(agreement.log_factorial(F.col("k"))).upper().count("LOG(") <= 4
+
+
 def test_clusterings_of_odd_tables(spark):
     rows = table(spark, 3, extra=[(9, 1, None, None, True, True)])
     runs = minibatch.fit(rows, ["a"], 5, (0,))
