@@ -1,6 +1,6 @@
 """Suffix-array dedup: every byte that a 200-byte string covers which also starts elsewhere.
 
-Where strings can meet. The smallest 16-byte hash in a 200-byte window (its anchor) depends on the
+Where strings can meet. The smallest 48-byte hash in a 200-byte window (its anchor) depends on the
 window alone, so equal windows have equal anchors. A run of windows with one anchor is a segment.
 A bit table of bounded size, filled over all segments, says which anchors occur twice; only those
 segments are sent on, dealt out by anchor, a text that repeats as a whole only once. A full table
@@ -35,6 +35,8 @@ from .jaccard import planes, unplaned
 from .store import kept
 
 LENGTH, ANCHOR, SYMBOL = 200, 16, 8
+#: Bytes of text whose windows are hashed at a time: what a step makes of them stays in a core's cache.
+PIECE = 1 << 17
 #: Bits of the anchor table: at most 2 to this power.
 MOST_BITS = 30
 #: Windows merged at a time, and about how many suffixes a shard has.
@@ -54,6 +56,11 @@ def _minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[:n], before[width - 1 : width - 1 + n])
 
 
+def anchor_size(length: int) -> int:
+    """Bytes of an anchor: a quarter of a window, as longer ones occur again by chance less often, and shorter ones leave longer segments."""
+    return max(ANCHOR, length // 4 // SYMBOL * SYMBOL)
+
+
 def segments(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, by_place: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, text, first window start and number of windows of each segment: neighbouring windows with one smallest hash.
 
@@ -63,20 +70,23 @@ def segments(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, by_place: b
     none = np.zeros(0, np.int64)
     if len(buf) < length:
         return none.astype(np.uint64), none, none, none
+    size = anchor_size(length)
     hashed = flat.Hasher(buf)
-    at = np.arange(len(buf) - ANCHOR + 1)
-    grams = hashed(at, at + ANCHOR)
-    least = _minima((grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), length - ANCHOR + 1)
-    least = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    starts = np.arange(len(least))
-    anchor = grams[least]
-    cut_by = least if by_place else anchor
-    text = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(least)]
-    whole = off[text + 1] - starts >= length
-    new = np.append(True, (cut_by[1:] != cut_by[:-1]) | (text[1:] != text[:-1]) | ~whole[:-1])
-    first = np.flatnonzero(new & whole)
-    last = np.flatnonzero(np.append(new[1:] | ~whole[1:], True) & whole)
-    return anchor[first], text[first], first, last - first + 1
+    grams = flat.mix((hashed.sums[size:] - hashed.sums[:-size]) * hashed.down[: len(buf) - size + 1])
+    least = _minima((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), length - size + 1)
+    # where the place of the smallest hash changes, a text begins or its last whole window has begun
+    short = np.maximum(off[1:] - length + 1, off[:-1])
+    cuts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, off[:-1], short])
+    first = np.unique(cuts[cuts < len(least)])
+    n = np.diff(first, append=len(least))
+    text = np.searchsorted(off, first, "right") - 1
+    whole = off[text + 1] - first >= length
+    first, n, text = first[whole], n[whole], text[whole]
+    anchor = grams[(least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    if not by_place and len(first):
+        new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])))
+        anchor, text, first, n = anchor[new], text[new], first[new], np.add.reduceat(n, new)
+    return anchor, text, first, n
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -100,7 +110,7 @@ def repeated_anchors(texts: DataFrame, bits: int, length: int) -> np.ndarray:
             for b in np.flatnonzero(edge[1:] > edge[:-1]):
                 yield flat.table({"to": pa.array([b], pa.int32()), "blob": pa.array([planes(np.diff(spots[edge[b] : edge[b + 1]], prepend=np.uint32(b << bits - cells)))], pa.binary())})
 
-        for piece in flat.pieces(batches, "__text"):
+        for piece in flat.pieces(batches, "__text", PIECE):
             piece = piece.filter(_unseen(piece, seen))
             anchors, *_ = segments(*flat.flat(piece.column("__text")), length, by_place=True)
             held.append((flat.mix(anchors) >> np.uint64(64 - bits)).astype(np.uint32))
@@ -150,7 +160,7 @@ def sent(texts: DataFrame, table: np.ndarray, bits: int, buckets: int, length: i
                 body = data[np.repeat(ends[rows] - stop, size) + np.arange(stop[-1])]
                 yield flat.table({"to": pa.array([b], pa.int32()), "n": pa.array([len(rows)], pa.int64()), "blob": pa.array([planes(anchors[rows]) + planes(keys[rows]) + planes(at[rows].astype(np.int64)) + planes(n[rows].astype(np.int64)) + body.tobytes()], pa.binary())})
 
-        for piece in flat.pieces(batches, "__text"):
+        for piece in flat.pieces(batches, "__text", PIECE):
             piece = piece.filter(_unseen(piece, seen))
             buf, off = flat.flat(piece.column("__text"))
             anchors, text, first, n = segments(buf, off, length)

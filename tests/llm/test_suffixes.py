@@ -1,11 +1,13 @@
 """Shard transforms and their merge, against sorted lists and counts of strings."""
 
+import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tallyspark.llm import suffixes
+from tallyspark.llm import flat, suffixes
 
 LENGTH = 24
 
@@ -68,3 +70,34 @@ def test_repeated_places_are_those_of_strings_counted_twice(segments, shard):
         base += len(x)
     got = suffixes.repeated(np.concatenate(segments), np.array([len(x) for x in segments]), times, LENGTH, shard)
     assert got.tolist() == [p for p, w in at if count[w] > 1]
+
+
+def test_segments_are_those_of_a_plain_scan():
+    rng = np.random.default_rng(4)
+    for length in (24, 64, 200):
+        size = suffixes.anchor_size(length)
+        assert suffixes.ANCHOR <= size < length
+        for _ in range(8):
+            texts = ["".join(rng.choice(list("ab"), rng.integers(0, 3 * length))) for _ in range(rng.integers(0, 6))]
+            buf, off = flat.flat(pa.array(texts, pa.string()))
+            for by_place in (False, True):
+                want, before = [], None
+                for text, (a, b) in enumerate(zip(off, off[1:], strict=False)):
+                    for at in range(a, b - length + 1):
+                        starts = np.arange(at, at + length - size + 1)
+                        grams = flat.Hasher(buf)(starts, starts + size)
+                        best = int(np.argmin(grams >> np.uint64(32)))
+                        now = (text, starts[best] if by_place else grams[best])
+                        if now != before:
+                            want.append([int(grams[best]), text, at, 0])
+                        want[-1][3] += 1
+                        before = now
+                assert np.stack([x.astype(object) for x in suffixes.segments(buf, off, length, by_place)], 1).tolist() == want if want else not len(suffixes.segments(buf, off, length, by_place)[0])
+
+
+def test_anchors_that_recur_by_chance_are_too_short_for_a_window():
+    words = [f"word{i:02}" for i in range(40)]
+    texts = [" ".join(random.Random(i).choices(words, k=400)) for i in range(60)]  # two words meet again all the time, five don't
+    buf, off = flat.flat(pa.array(texts))
+    anchors, *_ = suffixes.segments(buf, off)
+    assert len(np.unique(anchors)) > 0.9 * len(anchors)
