@@ -417,6 +417,19 @@ def regrouped(member: DataFrame, docs: DataFrame, text: str, size: int, numerato
     return met.select(F.xxhash64(F.least("own", "other"), F.greatest("own", "other"), "key").alias("g"), "v", "n").distinct().join(texts, "v")
 
 
+def once(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``docs`` without ids whose sets (members: doc_id, rep) all have another id for their rep: every different set is still there.
+
+    Copies would meet by each shingle of their prefixes. Either the ids that go or those that stay are sent to all tasks, so
+    that texts aren't shuffled; if both are too many, ``docs`` as they are, which changes the work and never the result.
+    """
+    reps = members.select(F.col("rep").alias("doc_id")).distinct()
+    copies = kept(members.select("doc_id").distinct().join(reps, "doc_id", "left_anti"))
+    if copies.count() <= IDS:
+        return docs.join(F.broadcast(copies), "doc_id", "left_anti")
+    return docs.join(F.broadcast(reps), "doc_id", "left_semi") if reps.count() <= IDS else docs
+
+
 def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of ``docs``.
 
@@ -444,8 +457,9 @@ def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, numerator: in
     first = kept(alike.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(f"w{i}").alias(f"w{i}") for i in range(WORDS)]))
     # ids that repeat with different texts: all their sets belong to one document
     members = kept(alike.select("doc_id", "same").distinct().join(first.select("same", "rep", "n"), "same").select("doc_id", "rep", "n"))
-    often = frequent(docs, text, size, bits)
-    met = kept(groups(index(docs, text, size, bits, often, numerator, denominator)))
+    single = once(docs, members)
+    often = frequent(single, text, size, bits)
+    met = kept(groups(index(single, text, size, bits, often, numerator, denominator)))
     # written, so that joins with it on a common member can be split by rows
     of = kept(members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n").alias("n")))
 

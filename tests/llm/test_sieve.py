@@ -41,3 +41,17 @@ def test_texts_that_all_meet_are_sent_once_a_block(spark):
     assert dealt.count() == n * (n - 1) // 2
     sent = dealt.select(F.explode(F.array("a", "b")).alias("v"), "part").distinct().count()
     assert sent <= n * 6  # with pairs dealt out by their first text: about 80 times each
+
+
+def test_copies_are_not_indexed_and_keep_their_links(spark, monkeypatch):
+    base = _words(3, 60)
+    texts = [(i, " ".join(base if i % 2 else [*base[:-2], "x", "y"])) for i in range(1, 41)] + [(50, " ".join(_words(50, 30))), (7, " ".join(_words(50, 30))), (60, ""), (None, " ".join(base))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)  # copies lie in different tasks
+    want = {(i, 1 if i is not None and i < 60 else i) for i, _ in texts}
+    seen = []
+    index = jaccard.index
+    monkeypatch.setattr(jaccard, "index", lambda rows, *a: seen.append(sorted(r.doc_id for r in rows.where("text <> '' AND doc_id IS NOT NULL").collect())) or index(rows, *a))
+    for ids, kept in ((100, [1, 2, 7, 7]), (10, [1, 2, 7, 7]), (1, sorted(i for i, t in texts if t and i))):  # those that go are sent, those that stay, neither
+        monkeypatch.setattr(jaccard, "IDS", ids)
+        assert {(r.doc_id, r.component_id) for r in jaccard.join(docs).collect()} == want
+        assert seen.pop() == kept
